@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe
+from graphloom.llm import bpe, langid, simhash, toxicity
 
 
 def queries() -> dict:
-    return {"op2_bpe": bpe.op2_bpe}
+    return {"op2_bpe": bpe.op2_bpe, "op4_toxicity": toxicity.op4_toxicity, "op7_simhash": simhash.op7_simhash, "op8_langid": langid.op8_langid}
 
 
 def oracle_sql() -> dict:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +76,31 @@ def slices(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 20) -> It
         yield batch.slice(at)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches sorted by integer keys: tables of whole groups, of about `rows` rows or one group, each with the group number of its rows."""
+
+    def changes(t: pa.Table) -> np.ndarray:
+        k = np.stack([t.column(c).to_numpy() for c in keys])
+        return (k[:, 1:] != k[:, :-1]).any(axis=0)
+
+    def numbered(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        return t, np.concatenate([[0], np.cumsum(changes(t))])
+
+    kept: list[pa.Table] = []
+    for batch in batches:
+        if batch.num_rows:
+            kept.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in kept) >= rows:
+            t = pa.concat_tables(kept).combine_chunks()
+            at = np.flatnonzero(changes(t))
+            cut = int(at[-1]) + 1 if len(at) else 0
+            if cut:
+                yield numbered(t.slice(0, cut))
+            kept = [t.slice(cut)]
+    if kept:
+        yield numbered(pa.concat_tables(kept).combine_chunks())
+
+
 def bounded(spark: SparkSession, blob: bytes, most: int):
     """A broadcast of a blob whose size is checked."""
     if len(blob) > most:

@@ -130,30 +130,10 @@ def near_pairs(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> tuple[np.
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of rows sorted by group; a group may go on in the next batch."""
-    kept: list[pa.Table] = []
-
-    def links(t: pa.Table) -> pa.RecordBatch:
-        cols = {c: t.column(c).to_numpy() for c in t.column_names}
-        keys = np.stack([cols[c] for c in ("cell", "counts", "a", "b")])
-        group = np.r_[0, np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))] if t.num_rows else np.zeros(0, int)
-        fp = cols["fp"].view(np.uint64)
-        x, y = near_pairs(group, cols["side"], fp)
-        return pa.RecordBatch.from_arrays([pa.array(cols["fp"][x]), pa.array(cols["fp"][y])], names=["u", "v"])
-
-    for batch in batches:
-        kept.append(pa.Table.from_batches([batch]))
-        if sum(t.num_rows for t in kept) < 20_000:
-            continue
-        t = pa.concat_tables(kept).combine_chunks()
-        keys = np.stack([t.column(c).to_numpy() for c in ("cell", "counts", "a", "b")])
-        changes = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))
-        cut = int(changes[-1]) + 1 if len(changes) else 0
-        if cut:
-            yield links(t.slice(0, cut))
-        kept = [t.slice(cut)]
-    if kept:
-        yield links(pa.concat_tables(kept).combine_chunks())
+    for t, group in common.whole_groups(batches, ["cell", "counts", "a", "b"]):
+        fp = t.column("fp").to_numpy()
+        x, y = near_pairs(group, t.column("side").to_numpy(), fp.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(fp[x]), pa.array(fp[y])], names=["u", "v"])
 
 
 def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,19 +51,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse."""
+    """Powers of an odd base modulo 2^64 and of its inverse; the longest tables asked for are kept."""
 
-    _made: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    _made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
     def of(cls, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        size = 1 << max(12, int(n).bit_length())
-        if (which, size) not in cls._made:
-            base = _BASES[which]
+        if which not in cls._made or len(cls._made[which][0]) < n:
+            size, base = 1 << max(16, int(n - 1).bit_length()), _BASES[which]
             up, down = np.full(size, np.uint64(base)), np.full(size, np.uint64(pow(base, -1, 1 << 64)))
             up[0] = down[0] = 1
-            cls._made[which, size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return cls._made[which, size]
+            cls._made[which] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        return cls._made[which]
 
 
 class Hashes:
@@ -195,20 +195,41 @@ def per_text(rows: DataFrame, fields: str) -> DataFrame:
     return rows.groupBy("did", "th").agg(F.collect_list(F.struct(*fields.split())).alias("found"))
 
 
+def listed(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """A column of lists of structs of numbers: where each row's list starts and ends, and the fields of all in a row. A null list is empty."""
+    col = batch.column(column)
+    sizes = pa.compute.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = col.flatten()
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), {x.name: flat.field(i).to_numpy(zero_copy_only=False) for i, x in enumerate(flat.type)}
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose lists hold about `most` values (one row at least)."""
+    ends = np.cumsum(pa.compute.list_value_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False) + 1)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def removed_spans(rows: DataFrame) -> DataFrame:
-    """(did, th, spans) from rows (did, th, from, to): overlapping and touching spans are one."""
+    """(did, th, spans) from rows (did, th, a, b): overlapping and touching spans are one; spans lists starts and ends in turn."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for found in batch.column("found").to_pylist():
-                merged: list[list[int]] = []
-                for a, b in sorted((x["a"], x["b"]) for x in found):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                out.append([x for pair in merged for x in pair])
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array(out, pa.list_(pa.int64()))], names=["did", "th", "spans"])
+        for whole in batches:
+            for batch in pieces(whole, "found"):
+                bounds, cols = listed(batch, "found")
+                row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+                at = np.lexsort((cols["a"], row))
+                row, a, b = row[at], cols["a"][at], cols["b"][at]
+                lift = row * (1 << 40)  # one number line, rows far apart
+                reach = np.maximum.accumulate(b + lift)
+                first = np.flatnonzero(np.concatenate([[True], (a + lift)[1:] > reach[:-1]]))
+                last = np.concatenate([first[1:], [len(a)]]) - 1
+                flat = np.stack([a[first], reach[last] - lift[last]], axis=1).ravel()
+                offsets = np.concatenate([[0], np.cumsum(2 * np.bincount(row[first], minlength=batch.num_rows))])
+                spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), spans], names=["did", "th", "spans"])
 
     return per_text(rows, "a b").mapInArrow(work, "did long, th long, spans array<bigint>")

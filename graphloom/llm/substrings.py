@@ -30,21 +30,33 @@ def _windows(need: DataFrame, texts: DataFrame, kind: repeats.Kind, lengths: lis
     schema = "did long, th long, s long, " + ", ".join(f"x{n} long, y{n} long" for n in lengths)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for did, th, found, z in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "found", "z")), strict=True):
-                raw = np.frombuffer(repeats.unpacked(z), np.uint8)
-                s = np.unique(np.concatenate([np.arange(x["p"] - x["far"], x["p"] - x["near"] + 1) for x in found]))
-                cols = [pa.array(np.full(len(s), did)), pa.array(np.full(len(s), th)), pa.array(s)]
-                both = [repeats.units(kind, raw, k) for k in (0, 1)]
-                for n in lengths:
-                    for k in (0, 1):
-                        at = np.concatenate([repeats.Hashes(both[k][a : b + n], k)(t - a, t - a + n) for a, b, t in _runs(s)])
-                        cols.append(pa.array(at.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
+        names = [x.split()[0] for x in schema.split(", ")]
+        for whole in batches:
+            for batch in repeats.pieces(whole, "found", 20_000):
+                bounds, found = repeats.listed(batch, "found")
+                ids, hashes = (batch.column(c).to_numpy() for c in ("did", "th"))
+                made: list[list[np.ndarray]] = [[] for _ in names]
+                for i, z in enumerate(batch.column("z")):
+                    raw = np.frombuffer(repeats.unpacked(z.as_py()), np.uint8)
+                    p, near, far = (found[k][bounds[i] : bounds[i + 1]] for k in ("p", "near", "far"))
+                    s = np.unique(np.repeat(p - far, far - near + 1) + _counting(far - near + 1))
+                    cols = [np.full(len(s), ids[i]), np.full(len(s), hashes[i]), s]
+                    both = [repeats.units(kind, raw, k) for k in (0, 1)]
+                    for n in lengths:
+                        for k in (0, 1):
+                            cols.append(np.concatenate([repeats.Hashes(both[k][a : b + n], k)(t - a, t - a + n) for a, b, t in _runs(s)]).view(np.int64))
+                    for kept, x in zip(made, cols, strict=True):
+                        kept.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in made], names=names)
 
     return joined.mapInArrow(work, schema)
 
 
+def _counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size in turn."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _runs(s: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """Sorted starts by stretches of bounded width."""
     i = 0
@@ -78,17 +90,18 @@ def repeated_windows(docs: DataFrame, length: int = WINDOW, first: int = FIRST,
     joined = repeats.packed_texts(texts).join(repeats.removed_spans(spans), ["did", "th"], "left").select("doc_id", "z", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for z, flat in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                words, kept, at = repeats.unpacked(z).split(), [], 0
-                for a, b in zip((flat or [])[::2], (flat or [])[1::2], strict=True):
-                    kept += words[at:a]
-                    at = b
-                kept += words[at:]
-                for x, y in zip(out, (len(words), len(words) - len(kept), b" ".join(kept)), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), batch.column("spans"), pa.array(out[2], pa.binary())], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
+        for whole in batches:
+            for batch in common.slices(whole, "z", 1 << 20):
+                out: list[list] = [[], [], []]
+                for z, spans in zip(batch.column("z"), batch.column("spans"), strict=True):
+                    words, flat, kept, at = repeats.unpacked(z.as_py()).split(), spans.as_py() or [], [], 0
+                    for a, b in zip(flat[::2], flat[1::2], strict=True):
+                        kept += words[at:a]
+                        at = b
+                    kept += words[at:]
+                    for x, y in zip(out, (len(words), len(words) - len(kept), b" ".join(kept)), strict=True):
+                        x.append(y)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), batch.column("spans"), pa.array(out[2], pa.binary())], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<bigint>, kept binary")
 

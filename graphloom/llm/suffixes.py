@@ -139,12 +139,15 @@ def _contexts(need: DataFrame, texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["v", "c", "n", "contents", "p", "near", "far"]
-        for batch in batches:
-            for did, th, found, z in zip(*(batch.column(k).to_pylist() for k in ("did", "th", "found", "z")), strict=True):
-                raw = repeats.unpacked(z)
-                cols = [pa.array([x[k] for x in found], pa.int64()) for k in names]
-                some = [raw[x["p"] - x["far"] : x["p"] - x["near"] + LENGTH] for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array([did] * len(found), pa.int64()), pa.array([th] * len(found), pa.int64()), *cols, pa.array(some, pa.binary())], names=["did", "th", *names, "around"])
+        for whole in batches:
+            for batch in repeats.pieces(whole, "found", 20_000):
+                bounds, found = repeats.listed(batch, "found")
+                starts, stops, some = (found["p"] - found["far"]).tolist(), (found["p"] - found["near"] + LENGTH).tolist(), []
+                for i, z in enumerate(batch.column("z")):
+                    raw = repeats.unpacked(z.as_py())
+                    some += [raw[starts[k] : stops[k]] for k in range(bounds[i], bounds[i + 1])]
+                of = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
+                yield pa.RecordBatch.from_arrays([batch.column("did").take(of), batch.column("th").take(of), *(pa.array(found[k].astype(np.int64)) for k in names), pa.array(some, pa.binary())], names=["did", "th", *names, "around"])
 
     return joined.mapInArrow(work, "did long, th long, v long, c long, n long, contents long, p long, near long, far long, around binary")
 
@@ -209,14 +212,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = repeats.packed_texts(texts).join(repeats.removed_spans(spans), ["did", "th"], "left").select("doc_id", "z", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for z, flat in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw, flat = repeats.unpacked(z), flat or []
-                kept = b"".join(raw[a:b] for a, b in zip([0, *flat[1::2]], [*flat[::2], len(raw)], strict=True))
-                for x, y in zip(out, (len(raw), len(raw) - len(kept), len(flat) // 2, kept), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), batch.column("spans"), pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+        for whole in batches:
+            for batch in common.slices(whole, "z", 1 << 20):
+                out: list[list] = [[], [], [], []]
+                for z, spans in zip(batch.column("z"), batch.column("spans"), strict=True):
+                    raw, flat = repeats.unpacked(z.as_py()), spans.as_py() or []
+                    kept = b"".join(raw[a:b] for a, b in zip([0, *flat[1::2]], [*flat[::2], len(raw)], strict=True))
+                    for x, y in zip(out, (len(raw), len(raw) - len(kept), len(flat) // 2, kept), strict=True):
+                        x.append(y)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), batch.column("spans"), pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<bigint>, kept binary")
 

@@ -109,3 +109,20 @@ def repeated_windows(docs: DataFrame, length: int = WINDOW, first: int = FIRST,
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_windows(common.read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS s, w FROM split WHERE len(w) >= 13
+), windows AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS x FROM starts
+), least AS (SELECT x, min(doc_id) AS d FROM windows GROUP BY x),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM windows JOIN least USING (x) WHERE doc_id > d
+), gone AS (SELECT doc_id, list(i) AS nos, count(*) AS n FROM covered GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(nos, i)), ' ') END) AS kept_sha256
+FROM split LEFT JOIN gone USING (doc_id)
+"""

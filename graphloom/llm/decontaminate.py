@@ -33,11 +33,11 @@ from graphloom.llm import common, repeats
 #: Words of half a passage; passages overlap by that much.
 HALF = 16
 #: Rank of the latent space and columns of the sketch beyond it; most features.
-RANK, MORE, FEATURES = 128, 32, 8192
+RANK, MORE, FEATURES = 96, 16, 8192
 #: A word that more than this share of the items have is no feature.
 COMMON = 0.05
 #: Least cosine of a candidate; least share of an item's words in order for a copy, and for a paraphrase with its answer.
-COSINE, COPY, PARAPHRASE, ANSWER = 0.45, 0.75, 0.55, 0.7
+COSINE, COPY, PARAPHRASE, ANSWER = 0.55, 0.75, 0.55, 0.7
 #: Most bytes of the benchmark's words and passages.
 BENCHMARK_MOST = 256 << 20
 #: Features of a block of the sketch on its way through a shuffle.
@@ -231,6 +231,9 @@ def _verified(doc: np.ndarray, passage: int, item: list[int], answer: list[int])
     around = len(item)
     start = max(0, passage * HALF - around)
     near = doc[start : (passage + 2) * HALF + around].tolist()
+    there = set(near)
+    if sum(map(there.__contains__, item)) < PARAPHRASE * len(item):  # more words in order than words there can't be
+        return None
     # surroundings as wide as the item on both sides; the best stretch not much longer than the item counts
     share = common_words(item, near) / len(item)
     if share < PARAPHRASE or (len(item) < 4 and share < 1):

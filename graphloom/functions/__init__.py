@@ -1,0 +1 @@
+"""Column functions: row-wise classification, packing, hashing, naming."""

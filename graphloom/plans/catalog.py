@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from graphloom.plans import q_flow, q_java, q_scalar, q_symbols, q_tokens, q_tree  # noqa: F401
+from graphloom.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

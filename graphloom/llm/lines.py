@@ -5,7 +5,7 @@ Words are ordered by rarity in the corpus, counted over all texts; two sets with
 Jaccard similarity of THRESHOLD or more must share a word among the first few of
 each in that order (prefix filter). Lines that meet at such a word go on if their
 sizes allow the similarity (length filter), if what can still follow the place of
-the shared word allows it (positional filter), and if 64 bits that the words set
+the shared word allows it (positional filter), and if 128 bits that the words set
 allow it; then the sets themselves decide. A line goes if an earlier line, by
 document and place, is similar; lines are judged as they stand in the input.
 
@@ -20,15 +20,17 @@ are not earlier than one another.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
 
 THRESHOLD = 0.8
-#: Buckets of the rarity table and of the filters by line, whose sizes are fixed; a fuller filter only lets more rows through.
-RARITY_BITS, FILTER_BITS = 18, 23
-_SPACE, _HASH_BITS = r"[ \t\x0B\f\r]+", 51
+#: Bytes of the rarity table and of the filters by line, whose sizes are fixed; a fuller filter only lets more rows through. A byte holds seven bits.
+RARITY_BYTES, FILTER_BYTES, SEVEN = 1 << 18, 1 << 18, 7
+_BLANKS, _SPACE, _HASH_BITS = " \t\x0b\f\r", r"[ \t\x0B\f\r]+", 56
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,44 +42,59 @@ def _lines(texts: DataFrame) -> DataFrame:
     return texts.select("did", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).withColumn("lid", F.xxhash64("line"))
 
 
+def _bytes(table: DataFrame, size: int) -> Column:
+    """(b, x) with x under 128, x being 0 where there is no b, as a literal of `size` bytes."""
+    every = table.sparkSession.range(size).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("x"))
+    whole = table.unionByName(every).groupBy("b").agg(F.max("x").alias("x")).select(F.struct("b", "x").alias("y"))
+    joined = whole.agg(F.array_join(F.transform(F.sort_array(F.collect_list("y")), lambda y: F.char(y["x"])), "").alias("s")).first()["s"]
+    return F.lit(bytearray(joined.encode()))
+
+
+def _byte(literal: Column, at: Column) -> Column:
+    return F.ascii(F.substring(literal, (at + 1).cast("int"), F.lit(1)).cast("string"))
+
+
 def _rarity(texts: DataFrame) -> Column:
-    """An array by hash bucket: the greatest number of occurrences of a word in it, as a logarithm in twelve bits."""
+    """By hash bucket the greatest number of occurrences of a word in it, as a logarithm in seven bits."""
     words = texts.select(F.explode(F.split("text", r"[ \t\x0B\f\r\n]+")).alias("w")).filter("w <> ''")
-    bucket = F.col("h").bitwiseAND((1 << RARITY_BITS) - 1)
-    often = words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")).groupBy(bucket.alias("b")).agg(F.max("n").alias("n"))
-    every = texts.sparkSession.range(1 << RARITY_BITS).select(F.col("id").alias("b"), F.lit(1).cast("long").alias("n"))
-    level = F.least(F.lit(4095), F.floor(F.log2("n") * 100)).cast("int")
-    table = often.unionByName(every).groupBy("b").agg(F.max("n").alias("n")).select(F.struct("b", level.alias("r")).alias("x"))
-    return common.written(table.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"]).alias("r")), "rarity").scalar()
+    often = words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(127), F.floor(F.log2("n") * 5) + 1).cast("long")
+    return _bytes(often.groupBy(F.col("h").bitwiseAND(RARITY_BYTES - 1).alias("b")).agg(F.max(level).alias("x")), RARITY_BYTES)
 
 
 def _filter(lids: DataFrame) -> Column:
-    """A bit array of fixed size with the bits of the given lines set, as a column."""
-    place = F.col("lid").bitwiseAND((1 << FILTER_BITS) - 1)
-    bits = lids.select(F.shiftright(place, 6).alias("w"), place.bitwiseAND(63).cast("int").alias("k")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("x"))
-    every = lids.sparkSession.range(1 << (FILTER_BITS - 6)).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("x"))
-    table = bits.unionByName(every).groupBy("w").agg(F.bit_or("x").alias("x")).select(F.struct("w", "x").alias("y"))
-    return common.written(table.agg(F.transform(F.sort_array(F.collect_list("y")), lambda y: y["x"]).alias("f")), "filter").scalar()
+    """The bits of the given lines, set, as a literal of fixed size."""
+    place = F.pmod("lid", F.lit(FILTER_BYTES * SEVEN))
+    bits = lids.select(F.floor(place / SEVEN).alias("b"), F.expr(f"shiftleft(1L, cast(pmod(pmod(lid, {FILTER_BYTES * SEVEN}), {SEVEN}) as int))").alias("x"))
+    return _bytes(bits.groupBy("b").agg(F.bit_or("x").alias("x")), FILTER_BYTES)
 
 
-def _passes(filter_: Column) -> Column:
-    word = F.get(filter_, F.shiftright(F.col("lid").bitwiseAND((1 << FILTER_BITS) - 1), 6).cast("int"))
-    return F.call_function("shiftrightunsigned", word, F.col("lid").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+def _passes(literal: Column) -> Column:
+    place = F.pmod("lid", F.lit(FILTER_BYTES * SEVEN))
+    return F.call_function("shiftright", _byte(literal, F.floor(place / SEVEN)), F.pmod(place, F.lit(SEVEN)).cast("int")).bitwiseAND(1) == 1
 
 
 def _with_sets(lines: DataFrame, rarity: Column) -> DataFrame:
-    """Adds s, the distinct words of a line as numbers, rarest first: rarity in the high bits, the word's hash in the low ones."""
-    hashes = F.transform(F.filter(F.split("line", _SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
-    number = lambda h: F.shiftleft(F.get("rarity", h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND((1 << _HASH_BITS) - 1))
-    return lines.withColumn("rarity", rarity).withColumn("s", F.sort_array(F.array_distinct(F.transform(hashes, number)))).drop("rarity", "line")
+    """Adds s, the distinct words of a line as numbers, rarest first: rarity in the high bits, the word's hash in the low ones. Lines without words are left out."""
+
+    def number(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(_byte(rarity, h.bitwiseAND(RARITY_BYTES - 1)).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND((1 << _HASH_BITS) - 1))
+
+    bare = lines.withColumn("line", F.btrim("line", F.lit(_BLANKS))).filter("line <> ''")
+    return bare.withColumn("s", F.sort_array(F.array_distinct(F.transform(F.split("line", _SPACE), number)))).drop("line")
 
 
 def _prefixes(lines: DataFrame, rarity: Column) -> DataFrame:
-    """(t, i, n, bits, lid, did, no): a row for each word of a line's prefix; i counts from 0."""
-    sets = _with_sets(lines, rarity).withColumn("n", F.size("s")).filter("n > 0")
-    bits = F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
+    """(t, i, n, low, high, lid, did, no): a row for each word of a line's prefix; i counts from 0."""
+    sets = _with_sets(lines, rarity).withColumn("n", F.size("s"))
+
+    def bits(half: int) -> Column:
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+        return F.aggregate("s", F.lit(0).cast("long"), lambda a, k: F.when(k.bitwiseAND(64) == 64 * half, a.bitwiseOR(bit(k))).otherwise(a))
+
     prefix = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1).cast("int"))
-    return sets.select("did", "no", "lid", "n", bits.alias("bits"), F.posexplode(prefix).alias("i", "t"))
+    return sets.select("did", "no", "lid", "n", bits(0).alias("low"), bits(1).alias("high"), F.posexplode(prefix).alias("i", "t"))
 
 
 def _could_be(a: str, b: str) -> Column:
@@ -85,7 +102,7 @@ def _could_be(a: str, b: str) -> Column:
     n, m, i, j = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.i", f"{b}.i"))
     need = (n + m) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6  # words that two similar sets of these sizes share
     rest = F.least(n - i, m - j) + F.least(i, j)
-    only = lambda x, y: F.bit_count(F.col(f"{x}.bits").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits"))))
+    only = lambda x, y: sum(F.bit_count(F.col(f"{x}.{h}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{h}")))) for h in ("low", "high"))
     return (n >= m * THRESHOLD - 1e-6) & (m >= n * THRESHOLD - 1e-6) & (rest >= need) & (n - only(a, b) >= need) & (m - only(b, a) >= need)
 
 
@@ -95,38 +112,54 @@ def _before(a: str, b: str) -> Column:
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, rarity: Column) -> DataFrame:
-    """Those (lid, other) whose sets are similar."""
+    """(lid): lines of pairs (lid, other) whose sets are similar."""
     pairs = common.written(pairs, "candidates")
-    wanted = pairs.select("lid").unionByName(pairs.select(F.col("other").alias("lid")))
-    found = lines.filter(_passes(_filter(wanted)))
-    sets = common.written(_with_sets(found, rarity).select("lid", "s").join(wanted.distinct(), "lid", "left_semi").dropDuplicates(["lid"]), "sets")
+    wanted = common.written(pairs.select("lid").unionByName(pairs.select(F.col("other").alias("lid"))).distinct(), "wanted")
+    found = _with_sets(lines.filter(_passes(_filter(wanted))), rarity).select("lid", "s").join(wanted, "lid", "left_semi")
+    # a line's copies are one row: numbers of its words, each the same
+    sets = common.written(found.groupBy("lid").agg(F.min("s").alias("s")), "sets")
     both = pairs.join(sets, "lid").withColumnRenamed("s", "s1").join(sets.select(F.col("lid").alias("other"), F.col("s").alias("s2")), "other")
     shared = F.size(F.array_intersect("s1", "s2"))
-    return both.filter(shared >= (F.size("s1") + F.size("s2") - shared) * THRESHOLD - 1e-9).select("lid", "other")
+    return both.filter(shared >= (F.size("s1") + F.size("s2") - shared) * THRESHOLD - 1e-9).select("lid").distinct()
+
+
+def _by_word(prefixes: DataFrame) -> tuple[DataFrame, str]:
+    """The prefix rows as a table in buckets by word, so that joins by word need no further shuffle; and its name."""
+    spark, name = prefixes.sparkSession, f"graphloom_prefixes_{uuid.uuid4().hex}"
+    parts = common.partitions(spark)
+    common.release(spark)
+    prefixes.repartition(parts, "t").write.bucketBy(parts, "t").sortBy("t").option("compression", "zstd").saveAsTable(name)
+    common.release(spark)
+    return spark.table(name), name
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, no) of every line that goes; did is the doc_id, a null one as the least long."""
     texts = _texts(docs, id_col, text_col)
     lines, rarity = _lines(texts), _rarity(texts)
-    first = common.written(lines.groupBy("lid").agg(F.min(F.struct("did", "no")).alias("at"), F.count("*").alias("copies")).select("lid", "at.did", "at.no", "copies"), "first-lines")
-    copied = _passes(_filter(first.filter("copies > 1")))
+    first = common.written(lines.groupBy("lid").agg(F.min(F.struct("did", "no")).alias("at"), F.count("*").alias("copies")).filter("copies > 1").select("lid", "at.did", "at.no"), "first-lines")
+    copied = _passes(_filter(first))
     single = _prefixes(lines.filter(~copied), rarity)
     # copies are one row for each word before anything is dealt out by word
-    many = _prefixes(lines.filter(copied), rarity).groupBy("t", "i", "n", "bits", "lid").agg(F.min(F.struct("did", "no")).alias("at")).select("at.did", "at.no", "lid", "n", "bits", "i", "t")
-    prefixes = common.written(single.unionByName(many), "prefixes")
-    earliest = prefixes.groupBy("t").agg(F.count("*").alias("here"), F.min(F.struct("did", "no", "lid", "n", "bits", "i")).alias("e")).filter("here > 1").select("t", "e.*")
-    a, b = prefixes.alias("a"), earliest.alias("b")
-    easy = a.join(b, F.col("a.t") == F.col("b.t")).filter((F.col("a.lid") != F.col("b.lid")) & _before("a", "b") & _could_be("a", "b"))
-    settled = common.written(_similar(easy.select("a.lid", F.col("b.lid").alias("other")).distinct(), lines, rarity).select("lid").distinct(), "settled")
-    shared = prefixes.join(earliest.select("t"), "t", "left_semi")
-    a, b = shared.join(settled, "lid", "left_anti").alias("a"), shared.alias("b")
-    hard = a.join(b, F.col("a.t") == F.col("b.t")).filter((F.col("a.lid") != F.col("b.lid")) & _before("a", "b") & _could_be("a", "b"))
-    also = _similar(hard.select("a.lid", F.col("b.lid").alias("other")).distinct(), lines, rarity).select("lid").distinct()
-    gone = settled.unionByName(also).distinct().withColumn("gone", F.lit(True))
-    judged = first.filter("copies > 1").select("lid", F.col("did").alias("d0"), F.col("no").alias("n0")).join(gone, "lid", "full")
+    many = _prefixes(lines.filter(copied), rarity).groupBy("t", "i", "n", "low", "high", "lid").agg(F.min(F.struct("did", "no")).alias("at")).select("at.did", "at.no", "lid", "n", "low", "high", "i", "t")
+    prefixes, name = _by_word(single.unionByName(many))
+    earliest = prefixes.groupBy("t").agg(F.min(F.struct("did", "no", "lid", "n", "low", "high", "i")).alias("e"), F.count("*").alias("here")).filter("here > 1").select("t", "e.*")
+
+    def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+        met = a.alias("a").join(b.alias("b"), F.col("a.t") == F.col("b.t")).filter((F.col("a.lid") != F.col("b.lid")) & _before("a", "b") & _could_be("a", "b"))
+        return met.select("a.lid", F.col("b.lid").alias("other"))
+
+    common.release(prefixes.sparkSession)
+    settled = common.written(_similar(candidates(prefixes, earliest).distinct(), lines, rarity), "settled")
+    maybe = _passes(_filter(settled))
+    open_ = prefixes.filter(maybe).join(settled, "lid", "left_anti")  # seldom: bits of another line
+    hard = candidates(prefixes.filter(~maybe), prefixes).unionByName(candidates(open_, prefixes)).distinct()
+    gone = common.written(settled.unionByName(_similar(hard, lines, rarity)).distinct().withColumn("gone", F.lit(True)), "gone")
+    prefixes.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    common.release(prefixes.sparkSession)
+    judged = common.written(first.select("lid", F.col("did").alias("d0"), F.col("no").alias("n0")).join(gone, "lid", "full"), "judged-lines")
     # a copy behind the first of its line goes; the first goes with its line
-    hit = lines.filter(_passes(_filter(judged))).filter(F.regexp_like("line", F.lit(r"[^ \t\x0B\f\r]"))).select("did", "no", "lid").join(judged, "lid")
+    hit = lines.filter(_passes(_filter(judged))).filter(F.btrim("line", F.lit(_BLANKS)) != "").select("did", "no", "lid").join(judged, "lid")
     return hit.filter(F.col("gone") | (F.col("did") > F.col("d0")) | ((F.col("did") == F.col("d0")) & (F.col("no") > F.col("n0")))).select("did", "no")
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.closure import cut
+
 #: Words, numbers, runs of blanks, and any other single character.
 PATTERN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[ \t\r\x0b\x0c]+|."
 #: Words that open a declaration, and words that can't be its name.
@@ -72,7 +74,7 @@ def intern(tokens: DataFrame) -> DataFrame:
 def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds a dense rank from 0 by columns that tell rows apart, without a window over everything: numbers within range partitions, plus the sizes of those before."""
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    placed = placed.withColumn("_p", F.shiftright("_m", 33))
+    placed = cut(placed).withColumn("_p", F.shiftright("_m", 33))  # read twice, so it must not be dealt out anew
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     return placed.join(F.broadcast(starts), "_p").withColumn(name, F.col("_m").bitwiseAND((1 << 33) - 1) + F.col("_s")).drop("_m", "_p", "_s")

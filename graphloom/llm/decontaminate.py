@@ -104,6 +104,13 @@ class Reference:
             out[half[first]] = np.add.reduceat(rows[features], first, axis=0)
         return out
 
+    def counts(self, w: np.ndarray) -> np.ndarray:
+        """Features of each passage of a short text, counted."""
+        places, features = self.features(w)
+        b = np.zeros((max(1, -(-len(w) // HALF)) + 1, self.size), np.float32)
+        np.add.at(b, (places // HALF, features), 1)
+        return b[:-1] + b[1:] if len(b) <= 2 else (b[:-1] + b[1:])[:-1]
+
     def passages(self, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Passage k is half k and the next; the last half alone is one only in a text of one half."""
         b = self.blocks(*self.features(w), rows, len(w))
@@ -160,8 +167,10 @@ def _sketch(texts: DataFrame, sent, omega: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _latent(ref: Reference, y: np.ndarray, omega: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows for each feature: its weight in each latent direction. The items' own passages have part in the moments."""
-    x = np.concatenate([ref.passages(w, np.eye(ref.size, dtype=np.float32)) for w in ref.items if len(w)] or [np.zeros((1, ref.size), np.float32)])
-    own = x.T @ (x @ omega)
+    own = np.zeros_like(y)
+    for w in ref.items:
+        x = ref.counts(w)
+        own += x.T @ (x @ omega)
     scale = max(1.0, np.linalg.norm(y) / max(np.linalg.norm(own), 1e-9))
     y = (y + scale * own) * idf[:, None]  # moments of the weighted vectors, times omega over idf
     inner = (omega / idf[:, None]).T @ y
@@ -175,6 +184,7 @@ def _latent(ref: Reference, y: np.ndarray, omega: np.ndarray, idf: np.ndarray) -
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, share (of the item's words found in order), cosine, answered, start (in words of the document): a row for every document and benchmark item that it contains."""
     spark = docs.sparkSession
+    common.release(spark)
     rows = [(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("long"), F.coalesce(F.col(item_text), F.lit(""))).distinct().toLocalIterator()]
     ref = Reference([(i, t) for i, t in sorted(rows, key=lambda x: (x[0] is None, x)) if re.search(r"\w", t)])
     sent = common.bounded(spark, pickle.dumps(ref), BENCHMARK_MOST)

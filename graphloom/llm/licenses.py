@@ -3,10 +3,10 @@
 Candidate blocks are runs of sentences or lines with a word that licence notices
 use. A block is compressed with zstandard by itself and with each licence template
 as raw dictionary; templates are ranked by how much smaller the block gets. The
-best are then confirmed by wording: the block's words are compared with each phrase
-of the template by their longest common subsequence, and the phrase with the fewest
-differing words wins if every word that tells the licence apart (name, version,
-clauses) is there and no word of that kind which the template lacks.
+best are then confirmed by wording: stretches of the block's words are compared with
+each phrase of the template by their longest common subsequence, and the phrase with
+the fewest differing words wins if every word that tells the licence apart (name,
+version, clauses) is there and no word of that kind which the template lacks.
 
 Null and empty texts have no blocks. Every block has a row, also where no licence is
 confirmed (license is null then). Repeated rows have their blocks each.
@@ -60,6 +60,8 @@ _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 TELLING = set("apache mit bsd gnu gpl lgpl agpl mozilla mpl isc unlicense cc cc0 sa nc nd lesser affero sharealike noncommercial noderivatives simplified 1.0 2 2.0 2.1 3 4.0 v2 v2.1 v3".split())
 #: A template must make the block so much smaller, the best few are looked at, and so many of a phrase's words may differ.
 LEAST_GAIN, LOOKED_AT, MOST_DIFFERENT = 0.15, 5, 0.34
+#: A block begins at most so many characters before its first trigger word.
+REACH = 240
 #: Blocks remembered by a worker, and bytes of a block compared (longer blocks are cut into such pieces).
 REMEMBERED, PIECE = 100_000, 4096
 
@@ -74,8 +76,8 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
     for hit in TRIGGER.finditer(text):
         if stop is not None and hit.start() < stop:
             continue
-        a = max(text.rfind("\n", 0, hit.start()) + 1, max((text.rfind(e, 0, hit.start()) + 2 for e in (". ", "! ", "? ") if text.rfind(e, max(0, hit.start() - PIECE), hit.start()) >= 0), default=0))
-        end = _SENTENCE.match(text, hit.start()).end()
+        a = max(hit.start() - REACH, text.rfind("\n", 0, hit.start()) + 1, max((text.rfind(e, 0, hit.start()) + 2 for e in (". ", "! ", "? ") if text.rfind(e, max(0, hit.start() - PIECE), hit.start()) >= 0), default=0))
+        end = min(_SENTENCE.match(text, hit.start()).end(), hit.start() + PIECE)
         if stop is not None and not text[stop:a].strip():
             stop = end
         else:
@@ -128,19 +130,19 @@ class Scanner:
     def _confirmed(self, block: str) -> tuple[str | None, float, int | None]:
         gains = self.gains(block)
         words, best = _WORD.findall(block.lower()), None
-        telling = TELLING.intersection(words)
         # templates that gain equally much are looked at together
         bar = max(LEAST_GAIN, gains[min(LOOKED_AT, len(gains)) - 1][0])
         for gain, name in gains:
             if gain < bar:
                 break
             for _, own in self.phrases[name]:
-                needed = TELLING.intersection(own)
-                if needed != telling:
-                    continue
-                d = differences(own, words)
-                if d <= MOST_DIFFERENT * len(own) and (best is None or (d, -gain, name) < best):
-                    best = (d, -gain, name)
+                needed, held = TELLING.intersection(own), set(own)
+                for p in [p for p, w in enumerate(words) if w in held and (p == 0 or words[p - 1] not in held)]:
+                    for stretch in {tuple(words[p : p + len(own)]), tuple(words[p : p + len(own) + len(own) // 3])}:
+                        if TELLING.intersection(stretch) == needed:
+                            d = differences(own, list(stretch))
+                            if d <= MOST_DIFFERENT * len(own) and (best is None or (d, -gain, name) < best):
+                                best = (d, -gain, name)
         return (best[2], -best[1], best[0]) if best else (None, gains[0][0], None)
 
 

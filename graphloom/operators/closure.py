@@ -43,23 +43,21 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     live = cut(edges.filter("src <> dst").select("src", "dst").distinct())
     found = left.limit(0).withColumn("scc_id", F.col("node"))
     while not live.isEmpty():
-        while True:  # trim
+        # two rounds of trimming; what they leave of long tails colours settle as well
+        for _ in range(2):
             inner = live.select(F.col("src").alias("node")).distinct().intersect(live.select(F.col("dst").alias("node")).distinct())
-            kept = cut(live.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi"))
-            done = kept.count() == live.count()
-            live = kept
-            if done:
-                break
+            live = live.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi")
+        live = cut(live)
         if live.isEmpty():
             break
         colour = cut(live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct().withColumn("c", F.col("node")))
         while True:
             pushed = live.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("c").alias("m"))
-            nxt = cut(colour.join(pushed, F.col("node") == F.col("dst"), "left").select("node", F.greatest("c", F.coalesce("m", "c")).alias("c")))
-            changed = nxt.join(colour.withColumnRenamed("c", "c0"), "node").filter("c <> c0").isEmpty()
-            colour = nxt
-            if changed:
+            nxt = colour.join(pushed, F.col("node") == F.col("dst"), "left").select("node", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.col("m") > F.col("c")).alias("moved"))
+            colour = cut(nxt)
+            if colour.filter("moved").isEmpty():
                 break
+            colour = colour.drop("moved")
         a, b = colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), colour.select(F.col("node").alias("dst"), F.col("c").alias("cd"))
         inside = live.join(a, "src").join(b, "dst").filter("cs = cd")
         back = closure(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.filter("node = c").select(F.col("c").alias("root"), "node"))

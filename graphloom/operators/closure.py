@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,15 +35,95 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def weak_components(edges: DataFrame) -> DataFrame:
+    """(node, root): root is the least node joined to a node by edges (src, dst) in any direction. Large-star and small-star steps in turn, two grouped minima and a join each, until nothing moves."""
+    links = cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    before = state(links)
+    while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        links = cut(small.filter("u <> v").distinct())
+        if (now := state(links)) == before:
+            break
+        before = now
+    roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def strong_components(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """node -> least node of its strongly connected component, by depth-first search with a stack of open nodes."""
+    succ: dict[int, list[int]] = {}
+    for a, b in edges:
+        succ.setdefault(a, []).append(b)
+        succ.setdefault(b, [])
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for start in succ:
+        if start in index:
+            continue
+        work = [(start, iter(succ[start]))]
+        index[start] = low[start] = len(index)
+        open_.append(start)
+        while work:
+            node, rest = work[-1]
+            for b in rest:
+                if b not in index:
+                    index[b] = low[b] = len(index)
+                    open_.append(b)
+                    work.append((b, iter(succ[b])))
+                    break
+                if b not in out:
+                    low[node] = min(low[node], index[b])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    at = open_.index(node) if len(open_) < 64 else len(open_) - 1 - open_[::-1].index(node)
+                    members, open_[at:] = open_[at:], []
+                    out |= dict.fromkeys(members, min(members))
+    return out
+
+
+#: Edges of a weak component that one task may take whole; larger ones are coloured.
+GATHERED = 50_000
+
+
+def scc(nodes: DataFrame, edges: DataFrame, gathered: int = GATHERED) -> DataFrame:
     """(node, scc_id, scc_size, scc_class): scc_id is the least node of the component; class 0 single, 1 a single node that calls itself, 2 several.
 
-    Nodes without way in or out are trimmed round by round. Then colours: every node takes the greatest node that reaches it; those that reach their colour's root back, within the colour, are the root's component and leave.
+    Weak components of a bounded number of edges are one row each and searched depth first, all in parallel. What is in larger ones is coloured.
     """
-    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
-    left = cut(nodes.select("node").distinct())
     live = cut(edges.filter("src <> dst").select("src", "dst").distinct())
-    found = left.limit(0).withColumn("scc_id", F.col("node"))
+    weak = weak_components(live)
+    rooted = cut(live.join(weak, F.col("src") == F.col("node")).select("root", "src", "dst"))
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
+    few = rooted.join(sizes.filter(F.col("n") <= gathered), "root").groupBy("root").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for es in batch.column("edges").to_pylist() for x in strong_components([(e["src"], e["dst"]) for e in es]).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["node", "scc_id"])
+
+    found = few.select("edges").mapInArrow(search, "node long, scc_id long")
+    many = rooted.join(sizes.filter(F.col("n") > gathered).select("root"), "root", "left_semi").select("src", "dst")
+    found = found.unionByName(_coloured(cut(many)))
+    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
+    named = nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("scc_id", "node").alias("scc_id"))
+    counts = named.groupBy("scc_id").agg(F.count("*").alias("scc_size"))
+    sized = named.join(counts, "scc_id").join(loops, "node", "left")
+    return sized.select("node", "scc_id", "scc_size", F.when(F.col("scc_size") > 1, 2).when(F.col("loop"), 1).otherwise(0).cast("long").alias("scc_class"))
+
+
+def _coloured(live: DataFrame) -> DataFrame:
+    """(node, scc_id). Every node takes the greatest node that reaches it as its colour; those that reach their colour's root back, within the colour, are the root's component and leave; and so on with what is left."""
+    found = live.select(F.col("src").alias("node"), F.col("src").alias("scc_id")).limit(0)
     while not live.isEmpty():
         # two rounds of trimming; what they leave of long tails colours settle as well
         for _ in range(2):
@@ -66,10 +148,7 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         found = found.unionByName(part.join(ids, "root").select("node", "scc_id"))
         gone = part.select("node")
         live = cut(live.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
-    named = left.join(found, "node", "left").select("node", F.coalesce("scc_id", "node").alias("scc_id"))
-    size = F.count("*").over(Window.partitionBy("scc_id"))
-    sized = named.withColumn("scc_size", size).join(loops, "node", "left")
-    return sized.select("node", "scc_id", "scc_size", F.when(F.col("scc_size") > 1, 2).when(F.col("loop"), 1).otherwise(0).cast("long").alias("scc_class"))
+    return found
 
 
 def acyclic(edges: DataFrame) -> bool:

@@ -59,8 +59,9 @@ def test_components_and_closure_of_random_graphs(spark):
         want, reach = _components(n, edges)
         e = spark.createDataFrame(edges, "src long, dst long")
         nodes = spark.createDataFrame([(i,) for i in range(n)], "node long")
-        got = closure.scc(nodes, e).collect()
-        assert {r.node: r.scc_id for r in got} == want and sum(1 for r in got) == n
+        for gathered in (1000, 0):
+            got = closure.scc(nodes, e, gathered).collect()
+            assert {r.node: r.scc_id for r in got} == want and sum(1 for r in got) == n
         found = closure.closure(e, nodes.select(F.col("node").alias("root"), "node")).collect()
         assert {(r.root, r.node) for r in found} == {(a, b) for a in reach for b in reach[a]}
 

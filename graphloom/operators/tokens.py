@@ -48,10 +48,14 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def tokens_per_file(tokens: DataFrame, order: str = "file_id") -> DataFrame:
-    """(file_id, first_token_id, token_count): ids are dense over the files in order. The running sum runs over one row for each file."""
+    """(file_id, first_token_id, token_count): ids are dense over the files in order. Running sums are made within range partitions; only the partitions' totals meet in one task."""
     counts = tokens.groupBy("file_id").agg(F.count("*").alias("token_count"))
-    before = F.sum("token_count").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("file_id", F.coalesce(before, F.lit(0)).alias("first_token_id"), "token_count")
+    placed = cut(counts.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    inside = F.sum("token_count").over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    totals = placed.groupBy("_p").agg(F.sum("token_count").alias("_n"))
+    starts = totals.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    rows = placed.withColumn("_i", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "_p")
+    return rows.select("file_id", (F.col("_s") + F.col("_i")).alias("first_token_id"), "token_count")
 
 
 def allocate_ids(tokens: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -28,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files and compiled plans go when the driver's JVM collects what refers to them; after a written step that need not wait until its heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends here and any executor can reread it. The files go when the application ends."""
     spark = df.sparkSession
@@ -35,13 +42,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's JVM collects what refers to them; after a large step that need not wait until its heap is full."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextlib.contextmanager
+def short_plans(spark: SparkSession, most: int = 20_000):
+    """Plans that hold tables as literals are described in so many characters at most, so that the driver doesn't keep their text."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

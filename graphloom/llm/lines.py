@@ -29,7 +29,7 @@ from graphloom.llm import common
 
 THRESHOLD = 0.8
 #: Bytes of the rarity table and of the filters by line, whose sizes are fixed; a fuller filter only lets more rows through. A byte holds seven bits.
-RARITY_BYTES, FILTER_BYTES, SEVEN = 1 << 18, 1 << 18, 7
+RARITY_BYTES, FILTER_BYTES, SEVEN = 1 << 17, 1 << 17, 7
 _BLANKS, _SPACE, _HASH_BITS = " \t\x0b\f\r", r"[ \t\x0B\f\r]+", 56
 
 
@@ -42,12 +42,11 @@ def _lines(texts: DataFrame) -> DataFrame:
     return texts.select("did", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).withColumn("lid", F.xxhash64("line"))
 
 
-def _bytes(table: DataFrame, size: int) -> Column:
-    """(b, x) with x under 128, x being 0 where there is no b, as a literal of `size` bytes."""
+def _bytes(table: DataFrame, size: int) -> DataFrame:
+    """One row, s: (b, x) with x under 128, x being 0 where there is no b, as a string of `size` bytes."""
     every = table.sparkSession.range(size).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("x"))
     whole = table.unionByName(every).groupBy("b").agg(F.max("x").alias("x")).select(F.struct("b", "x").alias("y"))
-    joined = whole.agg(F.array_join(F.transform(F.sort_array(F.collect_list("y")), lambda y: F.char(y["x"])), "").alias("s")).first()["s"]
-    return F.lit(bytearray(joined.encode()))
+    return whole.agg(F.array_join(F.transform(F.sort_array(F.collect_list("y")), lambda y: F.char(y["x"])), "").alias("s"))
 
 
 def _byte(literal: Column, at: Column) -> Column:
@@ -59,18 +58,15 @@ def _rarity(texts: DataFrame) -> Column:
     words = texts.select(F.explode(F.split("text", r"[ \t\x0B\f\r\n]+")).alias("w")).filter("w <> ''")
     often = words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(127), F.floor(F.log2("n") * 5) + 1).cast("long")
-    return _bytes(often.groupBy(F.col("h").bitwiseAND(RARITY_BYTES - 1).alias("b")).agg(F.max(level).alias("x")), RARITY_BYTES)
+    table = _bytes(often.groupBy(F.col("h").bitwiseAND(RARITY_BYTES - 1).alias("b")).agg(F.max(level).alias("x")), RARITY_BYTES)
+    return F.lit(bytearray(table.first()["s"].encode()))  # a subquery can't stand in a lambda
 
 
-def _filter(lids: DataFrame) -> Column:
-    """The bits of the given lines, set, as a literal of fixed size."""
-    place = F.pmod("lid", F.lit(FILTER_BYTES * SEVEN))
-    bits = lids.select(F.floor(place / SEVEN).alias("b"), F.expr(f"shiftleft(1L, cast(pmod(pmod(lid, {FILTER_BYTES * SEVEN}), {SEVEN}) as int))").alias("x"))
-    return _bytes(bits.groupBy("b").agg(F.bit_or("x").alias("x")), FILTER_BYTES)
-
-
-def _passes(literal: Column) -> Column:
-    place = F.pmod("lid", F.lit(FILTER_BYTES * SEVEN))
+def _filter(lids: DataFrame, size: int = FILTER_BYTES) -> Column:
+    """Whether a row's lid may be one of the given: by `size` bytes with their bits set. False is certain."""
+    place = F.pmod("lid", F.lit(size * SEVEN))
+    bits = lids.select(F.floor(place / SEVEN).alias("b"), F.expr(f"shiftleft(1L, cast(pmod(pmod(lid, {size * SEVEN}), {SEVEN}) as int))").alias("x"))
+    literal = common.written(_bytes(bits.groupBy("b").agg(F.bit_or("x").alias("x")), size).select(F.col("s").cast("binary").alias("s")), "filter").scalar()
     return F.call_function("shiftright", _byte(literal, F.floor(place / SEVEN)), F.pmod(place, F.lit(SEVEN)).cast("int")).bitwiseAND(1) == 1
 
 
@@ -115,7 +111,7 @@ def _similar(pairs: DataFrame, lines: DataFrame, rarity: Column) -> DataFrame:
     """(lid): lines of pairs (lid, other) whose sets are similar."""
     pairs = common.written(pairs, "candidates")
     wanted = common.written(pairs.select("lid").unionByName(pairs.select(F.col("other").alias("lid"))).distinct(), "wanted")
-    found = _with_sets(lines.filter(_passes(_filter(wanted))), rarity).select("lid", "s").join(wanted, "lid", "left_semi")
+    found = _with_sets(lines.filter(_filter(wanted)), rarity).select("lid", "s").join(wanted, "lid", "left_semi")
     # a line's copies are one row: numbers of its words, each the same
     sets = common.written(found.groupBy("lid").agg(F.min("s").alias("s")), "sets")
     both = pairs.join(sets, "lid").withColumnRenamed("s", "s1").join(sets.select(F.col("lid").alias("other"), F.col("s").alias("s2")), "other")
@@ -127,7 +123,6 @@ def _by_word(prefixes: DataFrame) -> tuple[DataFrame, str]:
     """The prefix rows as a table in buckets by word, so that joins by word need no further shuffle; and its name."""
     spark, name = prefixes.sparkSession, f"graphloom_prefixes_{uuid.uuid4().hex}"
     parts = common.partitions(spark)
-    common.release(spark)
     prefixes.repartition(parts, "t").write.bucketBy(parts, "t").sortBy("t").option("compression", "zstd").saveAsTable(name)
     common.release(spark)
     return spark.table(name), name
@@ -135,10 +130,14 @@ def _by_word(prefixes: DataFrame) -> tuple[DataFrame, str]:
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, no) of every line that goes; did is the doc_id, a null one as the least long."""
-    texts = _texts(docs, id_col, text_col)
+    with common.short_plans(docs.sparkSession):
+        return _removed_lines(_texts(docs, id_col, text_col))
+
+
+def _removed_lines(texts: DataFrame) -> DataFrame:
     lines, rarity = _lines(texts), _rarity(texts)
     first = common.written(lines.groupBy("lid").agg(F.min(F.struct("did", "no")).alias("at"), F.count("*").alias("copies")).filter("copies > 1").select("lid", "at.did", "at.no"), "first-lines")
-    copied = _passes(_filter(first))
+    copied = _filter(first)
     single = _prefixes(lines.filter(~copied), rarity)
     # copies are one row for each word before anything is dealt out by word
     many = _prefixes(lines.filter(copied), rarity).groupBy("t", "i", "n", "low", "high", "lid").agg(F.min(F.struct("did", "no")).alias("at")).select("at.did", "at.no", "lid", "n", "low", "high", "i", "t")
@@ -149,17 +148,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         met = a.alias("a").join(b.alias("b"), F.col("a.t") == F.col("b.t")).filter((F.col("a.lid") != F.col("b.lid")) & _before("a", "b") & _could_be("a", "b"))
         return met.select("a.lid", F.col("b.lid").alias("other"))
 
-    common.release(prefixes.sparkSession)
     settled = common.written(_similar(candidates(prefixes, earliest).distinct(), lines, rarity), "settled")
-    maybe = _passes(_filter(settled))
+    maybe = _filter(settled, 2 * FILTER_BYTES)
     open_ = prefixes.filter(maybe).join(settled, "lid", "left_anti")  # seldom: bits of another line
     hard = candidates(prefixes.filter(~maybe), prefixes).unionByName(candidates(open_, prefixes)).distinct()
     gone = common.written(settled.unionByName(_similar(hard, lines, rarity)).distinct().withColumn("gone", F.lit(True)), "gone")
     prefixes.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    common.release(prefixes.sparkSession)
     judged = common.written(first.select("lid", F.col("did").alias("d0"), F.col("no").alias("n0")).join(gone, "lid", "full"), "judged-lines")
     # a copy behind the first of its line goes; the first goes with its line
-    hit = lines.filter(_passes(_filter(judged))).filter(F.btrim("line", F.lit(_BLANKS)) != "").select("did", "no", "lid").join(judged, "lid")
+    hit = lines.filter(_filter(judged)).filter(F.btrim("line", F.lit(_BLANKS)) != "").select("did", "no", "lid").join(judged, "lid")
     return hit.filter(F.col("gone") | (F.col("did") > F.col("d0")) | ((F.col("did") == F.col("d0")) & (F.col("no") > F.col("n0")))).select("did", "no")
 
 

@@ -40,14 +40,18 @@ BLOCK = 2048
 _LOW = np.uint64(0x5555555555555555)
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
+def hashes(text: str, size: int) -> np.ndarray:
+    """A hash for each shingle of so many words; one of all words where they are fewer, none without words."""
     words = text.encode().lower().split()
-    if not words:
-        return 0
     if len(words) <= size:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))), np.uint64, len(words) - size + 1)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))), np.uint64, len(words) - size + 1)
+
+
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    h = hashes(text, size)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):  # bounded working memory for long texts
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -165,6 +169,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of every group of near duplicates the document with the smallest doc_id; same columns. Of rows that repeat a doc_id all stay."""
-    found = near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"))
-    return docs.join(found, docs["doc_id"] == found["_id"], "left_anti")
+    """The pipeline's stage: near copies by five-word shingles, not by this query's fingerprints."""
+    from graphloom.llm import near
+
+    return near.keep_one(docs)

@@ -259,6 +259,32 @@ def test_near_duplicates_of_odd_documents(spark):
     assert 7 not in {r.doc_id for r in kept.collect()} and kept.columns == odd_documents(spark).columns
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_stage_joins_all_texts_from_four_fifths_of_five_word_shingles(spark, block):
+    from graphloom.llm import near
+
+    rng, texts = random.Random(12), []
+    for _ in range(25):
+        base = words(rng, 300, 5000).split()
+        texts.append(base)
+        for changed in (1, 3, 4, 5, 6, 7, 8):
+            other = list(base)
+            for at in rng.sample(range(300), changed):
+                other[at] = f"new{rng.random()}"
+            texts.append(other)
+    texts += [["a"] * 3, ["a"] * 3, []]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near.near_copies(docs, block=block).collect()} == dict(enumerate(root))
+    assert len(set(root)) < len(texts) - 100 and {r.doc_id for r in simhash.keep_one(docs).collect()} == set(root)
+
+
 # 9: approximate nearest neighbours
 
 

@@ -2,8 +2,8 @@
 
 Candidate blocks are runs of sentences or lines with a word that licence notices
 use. A block is compressed with zstandard by itself and with each licence template
-as raw dictionary; templates are ranked by how much smaller the block gets. The
-best are then confirmed by wording: stretches of the block's words are compared with
+as raw dictionary; templates are ranked by how much smaller the block gets. All are
+confirmed by wording: stretches of the block's words are compared with
 each phrase of the template by their longest common subsequence, and the phrase with
 the fewest differing words wins if every word that tells the licence apart (name,
 version, clauses) is there and no word of that kind which the template lacks.
@@ -58,8 +58,8 @@ _SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s)|\n|$)", re.DOTALL)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: Words that tell one licence from another.
 TELLING = set("apache mit bsd gnu gpl lgpl agpl mozilla mpl isc unlicense cc cc0 sa nc nd lesser affero sharealike noncommercial noderivatives simplified 1.0 2 2.0 2.1 3 4.0 v2 v2.1 v3".split())
-#: A template must make the block so much smaller, the best few are looked at, and so many of a phrase's words may differ.
-LEAST_GAIN, LOOKED_AT, MOST_DIFFERENT = 0.15, 5, 0.34
+#: So many of a phrase's words may differ.
+MOST_DIFFERENT = 0.34
 #: A block begins at most so many characters before its first trigger word.
 REACH = 240
 #: Blocks remembered by a worker, and bytes of a block compared (longer blocks are cut into such pieces).
@@ -130,11 +130,7 @@ class Scanner:
     def _confirmed(self, block: str) -> tuple[str | None, float, int | None]:
         gains = self.gains(block)
         words, best = _WORD.findall(block.lower()), None
-        # templates that gain equally much are looked at together
-        bar = max(LEAST_GAIN, gains[min(LOOKED_AT, len(gains)) - 1][0])
         for gain, name in gains:
-            if gain < bar:
-                break
             for _, own in self.phrases[name]:
                 needed, held = TELLING.intersection(own), set(own)
                 for p in [p for p, w in enumerate(words) if w in held and (p == 0 or words[p - 1] not in held)]:

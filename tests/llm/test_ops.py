@@ -435,6 +435,14 @@ def test_licence_blocks(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licences_in_long_sentences():
+    scanner, rng = licenses.Scanner(), random.Random(4)
+    names = lambda t: [scanner(b)[0] for _, b in licenses.blocks(t)]
+    prose = "".join(rng.choice("abcdefghij klmnop qrst ") for _ in range(600))
+    for notice, name in (("Released under the MIT License", "MIT"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("Licensed under the GNU GPL v2", "GPL-2.0")):
+        assert names(prose[:239] + " " + notice + ".") == [name] and names(notice + " " + prose) == [name] and names(prose[:200] + " " + notice + " " + prose) == [name]
+
+
 # queries and pipeline
 
 

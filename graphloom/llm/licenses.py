@@ -3,13 +3,15 @@
 Candidate blocks are runs of sentences or lines with a word that licence notices
 use. A block is compressed with zstandard by itself and with each licence template
 as raw dictionary; templates are ranked by how much smaller the block gets. All are
-confirmed by wording: stretches of the block's words are compared with
-each phrase of the template by their longest common subsequence, and the phrase with
-the fewest differing words wins if every word that tells the licence apart (name,
-version, clauses) is there and no word of that kind which the template lacks.
-
-Null and empty texts have no blocks. Every block has a row, also where no licence is
-confirmed (license is null then). Repeated rows have their blocks each.
+confirmed by wording: stretches of words that the block has part in are compared with
+each phrase of a template by their longest common subsequence. A stretch counts if few
+words differ, every word that tells the licence apart (name, version, clauses) is
+there and no word of that kind which the phrase lacks. Of stretches that overlap the
+one with the fewest differing words stays; gains decide between equals.
+
+Null and empty texts have no blocks. Every block has a row for each of its stretches,
+and one where no licence is confirmed (license is null then). Repeated rows have their
+blocks each.
 """
 
 from __future__ import annotations
@@ -62,8 +64,10 @@ TELLING = set("apache mit bsd gnu gpl lgpl agpl mozilla mpl isc unlicense cc cc0
 MOST_DIFFERENT = 0.34
 #: A block begins at most so many characters before its first trigger word.
 REACH = 240
-#: Blocks remembered by a worker, and bytes of a block compared (longer blocks are cut into such pieces).
+#: Blocks remembered by a worker, the longest of them, and characters of a sentence behind a trigger word.
 REMEMBERED, PIECE = 100_000, 4096
+#: Characters behind a block that a stretch may go on in.
+BEHIND = 400
 
 
 def phrases() -> dict[str, list[str]]:
@@ -82,15 +86,10 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
             stop = end
         else:
             if start is not None:
-                yield from _cut(start, text[start:stop])
+                yield start, text[start:stop].rstrip()
             start, stop = a, end
     if start is not None:
-        yield from _cut(start, text[start:stop])
-
-
-def _cut(start: int, block: str) -> Iterator[tuple[int, str]]:
-    for at in range(0, len(block), PIECE):
-        yield start + at, block[at : at + PIECE].rstrip()
+        yield start, text[start:stop].rstrip()
 
 
 def differences(a: list[str], b: list[str]) -> int:
@@ -111,39 +110,67 @@ class Scanner:
         self.phrases = {k: [(p, _WORD.findall(p.lower())) for p in ps] for k, ps in phrases().items()}
         self.plain = zstandard.ZstdCompressor(level=6, write_content_size=False)
         self.given = {k: zstandard.ZstdCompressor(level=6, write_content_size=False, dict_data=zstandard.ZstdCompressionDict("\n".join(p for p, _ in ps).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, ps in self.phrases.items()}
-        self.seen: dict[str, tuple] = {}
+        self.seen: dict[tuple[str, str, str], list[tuple]] = {}
 
-    def gains(self, block: str) -> list[tuple[float, str]]:
-        """How much smaller the block gets by each template, the most first."""
+    def gains(self, block: str) -> dict[str, float]:
+        """How much smaller the block gets by each template."""
         raw = block.encode()
         alone = len(self.plain.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+        return {k: 1 - len(c.compress(raw)) / alone for k, c in self.given.items()}
 
     def __call__(self, block: str) -> tuple[str | None, float, int | None]:
-        """(licence or None, gain of the best template, differing words of the confirmed phrase)"""
-        if (found := self.seen.get(block)) is None:
-            if len(self.seen) > REMEMBERED:
-                self.seen.clear()
-            found = self.seen[block] = self._confirmed(block)
+        """The first of all()."""
+        return self.all(block)[0]
+
+    def all(self, block: str, behind: str = "", ahead: str = "") -> list[tuple[str | None, float, int | None]]:
+        """(licence, gain of its template, differing words) of every confirmed stretch in order, or one row of None, the best gain and None. behind, ahead: the text that follows the block, and what lies before it up to the last block."""
+        if (found := self.seen.get((block, behind, ahead))) is None:
+            found = self._confirmed(block, behind, ahead)
+            if len(block) <= PIECE:
+                if len(self.seen) > REMEMBERED:
+                    self.seen.clear()
+                self.seen[block, behind, ahead] = found
         return found
 
-    def _confirmed(self, block: str) -> tuple[str | None, float, int | None]:
+    def _stretches(self, words: list[str], first: int, n: int) -> Iterator[tuple[int, int, int, str, list[str]]]:
+        """(differing words, start, stop, licence, phrase) of stretches that begin in the first n words and reach beyond the word `first`."""
+        there = set(words)
+        for name, ps in self.phrases.items():
+            for _, own in ps:
+                needed, held, size = TELLING.intersection(own), set(own), len(own)
+                most = int(MOST_DIFFERENT * size)
+                if not needed <= there or len(held & there) < len(held) - most:
+                    continue
+                so_far = [0]
+                for w in words:
+                    so_far.append(so_far[-1] + (w in held))
+                for p in range(n):
+                    if words[p] not in held or so_far[min(p + size + size // 3, len(words))] - so_far[p] < size - most:
+                        continue
+                    best = None
+                    for stop in range(max(first + 1, p + size - most), min(p + size + size // 3, len(words)) + 1):
+                        if size + stop - p - 2 * (so_far[stop] - so_far[p]) <= most and TELLING.intersection(words[p:stop]) == needed:
+                            d = differences(own, words[p:stop])
+                            if d <= most and (best is None or d < best[0]):
+                                best = (d, p, stop, name, own)
+                    if best:
+                        yield best
+
+    def _confirmed(self, block: str, behind: str, ahead: str) -> list[tuple[str | None, float, int | None]]:
         gains = self.gains(block)
-        words, best = _WORD.findall(block.lower()), None
-        for gain, name in gains:
-            for _, own in self.phrases[name]:
-                needed, held = TELLING.intersection(own), set(own)
-                for p in [p for p, w in enumerate(words) if w in held and (p == 0 or words[p - 1] not in held)]:
-                    for stretch in {tuple(words[p : p + len(own)]), tuple(words[p : p + len(own) + len(own) // 3])}:
-                        if TELLING.intersection(stretch) == needed:
-                            d = differences(own, list(stretch))
-                            if d <= MOST_DIFFERENT * len(own) and (best is None or (d, -gain, name) < best):
-                                best = (d, -gain, name)
-        return (best[2], -best[1], best[0]) if best else (None, gains[0][0], None)
-
+        words = _WORD.findall(ahead.lower())
+        first = len(words)
+        words += _WORD.findall(block.lower())
+        n = len(words)
+        words += _WORD.findall(behind[:BEHIND].lower())
+        taken: list[tuple[int, int, str, int]] = []
+        for d, p, stop, name, own in sorted(self._stretches(words, first, n), key=lambda x: (x[0], -len(x[4]), -gains[x[3]], x[3], x[1])):
+            if all(stop <= a or b <= p for a, b, _, _ in taken):
+                taken.append((p, stop, name, d))
+        return [(name, gains[name], d) for _, _, name, d in sorted(taken)] or [(None, max(gains.values()), None)]
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start (in characters), block, license, gain, n_differences, exact for every candidate block."""
+    """doc_id, start (in characters), block, license, gain, n_differences, exact for every licence in a candidate block, or for the block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
@@ -151,9 +178,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for batch in common.slices(whole):
                 ids, rows = [], []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    last = 0
                     for start, block in blocks(text):
-                        ids.append(doc_id)
-                        rows.append((start, block, *scanner(block)))
+                        ahead, last = text[max(last, start - REACH) : start], start + len(block)
+                        for found in scanner.all(block, text[last : last + BEHIND], ahead):
+                            ids.append(doc_id)
+                            rows.append((start, block, *found))
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64()), pa.array([d == 0 for d in cols[4]], pa.bool_())], names=["doc_id", "start", "block", "license", "gain", "n_differences", "exact"])
 

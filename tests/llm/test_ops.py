@@ -443,6 +443,23 @@ def test_licences_in_long_sentences():
         assert names(prose[:239] + " " + notice + ".") == [name] and names(notice + " " + prose) == [name] and names(prose[:200] + " " + notice + " " + prose) == [name]
 
 
+def licences_of(text):
+    scanner, out, last = licenses.Scanner(), [], 0
+    for at, b in licenses.blocks(text):
+        out += [x[0] for x in scanner.all(b, text[at + len(b) :][:2500], text[max(last, at - licenses.REACH) : at]) if x[0]]
+        last = at + len(b)
+    return out
+
+
+def test_licences_one_after_another(spark):
+    three = "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.\nDistributed under the Apache License 2.0, see the accompanying file LICENSE."
+    docs = spark.createDataFrame([(1, three)], "doc_id long, text string")
+    assert sorted(r.license for r in licenses.scan(docs).collect()) == ["Apache-2.0", "CC-BY-NC-4.0", "MIT"]
+    many = "\n".join([f"The license of this part is given by the line below, says part {i}." for i in range(58)] + ["Released under the MIT License."] * 40)
+    for at in range(0, 30, 3):
+        assert licences_of("licence " + "z" * at + ".\n" + many) == ["MIT"] * 40
+
+
 # queries and pipeline
 
 

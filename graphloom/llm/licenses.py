@@ -7,7 +7,8 @@ confirmed by wording: stretches of words that the block has part in are compared
 each phrase of a template by their longest common subsequence. A stretch counts if few
 words differ, every word that tells the licence apart (name, version, clauses) is
 there and no word of that kind which the phrase lacks. Of stretches that overlap the
-one with the fewest differing words stays; gains decide between equals.
+one with the fewest differing words stays; gains decide between equals. BSD's opening
+is BSD-3-Clause where the third clause follows.
 
 Null and empty texts have no blocks. Every block has a row for each of its stretches,
 and one where no licence is confirmed (license is null then). Repeated rows have their
@@ -55,6 +56,25 @@ OPENINGS = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
 }
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+#: Titles of full licence texts and standard headers of files.
+HEADERS = {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004"],
+    "MIT": ["The MIT License (MIT)"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", _GNU.format("General Public License", "2")],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _GNU.format("General Public License", "3")],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", _GNU.format("Lesser General Public License", "2.1")],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _GNU.format("Lesser General Public License", "3")],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", _GNU.format("Affero General Public License", "3")],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "CC0-1.0": ["Creative Commons CC0 1.0 Universal", "CC0 1.0 Universal Public Domain Dedication"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International Public License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "CC-BY-ND-4.0": ["Creative Commons Attribution-NoDerivatives 4.0 International Public License"],
+}
+#: Fixed value: what BSD's third clause says, in lower-case words.
+THIRD_CLAUSE = "may be used to endorse or promote products derived from this software"
 TRIGGER = re.compile(r"(?i)licen[cs]|copyright|permission|warrant|redistribut|public domain|creative commons|\bCC[ -]?(?:BY|0)|\bSPDX")
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s)|\n|$)", re.DOTALL)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -66,12 +86,12 @@ MOST_DIFFERENT = 0.34
 REACH = 240
 #: Blocks remembered by a worker, the longest of them, and characters of a sentence behind a trigger word.
 REMEMBERED, PIECE = 100_000, 4096
-#: Characters behind a block that a stretch may go on in.
-BEHIND = 400
+#: Characters behind a block that a stretch may go on in, and that are searched for BSD's third clause.
+BEHIND, CLAUSES = 400, 2500
 
 
 def phrases() -> dict[str, list[str]]:
-    return {k: [g.format(n) for g in GRANTS for n in names] + OPENINGS.get(k, []) for k, (names, _) in NAMES.items()}
+    return {k: [g.format(n) for g in GRANTS for n in names] + OPENINGS.get(k, []) + HEADERS.get(k, []) for k, (names, _) in NAMES.items()}
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
@@ -110,6 +130,7 @@ class Scanner:
         self.phrases = {k: [(p, _WORD.findall(p.lower())) for p in ps] for k, ps in phrases().items()}
         self.plain = zstandard.ZstdCompressor(level=6, write_content_size=False)
         self.given = {k: zstandard.ZstdCompressor(level=6, write_content_size=False, dict_data=zstandard.ZstdCompressionDict("\n".join(p for p, _ in ps).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, ps in self.phrases.items()}
+        self.bsd = _WORD.findall(OPENINGS["BSD-2-Clause"][0].lower())
         self.seen: dict[tuple[str, str, str], list[tuple]] = {}
 
     def gains(self, block: str) -> dict[str, float]:
@@ -166,9 +187,15 @@ class Scanner:
         taken: list[tuple[int, int, str, int]] = []
         for d, p, stop, name, own in sorted(self._stretches(words, first, n), key=lambda x: (x[0], -len(x[4]), -gains[x[3]], x[3], x[1])):
             if all(stop <= a or b <= p for a, b, _, _ in taken):
-                taken.append((p, stop, name, d))
+                taken.append((p, stop, name if own != self.bsd else self._bsd(words[p:n] + _WORD.findall(behind.lower())), d))
         return [(name, gains[name], d) for _, _, name, d in sorted(taken)] or [(None, max(gains.values()), None)]
 
+    def _bsd(self, words: list[str]) -> str:
+        """Which BSD licence opens with these words, by whether the third clause comes before another opening."""
+        opening = " ".join(self.bsd[:6])
+        return "BSD-3-Clause" if THIRD_CLAUSE in " ".join(words[6:]).split(opening)[0] else "BSD-2-Clause"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start (in characters), block, license, gain, n_differences, exact for every licence in a candidate block, or for the block."""
 
@@ -181,7 +208,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     last = 0
                     for start, block in blocks(text):
                         ahead, last = text[max(last, start - REACH) : start], start + len(block)
-                        for found in scanner.all(block, text[last : last + BEHIND], ahead):
+                        for found in scanner.all(block, text[last : last + (CLAUSES if "redistribut" in block.lower() else BEHIND)], ahead):
                             ids.append(doc_id)
                             rows.append((start, block, *found))
                 cols = list(zip(*rows, strict=True)) or [[]] * 5

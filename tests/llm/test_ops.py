@@ -460,6 +460,14 @@ def test_licences_one_after_another(spark):
         assert licences_of("licence " + "z" * at + ".\n" + many) == ["MIT"] * 40
 
 
+def test_licence_headers_and_titles():
+    assert licences_of("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nEveryone may copy.") == ["GPL-2.0"] and licences_of("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n") == ["LGPL-3.0"]
+    assert licences_of("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy") == ["MPL-2.0"]
+    two = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.\n"
+    third = "3. Neither the name of the copyright holder nor the names of its contributors\nmay be used to endorse or promote products derived from this software without permission.\n"
+    assert licences_of(two) == ["BSD-2-Clause"] and licences_of(two + third) == ["BSD-3-Clause"]
+
+
 # queries and pipeline
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import closure, reversed_edges
+from graphloom.operators.closure import closure, cut, reversed_edges
 
 
 def as_edges(calls: DataFrame) -> DataFrame:
@@ -74,19 +74,20 @@ def is_reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(found, ["s", "t"], "left").select("s", "t", F.coalesce("reachable", F.lit(False)).alias("reachable"))
 
 
-def matched_reachable(calls: DataFrame, flows: DataFrame, seeds: DataFrame, most_calls: int) -> DataFrame:
-    """(root, node): reachable from seeds (root) along flows (src, dst) and calls (site_id, src, dst, is_return) where every return goes to the site that called, with at most so many open calls."""
-    state = seeds.select("root", F.col("root").alias("node"), F.array().cast("array<bigint>").alias("stack"))
-    seen = state
-    front = state
+def matched_reachable(calls: DataFrame, flows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(root, node): reachable from seeds (root) along flows (src, dst) and calls (site_id, src, dst, is_return) where every return goes to the site that called, however deep. A call that returns becomes a step over its site; what is left of a path goes up by returns to unknown callers first, then down into calls."""
+    down, up = calls.filter("NOT is_return").select("site_id", "src", "dst"), calls.filter("is_return").select("site_id", "src", "dst")
+    entries = down.select(F.col("dst").alias("root"), F.col("dst").alias("node")).distinct()
+    same = flows.select("src", "dst").distinct()
     while True:
-        step = front.join(flows, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), "stack")
-        down = front.join(calls.filter("NOT is_return"), F.col("node") == F.col("src")).filter(F.size("stack") < most_calls).select("root", F.col("dst").alias("node"), F.concat("stack", F.array("site_id")).alias("stack"))
-        up = front.join(calls.filter("is_return"), (F.col("node") == F.col("src")) & ((F.size("stack") == 0) | F.coalesce(F.try_element_at("stack", F.lit(-1)) == F.col("site_id"), F.lit(False)))).select("root", F.col("dst").alias("node"), F.slice("stack", 1, F.greatest(F.size("stack") - 1, F.lit(0))).alias("stack"))
-        front = step.unionByName(down).unionByName(up).distinct().join(seen, ["root", "node", "stack"], "left_anti").checkpoint()
-        if front.isEmpty():
-            return seen.select("root", "node").distinct()
-        seen = seen.unionByName(front)
+        within = closure(same, entries).select("root", "node")
+        over = down.toDF("site_id", "src", "root").join(within, "root").join(up.toDF("site_id", "node", "dst"), ["site_id", "node"])
+        new = cut(over.select("src", "dst").filter("src <> dst").distinct().join(same, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            break
+        same = cut(same.unionByName(new))
+    risen = closure(same.unionByName(up.select("src", "dst")), seeds.select("root", F.col("root").alias("node")))
+    return closure(same.unionByName(down.select("src", "dst")), risen.select("root", "node")).select("root", "node")
 
 
 def backward_slice(edges: DataFrame, symbols: DataFrame, of: DataFrame, depth: int) -> DataFrame:

@@ -222,8 +222,9 @@ def _(spark, sf):
 def _(spark, sf):
     e = E(spark, sf)
     calls = e.select("site_id", F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(False).alias("is_return")).unionByName(e.select("site_id", F.col("callee").alias("src"), F.col("caller").alias("dst"), F.lit(True).alias("is_return")))
-    e.sparkSession.sparkContext.getCheckpointDir() or L.cut(e.limit(0))
-    return C.matched_reachable(calls, e.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).limit(0), roots(spark, sf), 2)
+    every = S(spark, sf).filter("kind = 'METHOD'").select(F.col("sym_id").alias("root"))
+    # the nodes are whole methods, so there are no flows within one
+    return C.matched_reachable(calls, e.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).limit(0), every)
 
 
 def _bfs(start: str, step: str, depth: int | None) -> str:

@@ -107,3 +107,14 @@ def test_windows_over_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.event_type, r.n, float(r.total)) for r in spark.table("windows").collect()] == [("view", 2, 5.0)]
+
+
+def test_matched_reachability_of_three_nested_calls(spark):
+    from graphloom.operators import callgraph
+
+    sites = [(1, 1, 10, False), (2, 10, 20, False), (3, 20, 30, False), (3, 31, 21, True), (2, 21, 11, True), (1, 11, 2, True), (9, 5, 10, False), (9, 11, 6, True)]
+    calls = spark.createDataFrame(sites, "site_id long, src long, dst long, is_return boolean")
+    flows = spark.createDataFrame([(30, 31)], "src long, dst long")
+    got = {tuple(r) for r in callgraph.matched_reachable(calls, flows, spark.createDataFrame([(1,), (10,)], "root long")).collect()}
+    inner = {10, 20, 30, 31, 21, 11}
+    assert got == {(1, n) for n in inner | {1, 2}} | {(10, n) for n in inner | {2, 6}}

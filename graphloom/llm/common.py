@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,41 +20,58 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all run in one process (tests), a temporary one of our own; on a cluster that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.graphloom.sharedDir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.graphloom.sharedDir", found)
     return found
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files and compiled plans go when the driver's JVM collects what refers to them; after a written step that need not wait until its heap is full."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends here and any executor can reread it. The files go when the application ends."""
+    """Write df as Parquet in the shared folder and read it again: lineage ends here and any executor can reread it. The job's shuffle files go when it has ended, the table by dropped() or with the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        files, at = _file_system(df.sparkSession, df.written_at)
+        files.delete(at, True)
 
 
-@contextlib.contextmanager
 def short_plans(spark: SparkSession, most: int = 20_000):
     """Plans that hold tables as literals are described in so many characters at most, so that the driver doesn't keep their text."""
-    key = "spark.sql.maxPlanStringLength"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return setting(spark, "spark.sql.maxPlanStringLength", str(most))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,3 +154,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def rows_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, did (a null id counts as before all others), x, y (128 bits of the text) and text. A row is known by did, x and y; rows that agree in all three are one document wherever rows are matched."""
+    kept = keyed(docs, id_col, text_col)
+    return kept.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), "text")

@@ -184,7 +184,6 @@ def _latent(ref: Reference, y: np.ndarray, omega: np.ndarray, idf: np.ndarray) -
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, share (of the item's words found in order), cosine, answered, start (in words of the document): a row for every document and benchmark item that it contains."""
     spark = docs.sparkSession
-    common.release(spark)
     rows = [(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("long"), F.coalesce(F.col(item_text), F.lit(""))).distinct().toLocalIterator()]
     ref = Reference([(i, t) for i, t in sorted(rows, key=lambda x: (x[0] is None, x)) if re.search(r"\w", t)])
     sent = common.bounded(spark, pickle.dumps(ref), BENCHMARK_MOST)

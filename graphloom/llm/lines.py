@@ -1,172 +1,147 @@
 r"""Line dedup by an exact set-similarity join, with DataFrame functions only.
 
 A line is the set of its words (runs of characters other than blank and \t\x0B\f\r).
-Words are ordered by rarity in the corpus, counted over all texts; two sets with a
-Jaccard similarity of THRESHOLD or more must share a word among the first few of
-each in that order (prefix filter). Lines that meet at such a word go on if their
-sizes allow the similarity (length filter), if what can still follow the place of
-the shared word allows it (positional filter), and if 128 bits that the words set
-allow it; then the sets themselves decide. A line goes if an earlier line, by
-document and place, is similar; lines are judged as they stand in the input.
-
-Equal lines are one line in the join. It runs twice: first each line is held only
-against the earliest line at each of its words, which settles most copies and near
-copies without their pairs; what is still open then meets all lines.
-
-Null and empty texts are one empty line. Lines without words stay. A null doc_id
-counts as before all others. Lines of two rows with one doc_id and the same place
-are not earlier than one another.
+Words are ordered by rarity, counted over all texts; two sets with a Jaccard similarity
+of four fifths or more must share a word among the first few of each in that order
+(prefix filter). Lines that meet at such a word go on if their sizes allow the similarity
+(length filter) and so does what can still follow the first word they share (positional
+filter, which the first shared word of a similar pair always passes), and if 128 parities
+of their words differ in few enough places; then the words themselves decide. A line
+goes if an earlier line, by document and place, is similar; lines are judged as they stand
+in the input.
+
+Equal lines, known by 128 bits, are one line from the first aggregation on, which keeps
+their first place. Both joins are semi-joins: they ask whether a partner exists, stop at
+the first and give a row for a line, never one for a pair. The first finds lines that have
+a plausible partner; only those fetch their words for the second, whose condition compares
+them. A line's fate reaches its document as bits by line number, not as a row for a copy.
+
+Null and empty texts are one empty line. Lines without words stay. A null doc_id counts
+as before all others. Rows that share a doc_id stand in the order of a hash of their texts;
+rows equal in both are one document, so that each keeps what the other keeps.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
 
-THRESHOLD = 0.8
-#: Bytes of the rarity table and of the filters by line, whose sizes are fixed; a fuller filter only lets more rows through. A byte holds seven bits.
-RARITY_BYTES, FILTER_BYTES, SEVEN = 1 << 17, 1 << 17, 7
+#: Least similarity, as a fraction.
+LEAST = (4, 5)
+#: Words told apart by how often they occur, at most so many, in so many buckets: what the rarity table may hold. Rarer words count alike and come first.
+FREQUENT, BUCKETS = 1 << 16, 1 << 18
+#: Words seen less often than this are never in the table.
+SELDOM = 16
 _BLANKS, _SPACE, _HASH_BITS = " \t\x0b\f\r", r"[ \t\x0B\f\r]+", 56
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return common.keyed(docs, id_col, text_col).withColumn("did", F.coalesce("doc_id", F.lit(-(1 << 63))))
+_ROW, _LINE = ["did", "x", "y"], ["a", "b"]
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """(did, no, line, lid)"""
-    return texts.select("did", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).withColumn("lid", F.xxhash64("line"))
-
-
-def _bytes(table: DataFrame, size: int) -> DataFrame:
-    """One row, s: (b, x) with x under 128, x being 0 where there is no b, as a string of `size` bytes."""
-    every = table.sparkSession.range(size).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("x"))
-    whole = table.unionByName(every).groupBy("b").agg(F.max("x").alias("x")).select(F.struct("b", "x").alias("y"))
-    return whole.agg(F.array_join(F.transform(F.sort_array(F.collect_list("y")), lambda y: F.char(y["x"])), "").alias("s"))
-
-
-def _byte(literal: Column, at: Column) -> Column:
-    return F.ascii(F.substring(literal, (at + 1).cast("int"), F.lit(1)).cast("string"))
+    """(did, x, y, no, line): lines with words, without blanks at their ends."""
+    lines = texts.select(*_ROW, F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    return lines.withColumn("line", F.btrim("line", F.lit(_BLANKS))).filter("line <> ''")
 
 
 def _rarity(texts: DataFrame) -> Column:
-    """By hash bucket the greatest number of occurrences of a word in it, as a logarithm in seven bits."""
+    """An array by hash bucket: the greatest number of occurrences of a frequent word in it, as a logarithm, or 0. Its size has a bound whatever the corpus; the bar for a frequent word rises until they fit."""
     words = texts.select(F.explode(F.split("text", r"[ \t\x0B\f\r\n]+")).alias("w")).filter("w <> ''")
-    often = words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n"))
-    level = F.least(F.lit(127), F.floor(F.log2("n") * 5) + 1).cast("long")
-    table = _bytes(often.groupBy(F.col("h").bitwiseAND(RARITY_BYTES - 1).alias("b")).agg(F.max(level).alias("x")), RARITY_BYTES)
-    return F.lit(bytearray(table.first()["s"].encode()))  # a subquery can't stand in a lambda
-
-
-def _filter(lids: DataFrame, size: int = FILTER_BYTES) -> Column:
-    """Whether a row's lid may be one of the given: by `size` bytes with their bits set. False is certain."""
-    place = F.pmod("lid", F.lit(size * SEVEN))
-    bits = lids.select(F.floor(place / SEVEN).alias("b"), F.expr(f"shiftleft(1L, cast(pmod(pmod(lid, {size * SEVEN}), {SEVEN}) as int))").alias("x"))
-    literal = common.written(_bytes(bits.groupBy("b").agg(F.bit_or("x").alias("x")), size).select(F.col("s").cast("binary").alias("s")), "filter").scalar()
-    return F.call_function("shiftright", _byte(literal, F.floor(place / SEVEN)), F.pmod(place, F.lit(SEVEN)).cast("int")).bitwiseAND(1) == 1
+    often = common.written(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")).filter(F.col("n") >= SELDOM), "often")
+    by_size = sorted(((r["k"], r["many"]) for r in often.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("many")).collect()), reverse=True)
+    total, bar = 0, 1 << 62
+    for k, many in by_size:  # 63 rows at most
+        total += many
+        if total > FREQUENT:
+            break
+        bar = 1 << k
+    level = (F.floor(F.log2("n") * 2.5) + 1).cast("int")
+    table = ["0"] * BUCKETS
+    for r in often.filter(F.col("n") >= bar).groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.max(level).alias("x")).collect():  # FREQUENT rows at most
+        table[r["b"]] = str(r["x"])
+    common.dropped(often)
+    return F.split(F.lit(",".join(table)), ",").cast("array<int>")  # a subquery can't stand in a lambda
 
 
 def _with_sets(lines: DataFrame, rarity: Column) -> DataFrame:
-    """Adds s, the distinct words of a line as numbers, rarest first: rarity in the high bits, the word's hash in the low ones. Lines without words are left out."""
+    """s in place of the line: its distinct words as numbers, rarest first: rarity in the high bits, the word's hash in the low ones; and a, b, 128 bits of the line."""
 
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(_byte(rarity, h.bitwiseAND(RARITY_BYTES - 1)).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND((1 << _HASH_BITS) - 1))
+    def number(h: Column) -> Column:
+        level = F.coalesce(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long")
+        return F.shiftleft(level, _HASH_BITS).bitwiseOR(h.bitwiseAND((1 << _HASH_BITS) - 1))
 
-    bare = lines.withColumn("line", F.btrim("line", F.lit(_BLANKS))).filter("line <> ''")
-    return bare.withColumn("s", F.sort_array(F.array_distinct(F.transform(F.split("line", _SPACE), number)))).drop("line")
+    hashes = F.transform(F.split("line", _SPACE), lambda w: F.xxhash64(w))
+    return lines.select(*_ROW, "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.sort_array(F.array_distinct(F.transform(hashes, number))).alias("s"))
 
 
-def _prefixes(lines: DataFrame, rarity: Column) -> DataFrame:
-    """(t, i, n, low, high, lid, did, no): a row for each word of a line's prefix; i counts from 0."""
-    sets = _with_sets(lines, rarity).withColumn("n", F.size("s"))
+def _distinct(texts: DataFrame, rarity: Column) -> DataFrame:
+    """(a, b, at, n, low, high, prefix): every distinct line once; at is its first place, low and high are parities of its words by hash, prefix the words of which a similar line must share one."""
+    most, of = LEAST
 
-    def bits(half: int) -> Column:
+    def parities(half: int) -> Column:
         bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
-        return F.aggregate("s", F.lit(0).cast("long"), lambda a, k: F.when(k.bitwiseAND(64) == 64 * half, a.bitwiseOR(bit(k))).otherwise(a))
-
-    prefix = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1).cast("int"))
-    return sets.select("did", "no", "lid", "n", bits(0).alias("low"), bits(1).alias("high"), F.posexplode(prefix).alias("i", "t"))
-
-
-def _could_be(a: str, b: str) -> Column:
-    """Length, positional and bit filters for two prefix rows at the same word."""
-    n, m, i, j = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.i", f"{b}.i"))
-    need = (n + m) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6  # words that two similar sets of these sizes share
-    rest = F.least(n - i, m - j) + F.least(i, j)
-    only = lambda x, y: sum(F.bit_count(F.col(f"{x}.{h}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{h}")))) for h in ("low", "high"))
-    return (n >= m * THRESHOLD - 1e-6) & (m >= n * THRESHOLD - 1e-6) & (rest >= need) & (n - only(a, b) >= need) & (m - only(b, a) >= need)
-
-
-def _before(a: str, b: str) -> Column:
-    """b stands before a."""
-    return (F.col(f"{b}.did") < F.col(f"{a}.did")) | ((F.col(f"{b}.did") == F.col(f"{a}.did")) & (F.col(f"{b}.no") < F.col(f"{a}.no")))
-
-
-def _similar(pairs: DataFrame, lines: DataFrame, rarity: Column) -> DataFrame:
-    """(lid): lines of pairs (lid, other) whose sets are similar."""
-    pairs = common.written(pairs, "candidates")
-    wanted = common.written(pairs.select("lid").unionByName(pairs.select(F.col("other").alias("lid"))).distinct(), "wanted")
-    found = _with_sets(lines.filter(_filter(wanted)), rarity).select("lid", "s").join(wanted, "lid", "left_semi")
-    # a line's copies are one row: numbers of its words, each the same
-    sets = common.written(found.groupBy("lid").agg(F.min("s").alias("s")), "sets")
-    both = pairs.join(sets, "lid").withColumnRenamed("s", "s1").join(sets.select(F.col("lid").alias("other"), F.col("s").alias("s2")), "other")
-    shared = F.size(F.array_intersect("s1", "s2"))
-    return both.filter(shared >= (F.size("s1") + F.size("s2") - shared) * THRESHOLD - 1e-9).select("lid").distinct()
-
-
-def _by_word(prefixes: DataFrame) -> tuple[DataFrame, str]:
-    """The prefix rows as a table in buckets by word, so that joins by word need no further shuffle; and its name."""
-    spark, name = prefixes.sparkSession, f"graphloom_prefixes_{uuid.uuid4().hex}"
-    parts = common.partitions(spark)
-    prefixes.repartition(parts, "t").write.bucketBy(parts, "t").sortBy("t").option("compression", "zstd").saveAsTable(name)
-    common.release(spark)
-    return spark.table(name), name
+        return F.aggregate("s", F.lit(0).cast("long"), lambda a, k: F.when(k.bitwiseAND(64) == 64 * half, a.bitwiseXOR(bit(k))).otherwise(a))
+
+    n = F.size("s")
+    need = F.expr(f"cast(({most} * size(s) + {of - 1}) div {of} as int)")  # words that a set of any size must share with this one
+    sets = _with_sets(_lines(texts), rarity).select(*_ROW, "no", *_LINE, n.alias("n"), parities(0).alias("low"), parities(1).alias("high"), F.slice("s", 1, n - need + 1).alias("prefix"))
+    return sets.groupBy(*_LINE).agg(F.min(F.struct(*_ROW, "no")).alias("at"), *(F.first(c).alias(c) for c in ("n", "low", "high", "prefix")))
+
+
+def _could_be() -> Column:
+    """Prefix, length, positional and parity filters for rows l and r of a word each."""
+    most, of = LEAST
+    n, m, i, j = (F.col(c) for c in ("l.n", "r.n", "l.i", "r.i"))
+    apart = sum(F.bit_count(F.col(f"l.{h}").bitwiseXOR(F.col(f"r.{h}"))) for h in ("low", "high"))
+    other = (F.col("l.a") != F.col("r.a")) | (F.col("l.low") != F.col("r.low")) | (F.col("l.high") != F.col("r.high"))
+    # shared / (n + m - shared) >= most / of, so shared >= (n + m) * most / (most + of)
+    return (F.col("l.t") == F.col("r.t")) & other & (of * n >= most * m) & (of * m >= most * n) & ((most + of) * F.least(n - i, m - j) >= most * (n + m)) & ((most + of) * apart <= (of - most) * (n + m))
+
+
+def _similar_to_earlier(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of the distinct lines to which an earlier one is similar."""
+    most, of = LEAST
+    rows = lines.select("a", "n", "low", "high", F.posexplode("prefix").alias("i", "t"))
+    plausible = common.written(rows.alias("l").join(rows.alias("r"), _could_be(), "left_semi").select("a").distinct(), "plausible")
+    some = lines.join(plausible, "a", "left_semi").select(*_LINE, "at", "at.*", "n", "low", "high", "prefix")
+    # their words, from the texts they stand in first; a document's places are one row
+    places = some.groupBy(*_ROW).agg(F.collect_list(F.struct("no", *_LINE, "at", "n", "low", "high", "prefix")).alias("places"))
+    held = texts.dropDuplicates(_ROW).join(places, _ROW).select(F.split("text", "\n", -1).alias("parts"), F.explode("places").alias("p"))
+    words = F.array_distinct(F.split(F.btrim(F.get("parts", F.col("p.no")), F.lit(_BLANKS)), _SPACE))
+    sets = common.written(held.select("p.a", "p.b", "p.at", "p.n", "p.low", "p.high", "p.prefix", words.alias("w")), "sets")
+    rows = sets.select(*_LINE, "at", "n", "low", "high", "w", F.posexplode("prefix").alias("i", "t"))
+    shared = F.size(F.array_intersect("l.w", "r.w"))
+    same = (most + of) * shared >= most * (F.size("l.w") + F.size("r.w"))
+    gone = common.written(rows.alias("l").join(rows.alias("r"), _could_be() & (F.col("r.at") < F.col("l.at")) & same, "left_semi").select(*_LINE).distinct(), "gone")
+    common.dropped(plausible, sets)
+    return gone
+
+
+def _kept_bits(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The texts; and (did, x, y, bits): a bit for every line that stays because it is the first of its kind, 64 lines in a long."""
+    texts = common.rows_known(docs, id_col, text_col)
+    with common.short_plans(docs.sparkSession):
+        lines = common.written(_distinct(texts, _rarity(texts)), "lines")
+        gone = _similar_to_earlier(lines, texts)
+        kept = lines.join(gone, _LINE, "left_anti").select("at.*").select(*_ROW, F.shiftright("no", 6).alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("no").bitwiseAND(63)).alias("bits"))
+        none = texts.select(*_ROW, F.explode(F.sequence(F.lit(0), F.shiftright(F.size(F.split("text", "\n", -1)) - 1, 6))).alias("k"), F.lit(0).cast("long").alias("bits"))
+        by_long = kept.unionByName(none).groupBy(*_ROW, "k").agg(F.bit_or("bits").alias("bits"))
+        bits = common.written(by_long.groupBy(*_ROW).agg(F.sort_array(F.collect_list(F.struct("k", "bits")))["bits"].alias("bits")), "kept")
+        common.dropped(lines, gone)
+    return texts, bits
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, no) of every line that goes; did is the doc_id, a null one as the least long."""
-    with common.short_plans(docs.sparkSession):
-        return _removed_lines(_texts(docs, id_col, text_col))
-
-
-def _removed_lines(texts: DataFrame) -> DataFrame:
-    lines, rarity = _lines(texts), _rarity(texts)
-    first = common.written(lines.groupBy("lid").agg(F.min(F.struct("did", "no")).alias("at"), F.count("*").alias("copies")).filter("copies > 1").select("lid", "at.did", "at.no"), "first-lines")
-    copied = _filter(first)
-    single = _prefixes(lines.filter(~copied), rarity)
-    # copies are one row for each word before anything is dealt out by word
-    many = _prefixes(lines.filter(copied), rarity).groupBy("t", "i", "n", "low", "high", "lid").agg(F.min(F.struct("did", "no")).alias("at")).select("at.did", "at.no", "lid", "n", "low", "high", "i", "t")
-    prefixes, name = _by_word(single.unionByName(many))
-    earliest = prefixes.groupBy("t").agg(F.min(F.struct("did", "no", "lid", "n", "low", "high", "i")).alias("e"), F.count("*").alias("here")).filter("here > 1").select("t", "e.*")
-
-    def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-        met = a.alias("a").join(b.alias("b"), F.col("a.t") == F.col("b.t")).filter((F.col("a.lid") != F.col("b.lid")) & _before("a", "b") & _could_be("a", "b"))
-        return met.select("a.lid", F.col("b.lid").alias("other"))
-
-    settled = common.written(_similar(candidates(prefixes, earliest).distinct(), lines, rarity), "settled")
-    maybe = _filter(settled, 2 * FILTER_BYTES)
-    open_ = prefixes.filter(maybe).join(settled, "lid", "left_anti")  # seldom: bits of another line
-    hard = candidates(prefixes.filter(~maybe), prefixes).unionByName(candidates(open_, prefixes)).distinct()
-    gone = common.written(settled.unionByName(_similar(hard, lines, rarity)).distinct().withColumn("gone", F.lit(True)), "gone")
-    prefixes.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    judged = common.written(first.select("lid", F.col("did").alias("d0"), F.col("no").alias("n0")).join(gone, "lid", "full"), "judged-lines")
-    # a copy behind the first of its line goes; the first goes with its line
-    hit = lines.filter(_filter(judged)).filter(F.btrim("line", F.lit(_BLANKS)) != "").select("did", "no", "lid").join(judged, "lid")
-    return hit.filter(F.col("gone") | (F.col("did") > F.col("d0")) | ((F.col("did") == F.col("d0")) & (F.col("no") > F.col("n0")))).select("did", "no")
+def _lines_left(parts: Column, bits: Column) -> Column:
+    on = lambda i: F.call_function("shiftright", F.get(bits, F.shiftright(i, 6)), i.bitwiseAND(63)).bitwiseAND(1) == 1
+    return F.filter(parts, lambda x, i: on(i) | (F.btrim(x, F.lit(_BLANKS)) == ""))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and kept (the lines left, joined again) for every row."""
-    texts = _texts(docs, id_col, text_col)
-    removed = removed_lines(docs, id_col, text_col).groupBy("did").agg(F.sort_array(F.collect_set("no")).alias("nos"))
-    joined = texts.join(removed, "did", "left").select("doc_id", F.split("text", "\n", -1).alias("lines"), F.coalesce("nos", F.array().cast("array<int>")).alias("nos"))
-    kept = F.filter("lines", lambda x, i: ~F.array_contains("nos", i))
-    return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("nos").cast("long").alias("n_removed"), F.when(F.size("nos") == 0, F.array_join("lines", "\n")).otherwise(F.array_join(kept, "\n")).alias("kept"))
+    texts, bits = _kept_bits(docs, id_col, text_col)
+    parts = texts.join(bits, _ROW).select("doc_id", F.split("text", "\n", -1).alias("lines"), "bits")
+    left = parts.select("doc_id", F.size("lines").alias("n"), _lines_left(F.col("lines"), F.col("bits")).alias("left"))
+    return left.select("doc_id", F.col("n").cast("long").alias("n_lines"), (F.col("n") - F.size("left")).cast("long").alias("n_removed"), F.array_join("left", "\n").alias("kept"))
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,11 +151,12 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with repeated lines taken out of their texts; same columns. Rows with a null text keep it."""
-    removed = removed_lines(docs).groupBy("did").agg(F.collect_set("no").alias("_nos"))
-    joined = docs.join(removed, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == removed["did"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_nos", i)), "\n")
-    text = F.when(F.col("_nos").isNull(), F.col("text")).otherwise(kept)
-    return joined.withColumn("_new", text).select(*(F.col("_new").alias("text") if c == "text" else docs[c] for c in docs.columns))
+    _, bits = _kept_bits(docs, "doc_id", "text")
+    whole = F.struct(*docs.columns)
+    own = docs.select(whole.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.coalesce("text", F.lit("")).alias("_t"))
+    own = own.withColumns({"x": F.xxhash64("_t"), "y": F.xxhash64(F.lit(1), "_t")}).drop("_t")
+    left = F.array_join(_lines_left(F.split("row.text", "\n", -1), F.col("bits")), "\n")
+    return own.join(bits, _ROW).select(*(F.when(F.col("row.text").isNotNull(), left).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

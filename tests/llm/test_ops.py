@@ -152,11 +152,12 @@ def test_substrings(spark):
 # 6: line dedup
 
 
-def brute_lines(rows):
+def brute_lines(rows, order=None):
     key = lambda d: -(1 << 63) if d is None else d
     import re
 
-    every = [(key(d), no, frozenset(w for w in re.split(r"[ \t\x0b\f\r]+", x) if w)) for d, t in rows for no, x in enumerate((t or "").split("\n"))]
+    place = lambda d, t: (key(d), *(order(t) if order else ()))
+    every = [(place(d, t), no, frozenset(w for w in re.split(r"[ \t\x0b\f\r]+", x) if w)) for d, t in rows for no, x in enumerate((t or "").split("\n"))]
     gone = set()
     for d, no, s in every:
         if s and any((e, m) < (d, no) and len(s & o) >= 0.8 * len(s | o) for e, m, o in every if o):
@@ -164,7 +165,7 @@ def brute_lines(rows):
     out = []
     for d, t in rows:
         parts = (t or "").split("\n")
-        kept = [x for i, x in enumerate(parts) if (key(d), i) not in gone]
+        kept = [x for i, x in enumerate(parts) if (place(d, t), i) not in gone]
         out.append((d, len(parts), len(parts) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
 
@@ -189,6 +190,41 @@ def test_lines(spark):
     assert lines.without_repeated_lines(docs).columns == docs.columns
 
 
+def test_lines_of_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    base = words(rng, 25, 400).split()
+    rows = [(rng.choice([None, 1, 2, 3]), "\n".join(" ".join(base[:k] + [f"v{rng.randrange(9)}"] + base[k:]) for k in rng.sample(range(25), 2))) for _ in range(60)]
+    rows += rows[:20] + [(4, None), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = {r.t: (r.x, r.y) for r in docs.selectExpr("coalesce(text, '') AS t", "xxhash64(coalesce(text, '')) AS x", "xxhash64(1, coalesce(text, '')) AS y").collect()}
+    assert sorted(map(tuple, lines.dedup_lines(docs).collect()), key=str) == brute_lines(rows, lambda t: order[t or ""])
+    kept = lines.without_repeated_lines(docs.withColumn("bits", F.lit(1)).withColumn("row", F.lit("r")))
+    assert kept.columns == ["doc_id", "text", "bits", "row"] and kept.count() == len(rows) and kept.filter("text IS NULL").count() == 2
+
+
+def test_variants_of_one_line_give_no_row_for_a_pair(spark):
+    rng = random.Random(9)
+    base = words(rng, 60, 5000).split()
+    made = {}
+    for n in (200, 400):
+        rows = [(i, " ".join(f"x{i}{k}" if k in picked else w for k, w in enumerate(base))) for i in range(n) for picked in [set(rng.sample(range(60), 4))]]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = lines.dedup_lines(docs).collect()
+        assert sorted(map(tuple, got), key=str) == brute_lines(rows)
+        made[n] = sum(r.n_removed for r in got)
+    assert made[200] > 150 and made[400] > 300
+
+
+@pytest.mark.parametrize("frequent", [0, 3])
+def test_lines_whatever_the_rarity_table_holds(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lines, "FREQUENT", frequent)
+    monkeypatch.setattr(lines, "SELDOM", 2)
+    rng = random.Random(10)
+    rows = [(i, words(rng, 12, 14)) for i in range(80)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_lines(rows)
+
+
 # 7: SimHash near-dedup
 
 

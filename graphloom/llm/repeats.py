@@ -7,7 +7,8 @@ one place are a segment. Level by level, only what repeats goes on: first a gram
 must repeat, then the whole segment's content is compared by hash, and only segments
 that share a gram but differ in content are looked at window by window.
 
-No document id is assumed unique: a text is known by its id and the hash of itself.
+No document id is assumed unique: a text is known by its id and 79 bits of itself (tx
+and th), so that texts which share an id, or have none, are never taken for one another.
 """
 
 from __future__ import annotations
@@ -125,9 +126,13 @@ def segments(kind: Kind, u: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         yield h[p], p + at, near, far, content
 
 
+#: What a text is known by.
+TEXT = ["did", "tx", "th"]
+
+
 def corpus(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """did (a null id counts as before all others), th (16 bits of the text's own hash) and text."""
-    return common.keyed(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), (F.xxhash64("text").bitwiseAND(0x7FFF)).alias("th"), "text")
+    """doc_id, did (a null id counts as before all others), tx (64 bits of the text's hash), th (15 bits of another) and text."""
+    return common.rows_known(docs, id_col, text_col).select("doc_id", "did", F.col("x").alias("tx"), F.col("y").bitwiseAND(0x7FFF).alias("th"), "text")
 
 
 #: Bits of the bitmap of repeated grams; a fuller one only lets more rows through.
@@ -135,15 +140,15 @@ BITMAP_BITS = 27
 
 
 def segment_table(texts: DataFrame, kind: Kind, bitmap=None) -> DataFrame:
-    """(v, did, q, c): every segment of every text; q packs th, p, near and far (see FIELDS). With a bitmap only those whose gram may repeat."""
+    """(v, did, tx, q, c): every segment of every text; q packs th, p, near and far (see FIELDS). With a bitmap only those whose gram may repeat."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for whole in batches:
             for batch in common.slices(whole, size=4 << 20):
                 ids = batch.column("did").to_numpy(zero_copy_only=False)
-                hashes = batch.column("th").to_numpy(zero_copy_only=False)
-                made: list[list[np.ndarray]] = [[], [], [], []]
+                whole_hash, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tx", "th"))
+                made: list[list[np.ndarray]] = [[], [], [], [], []]
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     for v, p, near, far, c in segments(kind, units(kind, np.frombuffer(text.encode(), np.uint8))):
                         if seen is not None:
@@ -152,12 +157,13 @@ def segment_table(texts: DataFrame, kind: Kind, bitmap=None) -> DataFrame:
                             v, p, near, far, c = v[on], p[on], near[on], far[on], c[on]
                         made[0].append(v.view(np.int64))
                         made[1].append(np.full(len(v), ids[i]))
-                        made[2].append((hashes[i] << 48) | (p << 16) | (near << 8) | far)
-                        made[3].append(c.view(np.int64))
+                        made[2].append(np.full(len(v), whole_hash[i]))
+                        made[3].append((hashes[i] << 48) | (p << 16) | (near << 8) | far)
+                        made[4].append(c.view(np.int64))
                 if made[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in made], names=["v", "did", "q", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in made], names=["v", "did", "tx", "q", "c"])
 
-    return texts.select("did", "th", "text").mapInArrow(work, "v long, did long, q long, c long")
+    return texts.select(*TEXT, "text").mapInArrow(work, "v long, did long, tx long, q long, c long")
 
 
 #: What q holds: windows are at most 256 units longer than their grams and texts have under 2^32 units.
@@ -175,15 +181,15 @@ def bitmap_of(grams: DataFrame):
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
-    """(did, th, z): texts compressed, for the way through a shuffle."""
+    """(doc_id, did, tx, th, z): texts compressed, for the way through a shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for whole in batches:
             for batch in common.slices(whole, size=4 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("did"), batch.column("th"), pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "did", "th", "z"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in TEXT), pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", *TEXT, "z"])
 
-    return texts.mapInArrow(work, "doc_id long, did long, th long, z binary")
+    return texts.mapInArrow(work, "doc_id long, did long, tx long, th long, z binary")
 
 
 def unpacked(z: bytes) -> bytes:
@@ -192,7 +198,7 @@ def unpacked(z: bytes) -> bytes:
 
 def per_text(rows: DataFrame, fields: str) -> DataFrame:
     """Rows of a text gathered; they are never more than its windows."""
-    return rows.groupBy("did", "th").agg(F.collect_list(F.struct(*fields.split())).alias("found"))
+    return rows.groupBy(*TEXT).agg(F.collect_list(F.struct(*fields.split())).alias("found"))
 
 
 def listed(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -214,7 +220,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 100_000) -> Iterator[
 
 
 def removed_spans(rows: DataFrame) -> DataFrame:
-    """(did, th, spans) from rows (did, th, a, b): overlapping and touching spans are one; spans lists starts and ends in turn."""
+    """(did, tx, th, spans) from rows (did, tx, th, a, b): overlapping and touching spans are one; spans lists starts and ends in turn."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -230,6 +236,6 @@ def removed_spans(rows: DataFrame) -> DataFrame:
                 flat = np.stack([a[first], reach[last] - lift[last]], axis=1).ravel()
                 offsets = np.concatenate([[0], np.cumsum(2 * np.bincount(row[first], minlength=batch.num_rows))])
                 spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), spans], names=["did", "th", "spans"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TEXT), spans], names=[*TEXT, "spans"])
 
-    return per_text(rows, "a b").mapInArrow(work, "did long, th long, spans array<bigint>")
+    return per_text(rows, "a b").mapInArrow(work, "did long, tx long, th long, spans array<bigint>")

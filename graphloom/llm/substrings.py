@@ -25,22 +25,22 @@ WINDOW, FIRST = 13, 4
 
 
 def _windows(need: DataFrame, texts: DataFrame, kind: repeats.Kind, lengths: list[int]) -> DataFrame:
-    """(did, th, s, and for each length two hashes) of the windows of the given segments."""
-    joined = repeats.per_text(need, "p near far").join(repeats.packed_texts(texts), ["did", "th"])
-    schema = "did long, th long, s long, " + ", ".join(f"x{n} long, y{n} long" for n in lengths)
+    """(did, tx, th, s, and for each length two hashes) of the windows of the given segments."""
+    joined = repeats.per_text(need, "p near far").join(repeats.packed_texts(texts), repeats.TEXT)
+    schema = "did long, tx long, th long, s long, " + ", ".join(f"x{n} long, y{n} long" for n in lengths)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
         for whole in batches:
             for batch in repeats.pieces(whole, "found", 20_000):
                 bounds, found = repeats.listed(batch, "found")
-                ids, hashes = (batch.column(c).to_numpy() for c in ("did", "th"))
+                own = [batch.column(c).to_numpy() for c in repeats.TEXT]
                 made: list[list[np.ndarray]] = [[] for _ in names]
                 for i, z in enumerate(batch.column("z")):
                     raw = np.frombuffer(repeats.unpacked(z.as_py()), np.uint8)
                     p, near, far = (found[k][bounds[i] : bounds[i + 1]] for k in ("p", "near", "far"))
                     s = np.unique(np.repeat(p - far, far - near + 1) + _counting(far - near + 1))
-                    cols = [np.full(len(s), ids[i]), np.full(len(s), hashes[i]), s]
+                    cols = [*(np.full(len(s), x[i]) for x in own), s]
                     both = [repeats.units(kind, raw, k) for k in (0, 1)]
                     for n in lengths:
                         for k in (0, 1):
@@ -76,18 +76,18 @@ def repeated_windows(docs: DataFrame, length: int = WINDOW, first: int = FIRST,
     rep = common.written(segs.join(again, "v"), "segments")
     same = rep.groupBy("v", "c").agg(F.min("did").alias("m"))
     several = same.groupBy("v").agg(F.count("*").alias("contents"))
-    judged = common.written(rep.join(same.join(several, "v"), ["v", "c"]).selectExpr("did", "m", "contents", *(f"{x} AS {k}" for k, x in repeats.FIELDS.items())), "judged")
-    spans = judged.filter("did > m").select("did", "th", (F.col("p") - F.col("far")).alias("a"), (F.col("p") - F.col("near") + length).alias("b"))
+    judged = common.written(rep.join(same.join(several, "v"), ["v", "c"]).selectExpr("did", "tx", "m", "contents", *(f"{x} AS {k}" for k, x in repeats.FIELDS.items())), "judged")
+    spans = judged.filter("did > m").select(*repeats.TEXT, (F.col("p") - F.col("far")).alias("a"), (F.col("p") - F.col("near") + length).alias("b"))
     lengths = [n for n in (first << k for k in range(1, 20)) if n < length] + [length]
-    left = _windows(judged.filter("did = m AND contents > 1").select("did", "th", "p", "near", "far"), texts, kind, lengths)
+    left = _windows(judged.filter("did = m AND contents > 1").select(*repeats.TEXT, "p", "near", "far"), texts, kind, lengths)
     for k, n in enumerate(lengths):
         names = [f"x{n}", f"y{n}"]
         left = common.written(left, f"level-{n}")
         least = left.groupBy(*names).agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter("lo < hi")
         left = left.join(least, names).drop("hi", *names)
         left = left.drop("lo") if k < len(lengths) - 1 else left.filter("did > lo")
-    spans = spans.unionByName(left.select("did", "th", F.col("s").alias("a"), (F.col("s") + length).alias("b")))
-    joined = repeats.packed_texts(texts).join(repeats.removed_spans(spans), ["did", "th"], "left").select("doc_id", "z", "spans")
+    spans = spans.unionByName(left.select(*repeats.TEXT, F.col("s").alias("a"), (F.col("s") + length).alias("b")))
+    joined = repeats.packed_texts(texts).join(repeats.removed_spans(spans), repeats.TEXT, "left").select("doc_id", "z", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

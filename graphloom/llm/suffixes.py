@@ -135,7 +135,7 @@ def window_classes(group: np.ndarray, onwards: list[bytes], back: list[bytes], n
 
 def _contexts(need: DataFrame, texts: DataFrame) -> DataFrame:
     """The bytes around each sampled suffix, from the start of its first window to the end of its last."""
-    joined = repeats.per_text(need, "v c n contents p near far").join(repeats.packed_texts(texts), ["did", "th"]).select("did", "th", "found", "z")
+    joined = repeats.per_text(need, "v c n contents p near far").join(repeats.packed_texts(texts), repeats.TEXT).select(*repeats.TEXT, "found", "z")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["v", "c", "n", "contents", "p", "near", "far"]
@@ -147,16 +147,16 @@ def _contexts(need: DataFrame, texts: DataFrame) -> DataFrame:
                     raw = repeats.unpacked(z.as_py())
                     some += [raw[starts[k] : stops[k]] for k in range(bounds[i], bounds[i + 1])]
                 of = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
-                yield pa.RecordBatch.from_arrays([batch.column("did").take(of), batch.column("th").take(of), *(pa.array(found[k].astype(np.int64)) for k in names), pa.array(some, pa.binary())], names=["did", "th", *names, "around"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in repeats.TEXT), *(pa.array(found[k].astype(np.int64)) for k in names), pa.array(some, pa.binary())], names=[*repeats.TEXT, *names, "around"])
 
-    return joined.mapInArrow(work, "did long, th long, v long, c long, n long, contents long, p long, near long, far long, around binary")
+    return joined.mapInArrow(work, "did long, tx long, th long, v long, c long, n long, contents long, p long, near long, far long, around binary")
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans (a, b) of repeated windows of suffixes whose surroundings are unique (x null); and of groups in several blocks a row for each class of windows (x, y its hashes, a its start, m how often it was met)."""
-    names = ["did", "th", "a", "b", "x", "y", "m"]
+    names = [*repeats.TEXT, "a", "b", "x", "y", "m"]
     for table, group in common.whole_groups(batches, ["v", "block"]):
-        cols = {k: table.column(k).to_numpy() for k in ("did", "th", "n", "p", "near", "far", "blocks")}
+        cols = {k: table.column(k).to_numpy() for k in (*repeats.TEXT, "n", "p", "near", "far", "blocks")}
         around = table.column("around").to_pylist()
         onwards = [x[f:] for x, f in zip(around, cols["far"].tolist(), strict=True)]
         back = [x[:f][::-1] for x, f in zip(around, cols["far"].tolist(), strict=True)]
@@ -174,7 +174,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = np.frombuffer(b"".join(windows), np.uint8)
                 starts = np.arange(len(windows)) * LENGTH
                 hashes = [repeats.mixed(np.add.reduceat(repeats._BYTES[k][raw] * np.tile(repeats.Powers.of(k, LENGTH)[0][:LENGTH], len(windows)), starts)) for k in (0, 1)]
-                classes.append((cols["did"][some], cols["th"][some], cols["p"][some] - t, *(h.view(np.int64) for h in hashes), often))
+                classes.append((*(cols[k][some] for k in repeats.TEXT), cols["p"][some] - t, *(h.view(np.int64) for h in hashes), often))
         if spans:
             row, t = np.concatenate(spans, axis=1)
             at = np.lexsort((t, row))
@@ -185,10 +185,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = row[low]
             a, b = cols["p"][r] - t[high], cols["p"][r] - t[low] + LENGTH
             void = pa.nulls(len(r), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cols["did"][r]), pa.array(cols["th"][r]), pa.array(a), pa.array(b), void, void, void], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(cols[k][r]) for k in repeats.TEXT), pa.array(a), pa.array(b), void, void, void], names=names)
         if classes:
-            did, th, s, x, y, m = (np.concatenate(k) for k in zip(*classes, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(did), pa.array(th), pa.array(s), pa.array(s + LENGTH), pa.array(x), pa.array(y), pa.array(m)], names=names)
+            did, tx, th, s, x, y, m = (np.concatenate(k) for k in zip(*classes, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(did), pa.array(tx), pa.array(th), pa.array(s), pa.array(s + LENGTH), pa.array(x), pa.array(y), pa.array(m)], names=names)
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,19 +197,19 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = repeats.corpus(docs, id_col, text_col)
     again = common.written(repeats.segment_table(texts, kind).groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v"), "grams")
     rep = common.written(repeats.segment_table(texts, kind, repeats.bitmap_of(again)).join(again, "v"), "segments")
-    same = common.written(rep.groupBy("v", "c").agg(F.count("*").alias("n"), F.min(F.struct("did", "q")).alias("r")).select("v", "c", "n", "r.did", "r.q"), "surroundings")
+    same = common.written(rep.groupBy("v", "c").agg(F.count("*").alias("n"), F.min(F.struct("did", "tx", "q")).alias("r")).select("v", "c", "n", "r.did", "r.tx", "r.q"), "surroundings")
     fields = [f"{x} AS {k}" for k, x in repeats.FIELDS.items()]
-    whole = rep.join(same.filter("n > 1").select("v", "c"), ["v", "c"]).selectExpr("did", *fields)
-    spans = whole.select("did", "th", (F.col("p") - F.col("far")).alias("a"), (F.col("p") - F.col("near") + LENGTH).alias("b"))
+    whole = rep.join(same.filter("n > 1").select("v", "c"), ["v", "c"]).selectExpr("did", "tx", *fields)
+    spans = whole.select(*repeats.TEXT, (F.col("p") - F.col("far")).alias("a"), (F.col("p") - F.col("near") + LENGTH).alias("b"))
     several = same.groupBy("v").agg(F.count("*").alias("contents")).filter("contents > 1")
-    need = same.join(several, "v").selectExpr("v", "c", "n", "contents", "did", *fields)
+    need = same.join(several, "v").selectExpr("v", "c", "n", "contents", "did", "tx", *fields)
     parts = common.partitions(docs.sparkSession)
     around = _contexts(need, texts).withColumn("blocks", F.ceil(F.col("contents") / BLOCK)).withColumn("block", F.pmod("c", F.col("blocks")))
-    settled = common.written(around.repartition(parts, "v", "block").sortWithinPartitions("v", "block").mapInArrow(_settle, "did long, th long, a long, b long, x long, y long, m long"), "settled")
+    settled = common.written(around.repartition(parts, "v", "block").sortWithinPartitions("v", "block").mapInArrow(_settle, "did long, tx long, th long, a long, b long, x long, y long, m long"), "settled")
     open_ = settled.filter("x IS NOT NULL")
     met = open_.groupBy("x", "y").agg(F.sum("m").alias("met")).filter("met > 1")
-    spans = spans.unionByName(settled.filter("x IS NULL").select("did", "th", "a", "b")).unionByName(open_.filter("m = 1").join(met, ["x", "y"]).select("did", "th", "a", "b"))
-    joined = repeats.packed_texts(texts).join(repeats.removed_spans(spans), ["did", "th"], "left").select("doc_id", "z", "spans")
+    spans = spans.unionByName(settled.filter("x IS NULL").select(*repeats.TEXT, "a", "b")).unionByName(open_.filter("m = 1").join(met, ["x", "y"]).select(*repeats.TEXT, "a", "b"))
+    joined = repeats.packed_texts(texts).join(repeats.removed_spans(spans), repeats.TEXT, "left").select("doc_id", "z", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -149,6 +149,21 @@ def test_substrings(spark):
     assert substrings.repeated_windows(empty(spark)).count() == 0
 
 
+def test_rows_without_an_id_and_rows_that_share_one(spark):
+    rng = random.Random(21)
+    base = words(rng, 400, 900).split()
+    rows = []
+    for i in range(1000):
+        at = rng.randrange(370)
+        rows.append((rng.choice([None, None, 3, 4, i]), " ".join(base[at : at + rng.choice([2, 10, 14, 30])] + [f"own{i}"] * rng.randrange(3))))
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = substrings.repeated_windows(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_windows(rows)
+    got = suffixes.repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_bytes([(d, t.encode()) for d, t in rows])
+
+
 # 6: line dedup
 
 

@@ -107,11 +107,11 @@ def _similar_to_earlier(lines: DataFrame, texts: DataFrame) -> DataFrame:
     # their words, from the texts they stand in first; a document's places are one row
     places = some.groupBy(*_ROW).agg(F.collect_list(F.struct("no", *_LINE, "at", "n", "low", "high", "prefix")).alias("places"))
     held = texts.dropDuplicates(_ROW).join(places, _ROW).select(F.split("text", "\n", -1).alias("parts"), F.explode("places").alias("p"))
-    words = F.array_distinct(F.split(F.btrim(F.get("parts", F.col("p.no")), F.lit(_BLANKS)), _SPACE))
-    sets = common.written(held.select("p.a", "p.b", "p.at", "p.n", "p.low", "p.high", "p.prefix", words.alias("w")), "sets")
-    rows = sets.select(*_LINE, "at", "n", "low", "high", "w", F.posexplode("prefix").alias("i", "t"))
-    shared = F.size(F.array_intersect("l.w", "r.w"))
-    same = (most + of) * shared >= most * (F.size("l.w") + F.size("r.w"))
+    line = F.btrim(F.get("parts", F.col("p.no")), F.lit(_BLANKS))
+    sets = common.written(held.select("p.a", "p.b", "p.at", "p.n", "p.low", "p.high", "p.prefix", line.alias("line")), "sets")
+    rows = sets.select(*_LINE, "at", "n", "low", "high", "line", F.posexplode("prefix").alias("i", "t"))
+    one, other = F.split("l.line", _SPACE), F.split("r.line", _SPACE)
+    same = of * F.size(F.array_intersect(one, other)) >= most * F.size(F.array_union(one, other))
     gone = common.written(rows.alias("l").join(rows.alias("r"), _could_be() & (F.col("r.at") < F.col("l.at")) & same, "left_semi").select(*_LINE).distinct(), "gone")
     common.dropped(plausible, sets)
     return gone

@@ -10,8 +10,9 @@ passage with its surroundings decides: nearly all of the item's words in order i
 copy; a good part of them is a paraphrase if the item's answer (what follows an
 answer mark, else its last sentence) is there too.
 
-The benchmark is a reference of bounded size (its words and passages are sent to the
-executors under a checked bound); every document is searched against all of it.
+A benchmark is searched for in tiles of items with FEATURES distinct words together at
+most (or one item), so that what the executors hold of it has a bound; every document is
+searched against every tile.
 Null and empty texts and items without words match nothing. An item all of whose
 words are shared by many items is searched by all of its words. Repeated rows are
 searched each. Items with one id and different texts are items of their own.
@@ -19,6 +20,7 @@ searched each. Items with one id and different texts are items of their own.
 
 from __future__ import annotations
 
+import functools
 import pickle
 import re
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from graphloom.llm import common, repeats
 
 #: Words of half a passage; passages overlap by that much.
 HALF = 16
-#: Rank of the latent space and columns of the sketch beyond it; most features.
+#: Rank of the latent space and columns of the sketch beyond it; most distinct words of a tile of the benchmark.
 RANK, MORE, FEATURES = 128, 32, 8192
 #: A word that more than this share of the items have is no feature.
 COMMON = 0.05
@@ -42,6 +44,8 @@ COSINE, COPY, PARAPHRASE, ANSWER = 0.45, 0.75, 0.55, 0.7
 BENCHMARK_MOST = 256 << 20
 #: Features of a block of the sketch on its way through a shuffle.
 BLOCK = 128
+#: Passages and targets whose cosines are held at once.
+PASSAGES, TARGETS = 4096, 1024
 
 _KIND = repeats.Kind(True, 1, 1)
 _BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -53,6 +57,15 @@ def words(text: str) -> np.ndarray:
     return repeats.units(_KIND, np.frombuffer(text.lower().encode().translate(_BLANKS), np.uint8))
 
 
+def all_words(texts: list[str]) -> list[np.ndarray]:
+    """words() of each text, hashed in one go."""
+    raw = [t.lower().encode().translate(_BLANKS) for t in texts]
+    buffer = np.frombuffer(b" ".join(raw), np.uint8)
+    bounds = repeats.word_bounds(buffer)
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    return np.split(repeats.units(_KIND, buffer, 0, bounds), np.searchsorted(bounds[0], ends[:-1]))
+
+
 def answer_of(text: str) -> str:
     if m := _ANSWER.match(text):
         return m[1]
@@ -85,24 +98,16 @@ class Reference:
         rare = every[n <= max(1, COMMON * len(rows))]
         plain = [w for w in self.items if len(w) and not np.isin(w, rare).any()]
         self.vocabulary = np.union1d(rare, np.concatenate(plain)) if plain else rare
-        self.size = max(1, min(FEATURES, len(self.vocabulary)))
+        self.size = max(1, len(self.vocabulary))
+        self.may = np.zeros(1 << 16, bool)  # of a word's first bits, whether a feature has them
+        self.may[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
 
     def features(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are features, and the features."""
-        if not len(self.vocabulary) or not len(w):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, w), len(self.vocabulary) - 1)
-        on = np.flatnonzero(self.vocabulary[at] == w)
-        return on, at[on] % self.size
-
-    def blocks(self, places: np.ndarray, features: np.ndarray, rows: np.ndarray, n_words: int) -> np.ndarray:
-        """Sums of rows[feature] over each half passage."""
-        out = np.zeros((max(1, -(-n_words // HALF)) + 1, rows.shape[1]), rows.dtype)
-        if len(places):
-            half = places // HALF
-            first = np.flatnonzero(np.concatenate([[True], half[1:] != half[:-1]]))
-            out[half[first]] = np.add.reduceat(rows[features], first, axis=0)
-        return out
+        on = np.flatnonzero(self.may[(w >> np.uint64(48)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.vocabulary, w[on]), self.size - 1)
+        same = self.vocabulary[at] == w[on] if len(on) else np.zeros(0, bool)
+        return on[same], at[same]
 
     def counts(self, w: np.ndarray) -> np.ndarray:
         """Features of each passage of a short text, counted."""
@@ -111,10 +116,33 @@ class Reference:
         np.add.at(b, (places // HALF, features), 1)
         return b[:-1] + b[1:] if len(b) <= 2 else (b[:-1] + b[1:])[:-1]
 
-    def passages(self, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Passage k is half k and the next; the last half alone is one only in a text of one half."""
-        b = self.blocks(*self.features(w), rows, len(w))
-        return b[:-1] + b[1:] if len(b) <= 2 else (b[:-1] + b[1:])[:-1]
+
+class Halves:
+    """Words of several texts by halves of passages. Passage k of a text is half k and the next; its last half alone is one only in a text of one half."""
+
+    def __init__(self, ref: Reference, held: list[np.ndarray]):
+        sizes = np.array([len(w) for w in held])
+        n = np.maximum(1, -(-sizes // HALF))  # halves of each text, and an empty one behind them
+        self.first = np.concatenate([[0], np.cumsum(n + 1)])
+        self.words = np.concatenate([[0], np.cumsum(sizes)])
+        places, self.features = ref.features(np.concatenate(held))
+        self.doc = np.searchsorted(self.words, places, "right") - 1
+        self.half = self.first[self.doc] + (places - self.words[self.doc]) // HALF
+        self.passages = np.maximum(1, n - 1)
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """Of rows[feature] over each half."""
+        out = np.zeros((self.first[-1], rows.shape[1]), rows.dtype)
+        if len(self.half):
+            at = np.flatnonzero(np.concatenate([[True], self.half[1:] != self.half[:-1]]))
+            out[self.half[at]] = np.add.reduceat(rows[self.features], at, axis=0)
+        return out
+
+    def starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and first half of every passage."""
+        of = np.repeat(np.arange(len(self.passages)), self.passages)
+        behind = np.cumsum(self.passages) - self.passages
+        return of, self.first[of] + np.arange(len(of)) - behind[of]
 
 
 def _sketch(texts: DataFrame, sent, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -126,25 +154,20 @@ def _sketch(texts: DataFrame, sent, omega: np.ndarray) -> tuple[np.ndarray, np.n
         small = omega.astype(np.float32)
         for whole in batches:
             for batch in common.slices(whole, size=2 << 20):
-                sums, features = [], []
-                for text in batch.column("text").to_pylist():
-                    n += 1
-                    w = words(text)
-                    places, f = ref.features(w)
-                    if not len(f):
-                        continue
-                    df[np.unique(f)] += 1
-                    b = ref.blocks(places, f, small, len(w))
-                    p = b[:-1] + b[1:]
-                    near = p.copy()  # the passages a half belongs to
-                    near[1:] += p[:-1]
-                    sums.append(near[places // HALF])
-                    features.append(f)
-                if features:
-                    f = np.concatenate(features)
-                    order = np.argsort(f, kind="stable")
-                    first = np.flatnonzero(np.concatenate([[True], f[order][1:] != f[order][:-1]]))
-                    y[f[order][first]] += np.add.reduceat(np.concatenate(sums)[order], first, axis=0)
+                n += batch.num_rows
+                halves = Halves(ref, all_words(batch.column("text").to_pylist()))
+                f = halves.features
+                if not len(f):
+                    continue
+                df += np.bincount(np.unique(halves.doc * ref.size + f) % ref.size, minlength=ref.size)
+                b = halves.sums(small)
+                near = b * 2  # the passages a half belongs to: with the one before and with the one behind
+                near[1:] += b[:-1]
+                near[:-1] += b[1:]
+                near[halves.first[:-1]] -= b[halves.first[:-1]]  # the first half is in one only
+                order = np.argsort(f, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], f[order][1:] != f[order][:-1]]))
+                y[f[order][first]] += np.add.reduceat(near[halves.half[order]], first, axis=0)
         starts = list(range(0, ref.size, BLOCK))
         yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([np.c_[y, df][a : a + BLOCK].tobytes() for a in starts], pa.binary()), pa.array([n if a == 0 else 0 for a in starts], pa.int64())], names=["at", "y", "n"])
 
@@ -183,49 +206,70 @@ def _latent(ref: Reference, y: np.ndarray, omega: np.ndarray, idf: np.ndarray) -
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, share (of the item's words found in order), cosine, answered, start (in words of the document): a row for every document and benchmark item that it contains."""
-    spark = docs.sparkSession
     rows = [(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("long"), F.coalesce(F.col(item_text), F.lit(""))).distinct().toLocalIterator()]
-    ref = Reference([(i, t) for i, t in sorted(rows, key=lambda x: (x[0] is None, x)) if re.search(r"\w", t)])
-    sent = common.bounded(spark, pickle.dumps(ref), BENCHMARK_MOST)
     texts = common.keyed(docs, id_col, text_col)
-    schema = "doc_id long, item_id long, share double, cosine double, answered boolean, start long"
-    if not ref.items:
+    parts = [_search(texts, Reference(tile)) for tile in _tiles([(i, t) for i, t in sorted(rows, key=lambda x: (x[0] is None, x)) if re.search(r"\w", t)])]
+    if not parts:
         return texts.select("doc_id").limit(0).selectExpr("doc_id", "0L AS item_id", "0D AS share", "0D AS cosine", "false AS answered", "0L AS start")
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _tiles(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """Runs of items with FEATURES distinct words together at most, or of one item."""
+    tile: list[tuple[int, str]] = []
+    seen: set[int] = set()
+    for row in rows:
+        own = set(words(row[1]).tolist())
+        if tile and len(seen | own) > FEATURES:
+            yield tile
+            tile, seen = [], set()
+        tile.append(row)
+        seen |= own
+    if tile:
+        yield tile
+
+
+def _search(texts: DataFrame, ref: Reference) -> DataFrame:
+    """search() for one tile of the benchmark."""
+    spark = texts.sparkSession
+    sent = common.bounded(spark, pickle.dumps(ref), BENCHMARK_MOST)
+    schema = "doc_id long, item_id long, share double, cosine double, answered boolean, start long"
     omega = np.random.default_rng(31).normal(size=(ref.size, RANK + MORE))
     y, df, n = _sketch(texts, sent, omega)
     idf = np.log((n + 1) / (df + 1)) + 1
     latent = _latent(ref, y, omega, idf)
-    of, vectors = [], []
-    for k, w in enumerate(ref.items):
-        z = ref.passages(w, latent)
-        of += [k] * len(z)
-        vectors.append(z)
-    unit = lambda z: z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    model = common.bounded(spark, pickle.dumps((latent, np.array(of), unit(np.concatenate(vectors)))), BENCHMARK_MOST)
+    halves = Halves(ref, ref.items)
+    of, at = halves.starts()
+    z = halves.sums(latent)
+    z = z[at] + z[at + 1]
+    targets = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    model = common.bounded(spark, pickle.dumps((latent, of, targets)), BENCHMARK_MOST)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ref: Reference = pickle.loads(sent.value)
         latent, of, targets = pickle.loads(model.value)
         items, answers = [w.tolist() for w in ref.items], [w.tolist() for w in ref.answers]
         for whole in batches:
-            for batch in common.slices(whole):
-                found: list[tuple] = []
-                held = [words(t) for t in batch.column("text").to_pylist()]
-                z = [ref.passages(w, latent) for w in held]
-                first = np.concatenate([[0], np.cumsum([len(x) for x in z])])
-                z = np.concatenate(z)
-                norm = np.linalg.norm(z, axis=1)
-                some = np.flatnonzero(norm > 1e-9)
+            for batch in common.slices(whole, size=2 << 20):
+                held = all_words(batch.column("text").to_pylist())
+                halves = Halves(ref, held)
+                sums = halves.sums(latent)
+                doc, at = halves.starts()
+                behind = np.cumsum(halves.passages) - halves.passages
                 hits: dict[tuple[int, int], tuple] = {}
-                for a in range(0, len(some), 4096):
-                    part = some[a : a + 4096]
-                    cos = (z[part] / norm[part, None]) @ targets.T
-                    for r, t in zip(*np.nonzero(cos >= COSINE), strict=True):
-                        p, k = int(part[r]), int(of[t])
-                        d = int(np.searchsorted(first, p, "right")) - 1
-                        verdict = _verified(held[d], p - int(first[d]), items[k], answers[k])
-                        if verdict and (old := hits.get((d, k), (0,)))[0] <= verdict[0]:
-                            hits[d, k] = (verdict[0], max(float(cos[r, t]), old[1] if len(old) > 1 else 0.0), *verdict[1:])
+                for a in range(0, len(at), PASSAGES):
+                    z = sums[at[a : a + PASSAGES]] + sums[at[a : a + PASSAGES] + 1]
+                    norm = np.linalg.norm(z, axis=1)
+                    some = np.flatnonzero(norm > 1e-9)
+                    z = z[some] / norm[some, None]
+                    for b in range(0, len(targets), TARGETS):
+                        cos = z @ targets[b : b + TARGETS].T
+                        for r, t in zip(*np.nonzero(cos >= COSINE), strict=True):
+                            p, k = a + int(some[r]), int(of[b + t])
+                            d = int(doc[p])
+                            verdict = _verified(held[d], p - int(behind[d]), items[k], answers[k])
+                            if verdict and (old := hits.get((d, k), (0,)))[0] <= verdict[0]:
+                                hits[d, k] = (verdict[0], max(float(cos[r, t]), old[1] if len(old) > 1 else 0.0), *verdict[1:])
                 ids = batch.column("doc_id").to_pylist()
                 found = [(ids[d], ref.ids[k], *h) for (d, k), h in hits.items()]
                 cols = list(zip(*found, strict=True)) or [[]] * 6

@@ -88,10 +88,10 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
 
 
-def units(kind: Kind, raw: np.ndarray, which: int = 0) -> np.ndarray:
+def units(kind: Kind, raw: np.ndarray, which: int = 0, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     if not kind.words:
         return _BYTES[which][raw]
-    starts, ends = word_bounds(raw)
+    starts, ends = bounds or word_bounds(raw)
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):  # in runs of whole words, for bounded powers

@@ -463,6 +463,40 @@ def test_benchmark_items_are_found(spark):
     assert {r.doc_id for r in decontaminate.without_benchmark(docs, bench).collect()}.isdisjoint({d for d, _ in got})
 
 
+@pytest.mark.parametrize("features", [8192, 300])
+def test_search_finds_what_an_exhaustive_one_does(spark, monkeypatch, features):
+    monkeypatch.setattr(decontaminate, "FEATURES", features)
+    rng = random.Random(19)
+    items = [(i % 30, words(rng, rng.randrange(12, 60), 3000) + " answer: " + words(rng, 4, 3000)) for i in range(32)]
+    rows = []
+    for d in range(250):
+        w = words(rng, rng.randrange(30, 300), 3000).split()
+        t = rng.choice(items)[1].split()
+        for at in rng.sample(range(len(t) - 6), int(rng.choice([0, 0.1, 0.2, 0.3, 0.35]) * len(t))):
+            t[at] = f"q{rng.randrange(999)}"
+        at = rng.randrange(len(w))
+        w[at:at] = t if d % 2 else []
+        rows.append((d, " ".join(w)))
+    rows += [rows[1], (None, items[0][1]), (900, None), (901, " ".join(words(rng, 200000, 3000).split()[:150000]) + " " + items[5][1])]
+    docs = spark.createDataFrame([(d, t, "x", 1.0) for d, t in rows], "doc_id long, text string, item_id string, share double")
+    want = set()
+    for d, t in rows[:250]:
+        w = decontaminate.words(t or "")
+        for k, text in items:
+            item, answer = decontaminate.words(text).tolist(), decontaminate.words(decontaminate.answer_of(text)).tolist()
+            if any(decontaminate._verified(w, p, item, answer) for p in range(max(1, len(w) // decontaminate.HALF))):
+                want.add((d, k))
+    got = decontaminate.search(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    by = Counter((r.doc_id, r.item_id) for r in got)
+    found = {g for g in by if g[0] is not None and g[0] < 250}
+    assert found <= want and len(want) > 100 and len(found) >= 0.9 * len(want)
+    assert {i for d, i in by if d is None} == {0} and (901, 5) in by and by[1, rows_item(by, 1)] == 2
+
+
+def rows_item(by, doc):
+    return next(i for d, i in by if d == doc)
+
+
 def test_subsequence_in_bits():
     assert decontaminate.common_words([1, 2, 3, 4], [9, 1, 3, 9, 4]) == 3 and decontaminate.common_words([1], []) == 0
 

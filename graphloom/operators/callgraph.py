@@ -70,7 +70,8 @@ def points_to(allocations: DataFrame, copies: DataFrame) -> DataFrame:
 
 def is_reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(s, t, reachable) for pairs (s, t); a symbol reaches itself."""
-    found = closure(as_edges(edges), pairs.select(F.col("s").alias("root"), F.col("s").alias("node")).distinct()).select(F.col("root").alias("s"), F.col("node").alias("t"), F.lit(True).alias("reachable"))
+    wanted = pairs.select(F.col("s").alias("root"), F.col("t").alias("node")).distinct()
+    found = closure(as_edges(edges), wanted.select("root", F.col("root").alias("node")).distinct(), targets=wanted).select(F.col("root").alias("s"), F.col("node").alias("t"), F.lit(True).alias("reachable"))
     return pairs.join(found, ["s", "t"], "left").select("s", "t", F.coalesce("reachable", F.lit(False)).alias("reachable"))
 
 

@@ -3,28 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset and all run in one process (tests), a temporary one; on a cluster that is an error."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.graphloom.cutDir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.graphloom.cutDir", found)
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpointed in spark.checkpoint.dir (a temporary folder where none is set, as in tests), so that plans don't grow with the rounds and a lost executor's part can be read again."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
+    """df written once to the shared folder and read again, so that plans don't grow with the rounds, nothing is computed twice and a lost executor's part can be read again. The files go with the application."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graphloom-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(root, node, dist): all nodes reachable along edges (src, dst) from seeds (root, node), with their least distance. Each round joins the frontier only; what was seen is anti-joined away."""
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(root, node, dist): all nodes reachable along edges (src, dst) from seeds (root, node), with their least distance. Each round joins the frontier only; what was seen is anti-joined away. With targets (root, node) a root goes no further once all of its own are met."""
     edges = edges.select("src", "dst").distinct()
     seen = frontier = cut(seeds.select("root", "node").distinct().withColumn("dist", F.lit(0).cast("long")))
     depth = 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
+        if targets is not None:
+            targets = cut(targets.select("root", "node").join(frontier.select("root", "node"), ["root", "node"], "left_anti"))
+            frontier = frontier.join(targets.select("root").distinct(), "root", "left_semi")
         step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("dist", F.lit(depth).cast("long")))
         seen = cut(seen.unionByName(frontier)) if depth % 8 == 0 else seen.unionByName(frontier)

@@ -29,8 +29,7 @@ def H(spark, sf):
 
 
 def roots(spark, sf, kind="METHOD"):
-    """Every ninety-seventh symbol: a stated query set."""
-    return S(spark, sf).filter(f"kind = '{kind}' AND ordinal % 97 = 0").select(F.col("sym_id").alias("root"))
+    return S(spark, sf).filter(f"kind = '{kind}'").select(F.col("sym_id").alias("root"))
 
 
 @query("sym_by_node", with_ctes("symbols", "SELECT o_orderkey AS node_id, sym_id FROM orders JOIN symbols ON sym_id = 10000000 + o_orderkey"))
@@ -234,7 +233,7 @@ def _bfs(start: str, step: str, depth: int | None) -> str:
     return f"walk AS ({start} UNION SELECT r.root, {step} FROM walk r JOIN steps_ e ON e.src = r.node)\nSELECT root, node FROM walk"
 
 
-_ROOTS = "SELECT sym_id AS root, sym_id AS node{d} FROM symbols WHERE kind = 'METHOD' AND ordinal % 97 = 0"
+_ROOTS = "SELECT sym_id AS root, sym_id AS node{d} FROM symbols WHERE kind = 'METHOD'"
 
 
 @query("forward_slice", with_ctes("symbols call_edges", "", True).rstrip() + ",\nsteps_ AS (SELECT caller AS src, callee AS dst FROM call_edges),\n" + _bfs(_ROOTS.format(d=", 0 AS dist"), "e.dst", 3))
@@ -264,7 +263,7 @@ def _(spark, sf):
     return spark.createDataFrame([(L.acyclic(h),)], "acyclic boolean")
 
 
-@query("all_paths", with_ctes("symbols call_edges", "", True).rstrip() + ",\nwalk AS (SELECT sym_id AS root, [sym_id] AS path FROM symbols WHERE kind = 'METHOD' AND ordinal % 97 = 0 UNION ALL SELECT w.root, list_append(w.path, e.callee) FROM walk w JOIN call_edges e ON e.caller = w.path[-1] WHERE NOT list_contains(w.path, e.callee) AND len(w.path) <= 3)\nSELECT root, array_to_string(path, ' ') AS path FROM walk")
+@query("all_paths", with_ctes("symbols call_edges", "", True).rstrip() + ",\nwalk AS (SELECT sym_id AS root, [sym_id] AS path FROM symbols WHERE kind = 'METHOD' UNION ALL SELECT w.root, list_append(w.path, e.callee) FROM walk w JOIN call_edges e ON e.caller = w.path[-1] WHERE NOT list_contains(w.path, e.callee) AND len(w.path) <= 3)\nSELECT root, array_to_string(path, ' ') AS path FROM walk")
 def _(spark, sf):
     found = L.paths(C.as_edges(E(spark, sf)), roots(spark, sf), 3)
     return found.select("root", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"))

@@ -13,8 +13,8 @@ in the input.
 Equal lines, known by 128 bits, are one line from the first aggregation on, which keeps
 their first place. Both joins are semi-joins: they ask whether a partner exists, stop at
 the first and give a row for a line, never one for a pair. The first finds lines that have
-a plausible partner; only those fetch their words for the second, whose condition compares
-them. A line's fate reaches its document as bits by line number, not as a row for a copy.
+a plausible partner, and at which words; only those fetch their texts for the second, whose
+condition compares their words. A line's fate reaches its document as bits by line number, not as a row for a copy.
 
 Null and empty texts are one empty line. Lines without words stay. A null doc_id counts
 as before all others. Rows that share a doc_id stand in the order of a hash of their texts;
@@ -102,14 +102,14 @@ def _similar_to_earlier(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) of the distinct lines to which an earlier one is similar."""
     most, of = LEAST
     rows = lines.select("a", "n", "low", "high", F.posexplode("prefix").alias("i", "t"))
-    plausible = common.written(rows.alias("l").join(rows.alias("r"), _could_be(), "left_semi").select("a").distinct(), "plausible")
-    some = lines.join(plausible, "a", "left_semi").select(*_LINE, "at", "at.*", "n", "low", "high", "prefix")
+    plausible = common.written(rows.alias("l").join(rows.alias("r"), _could_be(), "left_semi").select("a", "t", "i"), "plausible")
+    some = lines.join(plausible, "a", "left_semi").select(*_LINE, "at", "at.*", "n", "low", "high")
     # their words, from the texts they stand in first; a document's places are one row
-    places = some.groupBy(*_ROW).agg(F.collect_list(F.struct("no", *_LINE, "at", "n", "low", "high", "prefix")).alias("places"))
+    places = some.groupBy(*_ROW).agg(F.collect_list(F.struct("no", *_LINE, "at", "n", "low", "high")).alias("places"))
     held = texts.dropDuplicates(_ROW).join(places, _ROW).select(F.split("text", "\n", -1).alias("parts"), F.explode("places").alias("p"))
     line = F.btrim(F.get("parts", F.col("p.no")), F.lit(_BLANKS))
-    sets = common.written(held.select("p.a", "p.b", "p.at", "p.n", "p.low", "p.high", "p.prefix", line.alias("line")), "sets")
-    rows = sets.select(*_LINE, "at", "n", "low", "high", "line", F.posexplode("prefix").alias("i", "t"))
+    sets = common.written(held.select("p.a", "p.b", "p.at", "p.n", "p.low", "p.high", line.alias("line")), "sets")
+    rows = sets.join(plausible, "a")  # at the words where they have a plausible partner
     one, other = F.split("l.line", _SPACE), F.split("r.line", _SPACE)
     same = of * F.size(F.array_intersect(one, other)) >= most * F.size(F.array_union(one, other))
     gone = common.written(rows.alias("l").join(rows.alias("r"), _could_be() & (F.col("r.at") < F.col("l.at")) & same, "left_semi").select(*_LINE).distinct(), "gone")

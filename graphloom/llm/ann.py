@@ -6,7 +6,8 @@ the largest inner product. Each of several curves turns the vectors at random,
 shifts and quantises the first few coordinates and numbers the cells along a Hilbert
 curve. Spark range-partitions the vectors by that number, and a query is held
 against the vectors up to `window` ranks before and behind it on every curve; the
-best of all curves are merged by their exact inner products.
+best of all curves are merged by their exact inner products, summed component by
+component, so that a score never depends on where it was computed.
 
 How wide a window must be depends on the data, so it is fitted: for a bounded sample
 of queries the true neighbours are found by brute force, and the window is the rank
@@ -15,7 +16,9 @@ without structure need windows in proportion to their number; nothing is cut off
 
 Equal vectors are one vector in the index, with the smallest ids of its rows, as
 many as any query could need. Vectors that are null, zero or hold null or non-finite
-components take no part; shorter vectors count as having zeros at the end.
+components take no part, nor do rows without an id; shorter vectors count as having
+zeros at the end. Rows that share an id but not a vector are rows of their own: each is
+a candidate, and each asks, so that such a query_id has its ranks once for each row.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ NEIGHBOURS = 20
 CURVES, DIMS, BITS, SPREAD = 12, 8, 6, 3.0
 #: Queries of the sample that fits the window, and the share of true neighbours that must lie in it.
 SAMPLE, RECALL = 256, 0.95
-#: Vectors of a tile.
-TILE = 2048
+#: Least and most ranks of a tile, between which it follows the window.
+TILES = (64, 2048)
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -92,27 +95,37 @@ def extended(x: np.ndarray, top: float, query: bool) -> np.ndarray:
     return np.c_[x, more]
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row of scores; all that tie with the last stay in the running until the smaller ids are known."""
-    if scores.shape[1] > k:
-        bar = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of the rows, summed from the first component to the last."""
+    out = np.empty(len(q))
+    for at in range(0, len(q), 4096):
+        out[at : at + 4096] = np.cumsum(q[at : at + 4096] * x[at : at + 4096], axis=1)[:, -1]
+    return out
+
+
+def best(queries: np.ndarray, points: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the rows of its k best points, -1 where there are fewer, and their scores: by exact score, ties to the smaller of `least`. A matrix product finds who is in the running; its error has a bound, and all within it stay in."""
+    near = queries @ points.T
+    slack = 4 * points.shape[1] * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(points, axis=1).max()
+    if len(points) > k:
+        bar = np.partition(near, len(points) - k, axis=1)[:, -k] - slack
     else:
-        bar = np.full(len(scores), -np.inf)
-    row, col = np.nonzero(scores >= bar[:, None])
-    s, i = scores[row, col], ids[col]
-    at = np.lexsort((i, -s, row))
-    row, s, i = row[at], s[at], i[at]
-    first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(scores)))[:-1]])
+        bar = np.full(len(queries), -np.inf)
+    row, col = np.nonzero(near >= bar[:, None])
+    s = exact(queries[row], points[col])
+    at = np.lexsort((least[col], -s, row))
+    row, s, col = row[at], s[at], col[at]
+    first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(queries)))[:-1]])
     rank = np.arange(len(row)) - first[row]
-    out_i, out_s = np.full((len(scores), k), -1, np.int64), np.full((len(scores), k), -np.inf)
+    out, scores = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf)
     keep = rank < k
-    out_i[row[keep], rank[keep]], out_s[row[keep], rank[keep]] = i[keep], s[keep]
-    return out_i, out_s
+    out[row[keep], rank[keep]], scores[row[keep], rank[keep]] = col[keep], s[keep]
+    return out, scores
 
 
 def _packed_rows(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     """(vec_id, z): usable vectors as doubles in a row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e")).filter("vec_id IS NOT NULL")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,16 +158,26 @@ def _moments(points: DataFrame, dim: int) -> tuple[float, np.ndarray, np.ndarray
         for batch in batches:
             x = extended(matrix(batch.column("z").to_pylist(), dim), top, False)
             n, one, two = n + len(x), one + x.sum(axis=0), two + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([one.tobytes()]), pa.array([two.tobytes()])], names=["n", "one", "two"])
+        whole = np.c_[two, one, np.full(dim + 1, float(n))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(dim + 1), pa.int64()), pa.array([r.tobytes() for r in whole], pa.binary())], names=["i", "v"])
 
-    n, one, two = 0, np.zeros(dim + 1), np.zeros((dim + 1) ** 2)
-    for r in points.mapInArrow(sums, "n long, one binary, two binary").toLocalIterator():
-        n, one, two = n + r["n"], one + np.frombuffer(r["one"]), two + np.frombuffer(r["two"])
-    return top, one / max(n, 1), two.reshape(dim + 1, dim + 1) / max(n, 1), n
+    def total(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, v in zip(batch.column("i").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                found[i] = found.get(i, 0.0) + np.frombuffer(v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["i", "v"])
+
+    # summed by row of the matrix on the executors; the driver gets dim + 1 rows
+    kind = "i long, v binary"
+    rows = points.mapInArrow(sums, kind).repartition(min(dim + 1, common.partitions(points.sparkSession)), "i").mapInArrow(total, kind).collect()
+    whole = np.stack([np.frombuffer(r["v"]) for r in sorted(rows, key=lambda r: r["i"])]) if rows else np.zeros((dim + 1, dim + 3))
+    n = int(whole[0, -1])
+    return top, whole[:, -2] / max(n, 1), whole[:, :-2] / max(n, 1), n
 
 
 def _ranked(points: DataFrame, queries: DataFrame, dim: int, top: float, curves: Curves) -> DataFrame:
-    """(curve, rank, key, query, z): points and queries in one order along each curve."""
+    """(curve, rank, key, least, query, z): points and queries in one order along each curve."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,10 +186,10 @@ def _ranked(points: DataFrame, queries: DataFrame, dim: int, top: float, curves:
             x, is_query = matrix(batch.column("z").to_pylist(), dim), batch.column("query").to_numpy(zero_copy_only=False).astype(bool)
             y = np.where(is_query[:, None], extended(x, top, True), extended(x, top, False))
             for k, h in enumerate(curves.keys(y)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(h), batch.column("key"), batch.column("query"), batch.column("z")], names=["curve", "h", "key", "query", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(h), batch.column("key"), batch.column("least"), batch.column("query"), batch.column("z")], names=["curve", "h", "key", "least", "query", "z"])
 
-    both = points.select("key", "z", F.lit(0).alias("query")).unionByName(queries.select("key", "z", F.lit(1).alias("query")))
-    placed = both.mapInArrow(work, "curve int, h long, key long, query int, z binary")
+    both = points.select("key", "least", "z", F.lit(0).alias("query")).unionByName(queries.select("key", "least", "z", F.lit(1).alias("query")))
+    placed = both.mapInArrow(work, "curve int, h long, key long, least long, query int, z binary")
     order = ["curve", "h", "key", "query"]
     placed = placed.repartitionByRange(common.partitions(points.sparkSession), *order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id())
     placed = common.written(placed, "curves")
@@ -178,7 +201,7 @@ def _ranked(points: DataFrame, queries: DataFrame, dim: int, top: float, curves:
         offsets.append((curve, p, at - least))
         at, last = at + n, curve
     table = points.sparkSession.createDataFrame(offsets or [(0, 0, 0)], "curve int, part long, shift long")
-    return placed.withColumn("part", part).join(F.broadcast(table), ["curve", "part"]).select("curve", (F.col("m") + F.col("shift")).alias("rank"), "key", "query", "z")
+    return placed.withColumn("part", part).join(F.broadcast(table), ["curve", "part"]).select("curve", (F.col("m") + F.col("shift")).alias("rank"), "key", "least", "query", "z")
 
 
 def _true(points: DataFrame, sample: list, dim: int, k: int) -> DataFrame:
@@ -190,11 +213,14 @@ def _true(points: DataFrame, sample: list, dim: int, k: int) -> DataFrame:
         q = np.frombuffer(blob, "<f8").reshape(-1, dim)
         for batch in batches:
             if batch.num_rows:
-                i, s = best(batch.column("key").to_numpy(), q @ matrix(batch.column("z").to_pylist(), dim).T, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, k)), pa.array(i.ravel()), pa.array(s.ravel())], names=["q", "key", "s"])
-
-    found = points.mapInArrow(work, "q long, key long, s double").filter("key >= 0 or s > double('-Infinity')")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "key"))
+                least, key = batch.column("least").to_numpy(), batch.column("key").to_numpy()
+                i, s = best(q, matrix(batch.column("z").to_pylist(), dim), least, k)
+                on = i.ravel() >= 0
+                i = i.ravel()[on]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, k)[on]), pa.array(key[i]), pa.array(least[i]), pa.array(s.ravel()[on])], names=["q", "key", "least", "s"])
+
+    found = points.mapInArrow(work, "q long, key long, least long, s double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "least", "key"))
     return found.withColumn("r", rank).filter(F.col("r") <= k).select("q", "key")
 
 
@@ -213,32 +239,33 @@ def _fitted_window(ranked: DataFrame, points: DataFrame, queries: DataFrame, dim
 
 def _tiles(ranked: DataFrame, window: int, dim: int, k: int) -> DataFrame:
     """(q, found): for each query and tile of each curve the best points, packed."""
-    reach = F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / TILE), F.floor((F.col("rank") + window) / TILE))
-    rows = ranked.withColumn("tile", F.explode(F.when(F.col("query") == 1, reach).otherwise(F.array(F.floor(F.col("rank") / TILE)))))
-    rows = rows.select("curve", "tile", "query", "key", "z")
+    low, high = TILES
+    size = min(max(window, low), high)
+    reach = F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / size), F.floor((F.col("rank") + window) / size))
+    rows = ranked.withColumn("tile", F.explode(F.when(F.col("query") == 1, reach).otherwise(F.array(F.floor(F.col("rank") / size)))))
+    rows = rows.select("curve", "tile", "query", "key", "least", "z")
     parts = common.partitions(ranked.sparkSession)
     dealt = rows.repartition(parts, "curve", "tile").sortWithinPartitions("curve", "tile", "query")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, keys, points = None, [], []  # at most TILE points are held; queries stream past them
+        tile, points = None, []  # at most a tile's points are held; queries stream past them
         stacked = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            curve, t, query, key = (batch.column(c).to_numpy() for c in ("curve", "tile", "query", "key"))
+            curve, t, query, key, least = (batch.column(c).to_numpy() for c in ("curve", "tile", "query", "key", "least"))
             x = matrix(batch.column("z").to_pylist(), dim)
             cuts = np.flatnonzero((curve[1:] != curve[:-1]) | (t[1:] != t[:-1]) | (query[1:] != query[:-1])) + 1
             for a, b in zip([0, *cuts], [*cuts, len(key)]):
                 if tile != (curve[a], t[a]):
-                    tile, keys, points, stacked = (curve[a], t[a]), [], [], None
+                    tile, points, stacked = (curve[a], t[a]), [], None
                 if not query[a]:
-                    keys.append(key[a:b])
-                    points.append(x[a:b])
+                    points.append((x[a:b], key[a:b], least[a:b]))
                     stacked = None
-                elif keys:
-                    stacked = stacked or (np.concatenate(keys), np.concatenate(points))
-                    i, s = best(stacked[0], x[a:b] @ stacked[1].T, k)
-                    packed = np.concatenate([i.view(np.float64), s], axis=1)
+                elif points:
+                    stacked = stacked or tuple(map(np.concatenate, zip(*points, strict=True)))
+                    i, s = best(x[a:b], stacked[0], stacked[2], k)
+                    packed = np.stack([np.where(i >= 0, stacked[1][i], -1), stacked[2][i], s.view(np.int64)], axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array([r.tobytes() for r in packed], pa.binary())], names=["q", "found"])
 
     return dealt.mapInArrow(work, "q long, found binary")
@@ -251,9 +278,10 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, id_col: str = "ve
     rows = common.written(_packed_rows(vectors, id_col, vec_col, dim), "vectors")
     rank = F.row_number().over(Window.partitionBy("z").orderBy("vec_id"))
     grouped = rows.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("z").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    points = common.written(grouped.select("z", "ids", F.col("ids")[0].alias("key")), "points")
+    # numbered once, in a written table
+    points = common.written(grouped.select("z", "ids", F.col("ids")[0].alias("least")).withColumn("key", F.monotonically_increasing_id()), "points")
     asked = common.written(rows.filter(is_query).join(points.select("z", "key"), "z").select("vec_id", "key"), "asked")
-    queries = common.written(points.join(asked.select("key").distinct(), "key", "left_semi").select("key", "z"), "queries")
+    queries = common.written(points.join(asked.select("key").distinct(), "key", "left_semi").select("key", "least", "z"), "queries")
     top, mean, second, n = _moments(points, dim)
     ranked = _ranked(points, queries, dim, top, Curves(mean, second))
     window = _fitted_window(ranked, points, queries, dim, k, n, recall)
@@ -263,22 +291,22 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, id_col: str = "ve
         for batch in batches:
             q, i, s = [], [], []
             for key, found in zip(batch.column("q").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                both = np.frombuffer(b"".join(found)).reshape(-1, 2, k + 1)
-                ids, scores = both[:, 0].ravel().view(np.int64), both[:, 1].ravel()
-                ids, first = np.unique(ids[scores > -np.inf], return_index=True)
-                scores = scores[scores > -np.inf][first]
-                at = np.lexsort((ids, -scores))[: k + 1]
+                keys, least, scores = (np.frombuffer(b"".join(found), np.int64).reshape(-1, 3, k + 1)[:, c].ravel() for c in range(3))
+                keys, first = np.unique(keys, return_index=True)
+                scores = np.where(keys < 0, -np.inf, scores[first].view(float))
+                at = np.lexsort((keys, least[first], -scores))[: k + 1]
+                at = at[keys[at] >= 0]
                 q += [key] * len(at)
-                i += ids[at].tolist()
+                i += keys[at].tolist()
                 s += scores[at].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["q", "key", "score"])
 
     found = tiles.mapInArrow(merge, "q long, key long, score double")
     # equal vectors share a score: their rows are spread out again, the smallest ids first; the query's own row goes once
-    spread = found.join(points.select("key", "ids"), "key").select("q", "score", F.explode("ids").alias("vec_id"))
-    listed = spread.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, 4 * k + 4).alias("c"))
-    hits = asked.join(listed, asked["key"] == listed["q"]).select(F.col("vec_id").alias("query_id"), "c")
-    own = F.array_position(F.transform("c", lambda x: x["vec_id"]), F.col("query_id"))
+    spread = found.join(points.select("key", "ids"), "key").select("q", "score", "key", F.explode("ids").alias("vec_id"))
+    listed = spread.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "key"))), 1, 4 * k + 4).alias("c"))
+    hits = asked.join(listed, asked["key"] == listed["q"]).select(F.col("vec_id").alias("query_id"), "q", "c")
+    own = F.array_position(F.transform("c", lambda x: (x["vec_id"] == F.col("query_id")) & (x["key"] == F.col("q"))), F.lit(True))
     hits = hits.withColumn("own", own).withColumn("c", F.when(F.col("own") > 0, F.concat(F.slice("c", 1, F.col("own").cast("int") - 1), F.slice("c", F.col("own").cast("int") + 1, 4 * k + 4))).otherwise(F.col("c")))
     return hits.select("query_id", F.posexplode(F.slice("c", 1, k)).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 

@@ -31,17 +31,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(u, v); root is the least node of its component. An empty table gives an empty one; loops and repeats do no harm."""
     edges = common.written(edges.select("u", "v").filter("u <> v").distinct(), "links")
     before = _state(edges)
-    for _ in range(most_steps):
-        edges = common.written(_small_star(_large_star(edges)), "links")
+    while True:
+        last, edges = edges, common.written(_small_star(_large_star(edges)), "links")
+        common.dropped(last)
         now = _state(edges)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

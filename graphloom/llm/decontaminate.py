@@ -206,14 +206,20 @@ def _latent(ref: Reference, y: np.ndarray, omega: np.ndarray, idf: np.ndarray) -
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, share (of the item's words found in order), cosine, answered, start (in words of the document): a row for every document and benchmark item that it contains."""
-    rows = [(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("long"), F.coalesce(F.col(item_text), F.lit(""))).distinct().toLocalIterator()]
     texts = common.keyed(docs, id_col, text_col)
-    parts = [_search(texts, Reference(tile)) for tile in _tiles([(i, t) for i, t in sorted(rows, key=lambda x: (x[0] is None, x)) if re.search(r"\w", t)])]
+    parts = [_search(texts, tile) for tile in _models(texts, benchmark, item_col, item_text)]
     if not parts:
         return texts.select("doc_id").limit(0).selectExpr("doc_id", "0L AS item_id", "0D AS share", "0D AS cosine", "false AS answered", "0L AS start")
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def _models(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[tuple]:
+    """For each tile of the benchmark what finds it, as two broadcasts; their number is that of the tiles."""
+    rows = [(r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("long"), F.coalesce(F.col(item_text), F.lit(""))).distinct().toLocalIterator()]
+    for tile in _tiles([(i, t) for i, t in sorted(rows, key=lambda x: (x[0] is None, x)) if re.search(r"\w", t)]):
+        yield _model(texts, Reference(tile))
+
+
 def _tiles(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
     """Runs of items with FEATURES distinct words together at most, or of one item."""
     tile: list[tuple[int, str]] = []
@@ -229,11 +235,9 @@ def _tiles(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
         yield tile
 
 
-def _search(texts: DataFrame, ref: Reference) -> DataFrame:
-    """search() for one tile of the benchmark."""
+def _model(texts: DataFrame, ref: Reference) -> tuple:
     spark = texts.sparkSession
     sent = common.bounded(spark, pickle.dumps(ref), BENCHMARK_MOST)
-    schema = "doc_id long, item_id long, share double, cosine double, answered boolean, start long"
     omega = np.random.default_rng(31).normal(size=(ref.size, RANK + MORE))
     y, df, n = _sketch(texts, sent, omega)
     idf = np.log((n + 1) / (df + 1)) + 1
@@ -243,35 +247,51 @@ def _search(texts: DataFrame, ref: Reference) -> DataFrame:
     z = halves.sums(latent)
     z = z[at] + z[at + 1]
     targets = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    model = common.bounded(spark, pickle.dumps((latent, of, targets)), BENCHMARK_MOST)
+    return sent, common.bounded(spark, pickle.dumps((latent, of, targets)), BENCHMARK_MOST)
+
+
+class Searcher:
+    """Made from what _model() sends."""
+
+    def __init__(self, sent, model):
+        self.ref: Reference = pickle.loads(sent.value)
+        self.latent, self.of, self.targets = pickle.loads(model.value)
+        self.items, self.answers = [w.tolist() for w in self.ref.items], [w.tolist() for w in self.ref.answers]
+
+    def __call__(self, texts: list[str]) -> dict[tuple[int, int], tuple]:
+        """(text, item) -> (share, cosine, answered, start) of what the texts hold."""
+        held = all_words(texts)
+        halves = Halves(self.ref, held)
+        sums = halves.sums(self.latent)
+        doc, at = halves.starts()
+        behind = np.cumsum(halves.passages) - halves.passages
+        hits: dict[tuple[int, int], tuple] = {}
+        for a in range(0, len(at), PASSAGES):
+            z = sums[at[a : a + PASSAGES]] + sums[at[a : a + PASSAGES] + 1]
+            norm = np.linalg.norm(z, axis=1)
+            some = np.flatnonzero(norm > 1e-9)
+            z = z[some] / norm[some, None]
+            for b in range(0, len(self.targets), TARGETS):
+                cos = z @ self.targets[b : b + TARGETS].T
+                for r, t in zip(*np.nonzero(cos >= COSINE), strict=True):
+                    p, k = a + int(some[r]), int(self.of[b + t])
+                    d = int(doc[p])
+                    verdict = _verified(held[d], p - int(behind[d]), self.items[k], self.answers[k])
+                    if verdict and (old := hits.get((d, k), (0,)))[0] <= verdict[0]:
+                        hits[d, k] = (verdict[0], max(float(cos[r, t]), old[1] if len(old) > 1 else 0.0), *verdict[1:])
+        return hits
+
+
+def _search(texts: DataFrame, model: tuple) -> DataFrame:
+    """search() for one tile of the benchmark."""
+    schema = "doc_id long, item_id long, share double, cosine double, answered boolean, start long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref: Reference = pickle.loads(sent.value)
-        latent, of, targets = pickle.loads(model.value)
-        items, answers = [w.tolist() for w in ref.items], [w.tolist() for w in ref.answers]
+        searcher = Searcher(*model)
         for whole in batches:
             for batch in common.slices(whole, size=2 << 20):
-                held = all_words(batch.column("text").to_pylist())
-                halves = Halves(ref, held)
-                sums = halves.sums(latent)
-                doc, at = halves.starts()
-                behind = np.cumsum(halves.passages) - halves.passages
-                hits: dict[tuple[int, int], tuple] = {}
-                for a in range(0, len(at), PASSAGES):
-                    z = sums[at[a : a + PASSAGES]] + sums[at[a : a + PASSAGES] + 1]
-                    norm = np.linalg.norm(z, axis=1)
-                    some = np.flatnonzero(norm > 1e-9)
-                    z = z[some] / norm[some, None]
-                    for b in range(0, len(targets), TARGETS):
-                        cos = z @ targets[b : b + TARGETS].T
-                        for r, t in zip(*np.nonzero(cos >= COSINE), strict=True):
-                            p, k = a + int(some[r]), int(of[b + t])
-                            d = int(doc[p])
-                            verdict = _verified(held[d], p - int(behind[d]), items[k], answers[k])
-                            if verdict and (old := hits.get((d, k), (0,)))[0] <= verdict[0]:
-                                hits[d, k] = (verdict[0], max(float(cos[r, t]), old[1] if len(old) > 1 else 0.0), *verdict[1:])
                 ids = batch.column("doc_id").to_pylist()
-                found = [(ids[d], ref.ids[k], *h) for (d, k), h in hits.items()]
+                found = [(ids[d], searcher.ref.ids[k], *h) for (d, k), h in searcher(batch.column("text").to_pylist()).items()]
                 cols = list(zip(*found, strict=True)) or [[]] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
@@ -308,6 +328,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that contain no benchmark item; same columns. Of rows with one doc_id all go if one does."""
-    found = search(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    """The documents that contain no benchmark item; same columns. Every row is judged by its own text, whatever its id, and filtered where it is read: no shuffle."""
+    texts = common.keyed(docs)
+    for model in list(_models(texts, benchmark, "item_id", "text")):
+
+        def work(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            searcher = Searcher(*model)
+            for whole in batches:
+                for batch in common.slices(whole, size=2 << 20):
+                    hit = {d for d, _ in searcher([t or "" for t in batch.column("text").to_pylist()])}
+                    yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs

@@ -6,7 +6,8 @@ text's language is the codeword with the least loss over all places, each place
 weighted by how well its classifier did on the rows it learnt from. A text whose
 best two codewords are about equally near is flagged as ambiguous.
 
-Null texts and texts without a letter are `und` with score 0. One learnt language
+Repeated rows are judged each; a very long text is read in chunks of CHUNK bytes, its
+counts summed. Null texts and texts without a letter are `und` with score 0. One learnt language
 gives that language everywhere; none gives `und` everywhere.
 """
 
@@ -188,7 +189,14 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents that the language classifier does not reject: those with a letter whose language isn't in doubt between two codewords. Same columns."""
-    verdict = predict(docs, fit(docs.filter(~held_out(F.col("doc_id")))))
-    rejected = verdict.filter((F.col("lang_pred") == UNKNOWN) | F.col("ambiguous")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti")
+    """The documents that the language classifier does not reject: those with a letter whose language isn't in doubt between two codewords. Same columns. Every row is judged by its own text, in one pass without a shuffle; rows with a null text go, whatever their id."""
+    sent = common.bounded(docs.sparkSession, fit(docs.filter(~held_out(F.col("doc_id")))), 64 << 20)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = Decoder(sent.value)
+        for whole in batches:
+            for batch in common.slices(whole):
+                pred, _, unsure = decode(batch.column("text").to_pylist())
+                yield batch.filter(pa.array([p != UNKNOWN and not u for p, u in zip(pred, unsure, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -366,6 +366,44 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_neighbours_far_above_a_tile(spark, monkeypatch, clustered):
+    monkeypatch.setattr(ann, "TILES", (16, 64))
+    rng, n = np.random.default_rng(4), 4000
+    x = rng.normal(size=(n, 12))
+    if clustered:
+        x = 4 * rng.normal(size=(80, 12))[rng.integers(0, 80, n)] + 0.3 * x
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), "c") for i, v in enumerate(x)], "vec_id long, embedding array<double>, key string")
+    hit, queries = 0, list(range(0, n, 20))
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q in queries:
+        s = ann.exact(np.repeat(x[q : q + 1], n, axis=0), x)
+        found = sorted(got[q])
+        assert len(found) == 20 and all(s[v] == sc for _, v, sc in found)
+        order = sorted((i for i in range(n) if i != q), key=lambda i: (-s[i], i))[:20]
+        hit += len(set(order) & {v for _, v, _ in found})
+    assert hit >= 0.9 * 20 * len(queries)
+
+
+def test_neighbours_without_an_id_and_of_one_id(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(30)] + [(None, [1.0] * 4), (0, [2.0, 1.0, 0.0, 1.0]), (0, [2.0, 1.0, 0.0, 1.0]), (5, [0.5] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 5).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    known = [(i, np.array(v)) for i, v in rows if i is not None]
+    want = defaultdict(list)
+    for at, (q, v) in enumerate(known):
+        if q % 20 == 0:
+            order = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for k, (i, w) in enumerate(known) if k != at)[:5]
+            want[q] += [(r, i, -s) for r, (s, i) in enumerate(order, 1)]
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+
+
 def test_hilbert_neighbours_are_cells_side_by_side():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     key = ann.hilbert(cells, 3)

@@ -44,6 +44,8 @@ COSINE, COPY, PARAPHRASE, ANSWER = 0.45, 0.75, 0.55, 0.7
 BENCHMARK_MOST = 256 << 20
 #: Features of a block of the sketch on its way through a shuffle.
 BLOCK = 128
+#: Bytes of text handled at once: few enough that their sums stay in a core's cache.
+SLICE = 1 << 17
 #: Passages and targets whose cosines are held at once.
 PASSAGES, TARGETS = 4096, 1024
 
@@ -145,29 +147,60 @@ class Halves:
         return of, self.first[of] + np.arange(len(of)) - behind[of]
 
 
+class Moments:
+    """Second moments of passages: how often two features are in one passage, times omega. Counted pair by pair up to FEATURES features, else summed as rows of omega."""
+
+    def __init__(self, size: int, omega: np.ndarray):
+        self.size, self.omega = size, omega.astype(np.float32)
+        self.pairs = np.zeros(size * size, np.float32) if size <= FEATURES else None
+        self.rows = np.zeros(omega.shape)
+
+    def add(self, halves: Halves) -> None:
+        f, h = halves.features, halves.half
+        if not len(f):
+            return
+        first = halves.first[:-1]
+        if self.pairs is None:
+            b = halves.sums(self.omega)
+            near = b * 2  # the passages a half belongs to: with the one before and with the one behind
+            near[1:] += b[:-1]
+            near[:-1] += b[1:]
+            near[first] -= b[first]  # the first half is in one only
+            order = np.argsort(f, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], f[order][1:] != f[order][:-1]]))
+            self.rows[f[order][at]] += np.add.reduceat(near[h[order]], at, axis=0)
+            return
+        weight = np.where(first[halves.doc] == h, 1, 2).astype(np.float32)
+        np.add.at(self.pairs, f * self.size + f, weight / 2)  # pairs count for both of their features in total()
+        i, step = np.arange(len(f) - 1), 1
+        while len(i):
+            i = i[h[i + step] - h[i] <= 1]
+            j = i + step
+            np.add.at(self.pairs, f[i] * self.size + f[j], np.where(h[i] == h[j], weight[i], np.float32(1)))
+            step += 1
+            i = i[i + step < len(f)]
+
+    def total(self) -> np.ndarray:
+        if self.pairs is not None:
+            m = self.pairs.reshape(self.size, self.size)
+            self.rows += m @ self.omega
+            self.rows += m.T @ self.omega
+        return self.rows
+
+
 def _sketch(texts: DataFrame, sent, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Second moments of all passages times omega, document frequencies of the features, and the number of documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ref: Reference = pickle.loads(sent.value)
-        y, df, n = np.zeros((ref.size, omega.shape[1])), np.zeros(ref.size), 0
-        small = omega.astype(np.float32)
+        moments, df, n = Moments(ref.size, omega), np.zeros(ref.size), 0
         for whole in batches:
-            for batch in common.slices(whole, size=2 << 20):
+            for batch in common.slices(whole, size=SLICE):
                 n += batch.num_rows
                 halves = Halves(ref, all_words(batch.column("text").to_pylist()))
-                f = halves.features
-                if not len(f):
-                    continue
-                df += np.bincount(np.unique(halves.doc * ref.size + f) % ref.size, minlength=ref.size)
-                b = halves.sums(small)
-                near = b * 2  # the passages a half belongs to: with the one before and with the one behind
-                near[1:] += b[:-1]
-                near[:-1] += b[1:]
-                near[halves.first[:-1]] -= b[halves.first[:-1]]  # the first half is in one only
-                order = np.argsort(f, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], f[order][1:] != f[order][:-1]]))
-                y[f[order][first]] += np.add.reduceat(near[halves.half[order]], first, axis=0)
+                moments.add(halves)
+                df += np.bincount(np.unique(halves.doc * ref.size + halves.features) % ref.size, minlength=ref.size)
+        y = moments.total()
         starts = list(range(0, ref.size, BLOCK))
         yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([np.c_[y, df][a : a + BLOCK].tobytes() for a in starts], pa.binary()), pa.array([n if a == 0 else 0 for a in starts], pa.int64())], names=["at", "y", "n"])
 
@@ -289,7 +322,7 @@ def _search(texts: DataFrame, model: tuple) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(*model)
         for whole in batches:
-            for batch in common.slices(whole, size=2 << 20):
+            for batch in common.slices(whole, size=SLICE):
                 ids = batch.column("doc_id").to_pylist()
                 found = [(ids[d], searcher.ref.ids[k], *h) for (d, k), h in searcher(batch.column("text").to_pylist()).items()]
                 cols = list(zip(*found, strict=True)) or [[]] * 6
@@ -335,7 +368,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(*model)
             for whole in batches:
-                for batch in common.slices(whole, size=2 << 20):
+                for batch in common.slices(whole, size=SLICE):
                     hit = {d for d, _ in searcher([t or "" for t in batch.column("text").to_pylist()])}
                     yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 

@@ -501,6 +501,25 @@ def test_benchmark_items_are_found(spark):
     assert {r.doc_id for r in decontaminate.without_benchmark(docs, bench).collect()}.isdisjoint({d for d, _ in got})
 
 
+def test_moments_by_pairs_and_by_rows(monkeypatch):
+    rng = random.Random(3)
+    ref = decontaminate.Reference([(i, words(rng, 30, 200)) for i in range(9)])
+    texts = [words(rng, n, 300) for n in (0, 1, 15, 16, 17, 33, 400)]
+    omega, held = np.random.default_rng(1).normal(size=(ref.size, 5)), decontaminate.all_words(texts)
+    want = np.zeros((ref.size, 5))
+    for w in held:
+        b = np.zeros((max(1, -(-len(w) // 16)) + 1, ref.size))
+        places, f = ref.features(w)
+        np.add.at(b, (places // 16, f), 1)
+        p = b[:-1] + b[1:]
+        want += p.T @ (p @ omega)
+    for most in (8192, 1):
+        monkeypatch.setattr(decontaminate, "FEATURES", most)
+        moments = decontaminate.Moments(ref.size, omega)
+        moments.add(decontaminate.Halves(ref, held))
+        assert np.allclose(moments.total(), want, rtol=1e-4, atol=1e-3)
+
+
 @pytest.mark.parametrize("features", [8192, 300])
 def test_search_finds_what_an_exhaustive_one_does(spark, monkeypatch, features):
     monkeypatch.setattr(decontaminate, "FEATURES", features)

@@ -4,14 +4,16 @@ A fingerprint's 64 bits are 32 segments of two; its embedding is the number of o
 in each segment. The Manhattan distance of two embeddings is never more than the
 Hamming distance of the fingerprints, so it is a lower bound to join on. Written in
 unary (at least one, both), an embedding is again 64 bits and its Manhattan distance
-a count of differing bits. The grid: segments are dealt to six groups; at distance
-three or less at least three groups agree exactly, so every near pair meets in one
-of the twenty cells that name three groups and their counts. In a cell the bound is
-tested, then the fingerprints themselves. A cell gives a spanning forest of its
+a count of differing bits. The grid: segments are dealt to groups; at distance three or
+less all but three groups agree exactly, so every near pair meets in a cell that names
+all groups but three and their counts. The more fingerprints there are, the more groups
+and the finer the cells, so that a cell's chance company stays small; the links are the
+same. In a cell the bound is tested, then the fingerprints themselves. A cell gives a spanning forest of its
 links, never all its pairs; a cell of many fingerprints is dealt out as pairs of
 blocks to many tasks. Equal fingerprints are one node from the start.
 
-Null and empty texts, and texts without words, have fingerprint zero and link like
+Repeated rows are rows of their own in one component; a very long text is hashed in
+bounded steps. Null and empty texts, and texts without words, have fingerprint zero and link like
 any other. A component's id is its smallest doc_id; rows without a doc_id link but
 never name a component.
 """
@@ -21,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,8 @@ from graphloom.llm import common
 from graphloom.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-#: Segments of each of the six groups, and the groups of a cell.
-GROUPS, AGREE = (6, 6, 5, 5, 5, 5), 3
+#: How many groups the 32 segments may be dealt to, and the bits of chance that a segment's count has.
+GROUPS, CHANCE = (6, 8, 10, 12, 16), 1.5
 #: Fingerprints of a block of a large cell.
 BLOCK = 2048
 
@@ -76,24 +79,30 @@ def embed(fp: np.ndarray) -> np.ndarray:
     return (low | high) | ((low & high) << np.uint64(1))
 
 
-def _cells() -> list[np.uint64]:
+def groups_for(n: int) -> int:
+    """The number of groups that gives n fingerprints the fewest places and chance meetings together."""
+    return min(GROUPS, key=lambda g: comb(g, DISTANCE) * (1 + n * 2 ** (-CHANCE * 32 * (g - DISTANCE) / g)))
+
+
+def cells(groups: int) -> list[np.uint64]:
     """For each cell the bits of the embedding that it fixes."""
     masks, at = [], 0
-    for n in GROUPS:
-        masks.append(((1 << (2 * n)) - 1) << at)
-        at += 2 * n
-    return [np.uint64(sum(masks[g] for g in c)) for c in combinations(range(len(GROUPS)), AGREE)]
+    for k in range(groups):
+        size = 2 * (32 // groups + (k < 32 % groups))
+        masks.append(((1 << size) - 1) << at)
+        at += size
+    return [np.uint64(sum(masks[g] for g in c)) for c in combinations(range(groups), groups - DISTANCE)]
 
 
-def _places(prints: DataFrame) -> DataFrame:
-    """(cell, counts, fp): twenty rows for each fingerprint."""
-    cells = _cells()
+def _places(prints: DataFrame, groups: int) -> DataFrame:
+    """(cell, counts, fp): a row for each cell of each fingerprint."""
+    masks = cells(groups)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             counts = embed(fp)
-            for k, mask in enumerate(cells):
+            for k, mask in enumerate(masks):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array((counts & mask).view(np.int64)), batch.column("fp")], names=["cell", "counts", "fp"])
 
     return prints.select("fp").mapInArrow(work, "cell int, counts long, fp long")
@@ -140,9 +149,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(fp[x]), pa.array(fp[y])], names=["u", "v"])
 
 
-def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(prints: DataFrame, block: int = BLOCK, groups: int | None = None) -> DataFrame:
     """(u, v): links between distinct fingerprints whose closure is that of all links at DISTANCE or less."""
-    places = _places(prints)
+    places = _places(prints, groups or groups_for(prints.count()))
     sizes = places.groupBy("cell", "counts").agg(F.count("*").alias("n")).filter("n > 1")
     met = places.join(sizes, ["cell", "counts"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("blocks")).cast("int")
@@ -155,7 +164,7 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id for every row."""
     prints = common.written(fingerprints(docs, id_col, text_col), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(links(distinct))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -263,11 +263,16 @@ def test_near_fingerprints_share_a_cell_and_the_bound_is_low(a, bits):
     x = np.array([a, b], np.uint64)
     e = simhash.embed(x)
     assert int(e[0] ^ e[1]).bit_count() <= (a ^ b).bit_count()
-    assert any((e[0] ^ e[1]) & m == 0 for m in simhash._cells())
+    assert all(any((e[0] ^ e[1]) & m == 0 for m in simhash.cells(g)) for g in simhash.GROUPS)
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_links_and_components_by_brute_force(spark, block):
+def test_cells_grow_finer():
+    assert [simhash.groups_for(n) for n in (10, 10**6, 10**9, 10**11)] == sorted(simhash.groups_for(n) for n in (10, 10**6, 10**9, 10**11)) and simhash.groups_for(10**11) > simhash.groups_for(10**6)
+    assert all(len(simhash.cells(g)) == len(set(map(int, simhash.cells(g)))) for g in simhash.GROUPS)
+
+
+@pytest.mark.parametrize("block, groups", [(2048, 6), (4, 6), (2048, 10)])
+def test_links_and_components_by_brute_force(spark, block, groups):
     rng = random.Random(11)
     prints = set()
     for _ in range(30):
@@ -291,7 +296,7 @@ def test_links_and_components_by_brute_force(spark, block):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
-    got = {r.node: r.root for r in components.components(simhash.links(df, block)).collect()}
+    got = {r.node: r.root for r in components.components(simhash.links(df, block, groups)).collect()}
     groups = defaultdict(set)
     for p in prints:
         groups[root(p)].add(signed(p))
@@ -299,6 +304,29 @@ def test_links_and_components_by_brute_force(spark, block):
     assert got == want
 
 
+def test_near_duplicates_by_brute_force(spark):
+    rng = random.Random(31)
+    rows = [(None, ""), (-3, None), (40, "")]
+    for _ in range(12):
+        base = words(rng, rng.choice([2, 30, 400]), 3000).split()
+        for _ in range(rng.choice([1, 3, 12])):
+            other = list(base)
+            for _ in range(rng.randrange(3)):
+                other[rng.randrange(len(other))] = f"n{rng.random()}"
+            rows.append((rng.choice([None, rng.randrange(90)]), " ".join(other)))
+    rows += rows[5:9]
+    prints = [simhash.fingerprint(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min((d for (d, _), q in zip(rows, root, strict=True) if q == r and d is not None), default=None) for r in root}
+    want = sorted(((d, p if p < 1 << 63 else p - (1 << 64), least[r]) for (d, _), p, r in zip(rows, prints, root, strict=True)), key=str)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "fp", "component_id")
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(set(root)) < len(rows)
+
+
 def test_near_duplicates_of_odd_documents(spark):
     got = simhash.near_duplicates(odd_documents(spark)).collect()
     by = defaultdict(set)

@@ -1,17 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, reported speech, other) by
-a lexical transducer whose insult arcs and their weights are learnt from labelled
-rows: whole words and word beginnings that stand in toxic texts far more often than
-in others. Three more transducers follow in cascade: negation rewrites what stands
-shortly behind a negation, reported speech what stands behind a verb of saying,
-target what shares a clause with a target. Clauses end at . ! ? ; : and line ends.
-What a clause matches is the multiset of rewritten symbols; a logistic model over
-the weights of matched clauses by kind of match gives the score, so that a word by
-itself, unless its clause matches, counts for nothing.
-
-Null and empty texts match nothing and get the score of an unmatched text. With no
-labelled rows, or rows of one label only, the prior weights of the grammar stand.
+Five lexical transducers read a word letter by letter and write its symbol (insult,
+threat, target, negation, reported speech; other where none accepts) with a weight; their
+union is one trie. Weights of insults and threats are learnt from labelled rows; insults
+themselves are words and word beginnings that stand in toxic texts far more often than in
+others. Four more transducers rewrite the symbols of a clause: one reads it from its end
+and marks what has a target ahead; negation marks what stands shortly behind a negation,
+reported speech what stands behind a verb of saying, target what has a target before it
+and names the kinds of match. The last three are composed into one machine, so that a
+clause is read once in either direction. Clauses end at . ! ? ; : and line ends. A
+logistic model over the weights of matched clauses by kind gives the score, so that a
+word by itself, unless its clause matches, counts for nothing.
+
+Null and empty texts match nothing and get the score of an unmatched text. Repeated rows
+are scored each; a very long text is read clause by clause. A doc_id with both labels is
+labelled 1. With no labelled rows, or rows of one label only, the prior weights of the
+grammar stand.
 """
 
 from __future__ import annotations
@@ -53,53 +57,125 @@ PRIOR = np.array([1.5, 2.0, 0.3, 0.5, 0.7, 2.0])
 PRIOR_BIAS = -3.0
 
 
-class Lexicon(dict):
-    """Lexical transducer: word -> (symbol, weight); words seen are remembered up to a bound."""
+#: Symbols between the transducers: negated, reported, and with a target somewhere in the clause.
+NOT_INSULT, NOT_THREAT, SAID_INSULT, SAID_THREAT, INSULT_AT, THREATS_AT = range(7, 13)
+SYMBOLS = range(13)
 
-    def __init__(self, entries: dict[str, float], stems: dict[str, float]):
-        super().__init__()
-        self.fixed: dict[str, tuple[int, float]] = {w: (k, 1.0) for k, ws in WORDS.items() for w in ws.split()}
-        self.fixed |= {e: (END, 0.0) for e in _ENDS} | {w: (INSULT, x) for w, x in entries.items()}
-        self.stems, self.lengths = stems, sorted({len(s) for s in stems})
 
-    def __missing__(self, word: str) -> tuple[int, float]:
-        found = self.fixed.get(word)
-        if found is None:
-            found = next(((INSULT, self.stems[word[:n]]) for n in self.lengths if word[:n] in self.stems), (OTHER, 0.0))
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found
-        return found
+class Transducer:
+    """Sequential weighted transducer. arcs[state][symbol] is (output, weight, next state); a symbol without an arc stays as it is, as does the state. State 0 is the first."""
+
+    def __init__(self, arcs: list[dict[int, tuple[int, float, int]]]):
+        self.arcs = [{x: row.get(x, (x, 1.0, state)) for x in SYMBOLS} for state, row in enumerate(arcs)]
+
+    def __call__(self, symbols: list[int]) -> list[tuple[int, float]]:
+        """What is written, and the weight of each arc taken."""
+        state, out = 0, []
+        for x in symbols:
+            y, w, state = self.arcs[state][x]
+            out.append((y, w))
+        return out
+
+    def compose(self, other: Transducer) -> Transducer:
+        """The machine that gives other's output on this one's, weights multiplied; only states that can be reached."""
+        number, todo, rows = {(0, 0): 0}, [(0, 0)], []
+        for a, b in todo:
+            row = {}
+            for x in SYMBOLS:
+                y, v, c = self.arcs[a][x]
+                z, w, d = other.arcs[b][y]
+                if (c, d) not in number:
+                    number[c, d] = len(todo)
+                    todo.append((c, d))
+                row[x] = (z, v * w, number[c, d])
+            rows.append(row)
+        return Transducer(rows)
+
+
+def ahead() -> Transducer:
+    """Reads a clause from its end: what has a target behind it in the text."""
+    return Transducer([{TARGET: (TARGET, 1.0, 1)}, {INSULT: (INSULT_AT, 1.0, 1), THREAT: (THREATS_AT, 1.0, 1), END: (END, 1.0, 0)}])
+
+
+def negation(reach: int = 3) -> Transducer:
+    """State k: so many words are left in which a negation holds."""
+
+    def row(k: int) -> dict[int, tuple[int, float, int]]:
+        out = {x: (x, 1.0, max(0, k - 1)) for x in SYMBOLS}
+        out[NEGATION], out[END] = (NEGATION, 1.0, reach), (END, 1.0, 0)
+        if k:
+            out |= {x: (NOT_INSULT, 1.0, k - 1) for x in (INSULT, INSULT_AT)} | {x: (NOT_THREAT, 1.0, k - 1) for x in (THREAT, THREATS_AT)}
+        return out
+
+    return Transducer([row(k) for k in range(reach + 1)])
 
 
-def negation(symbols: list[tuple[int, float]]) -> list[tuple[int, float, int]]:
-    """Rewrites: (symbol, weight, 1 if within three words behind a negation)."""
-    out, left = [], 0
-    for k, w in symbols:
-        out.append((k, w, int(left > 0)))
-        left = 3 if k == NEGATION else left - 1
-    return out
+def reported() -> Transducer:
+    """State 1: a verb of saying stood before."""
+    said = {x: (SAID_INSULT, 1.0, 1) for x in (INSULT, INSULT_AT)} | {x: (SAID_THREAT, 1.0, 1) for x in (THREAT, THREATS_AT)}
+    return Transducer([{REPORT: (REPORT, 1.0, 1)}, {**said, END: (END, 1.0, 0)}])
 
 
-def reported(symbols: list[tuple[int, float, int]]) -> list[tuple[int, float, int, int]]:
-    """Adds 1 to all that stands behind a verb of saying in the clause."""
-    out, on = [], 0
-    for k, w, neg in symbols:
-        out.append((k, w, neg, on))
-        on = on or int(k == REPORT)
-    return out
+def targeted() -> Transducer:
+    """State 1: a target stood before."""
+    return Transducer([{TARGET: (TARGET, 1.0, 1)}, {INSULT: (INSULT_AT, 1.0, 1), THREAT: (THREATS_AT, 1.0, 1), END: (END, 1.0, 0)}])
 
 
-def targeted(symbols: list[tuple[int, float, int, int]]) -> list[tuple[int, float]]:
-    """Final symbols of the clause: kinds of match with their weights."""
-    at = any(k == TARGET for k, *_ in symbols)
-    out = []
-    for k, w, neg, rep in symbols:
-        if k == INSULT:
-            out.append((NEGATED if neg else REPORTED if rep else TARGETED if at else PLAIN, w))
-        elif k == THREAT and not neg and not rep:
-            out.append((THREAT_AT if at else THREATENED, w))
-    return out
+AHEAD, GRAMMAR = ahead(), negation().compose(reported()).compose(targeted())
+#: Kinds of match by the symbol that the grammar writes; negated and reported threats match nothing.
+KINDS = {INSULT: PLAIN, INSULT_AT: TARGETED, NOT_INSULT: NEGATED, SAID_INSULT: REPORTED, THREAT: THREATENED, THREATS_AT: THREAT_AT}
+
+
+class Trie:
+    """Lexical transducer over letters: a path that ends in a final state writes its symbol and weight; a beginning's state accepts whatever follows."""
+
+    def __init__(self):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final: dict[int, tuple[int, float]] = {}
+        self.open: dict[int, tuple[int, float]] = {}
+
+    def add(self, text: str, found: tuple[int, float], beginning: bool = False) -> None:
+        state = 0
+        for c in text:
+            if c not in self.arcs[state]:
+                self.arcs.append({})
+                self.arcs[state][c] = len(self.arcs) - 1
+            state = self.arcs[state][c]
+        (self.open if beginning else self.final)[state] = found
+
+    def __call__(self, word: str) -> tuple[int, float]:
+        """A whole word before beginnings, a shorter beginning before a longer one."""
+        state, found = 0, None
+        for c in word:
+            state = self.arcs[state].get(c, -1)
+            if state < 0:
+                return found or (OTHER, 0.0)
+            if found is None and state in self.open:
+                found = self.open[state]
+        return self.final.get(state) or found or (OTHER, 0.0)
+
+
+class Lexicon(dict):
+    """The union of the lexical transducers: word -> (symbol, weight); words seen are remembered up to a bound."""
+
+    def __init__(self, entries: dict[str, float], stems: dict[str, float], threats: dict[str, float] | None = None):
+        super().__init__()
+        self.trie = Trie()
+        for k, ws in WORDS.items():
+            for w in ws.split():
+                self.trie.add(w, (k, (threats or {}).get(w, 1.0) if k == THREAT else 1.0))
+        for e in _ENDS:
+            self.trie.add(e, (END, 0.0))
+        for w, x in entries.items():
+            self.trie.add(w, (INSULT, x))
+        for w, x in stems.items():
+            self.trie.add(w, (INSULT, x), beginning=True)
+
+    def __missing__(self, word: str) -> tuple[int, float]:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[word] = self.trie(word)
+        return found
 
 
 def matches(text: str, lexicon: Lexicon) -> np.ndarray:
@@ -118,8 +194,10 @@ def matches(text: str, lexicon: Lexicon) -> np.ndarray:
         clause = kinds[start:stop]
         if INSULT in clause or THREAT in clause:
             by_kind = [0.0] * 6
-            for k, w in targeted(reported(negation(symbols[start:stop]))):
-                by_kind[k] += w
+            marked = [y for y, _ in AHEAD(clause[::-1])][::-1]
+            for (y, arc), (_, w) in zip(GRAMMAR(marked), symbols[start:stop], strict=True):
+                if y in KINDS:
+                    by_kind[KINDS[y]] += arc * w
             total += np.log1p(by_kind)
         start = stop + 1
     return total
@@ -151,14 +229,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     share = F.when(F.col("toxic") == 1, min(1.0, sample / max(1, totals.get(1, 0)))).otherwise(min(1.0, clean / max(1, totals.get(0, 0))))
-    chosen = labels.filter(draw < share).dropDuplicates(["doc_id"])
+    chosen = labels.filter(draw < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # two numbers for each row of the bounded sample
     rows = common.written(common.keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").repartition(12, "doc_id"), "toxic-sample")
     first = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(2)) == 0
     size = {(r["first"], r["toxic"]): r["n"] for r in rows.groupBy(first.alias("first"), "toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get((True, 1), 0), size.get((True, 0), 0)
     odds = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("n") + 0.5) / (neg + 1.0))
-    found = _counts(rows.filter(first)).withColumn("odds", odds).filter((F.col("odds") >= LEAST_ODDS) & (F.col("p") >= LEAST_TEXTS)).orderBy(F.desc("odds"), "feature").limit(LEXICON).collect() if pos and neg else []
+    counted = common.written(_counts(rows.filter(first)).withColumn("odds", odds), "toxic-counts")
+    found = counted.filter((F.col("odds") >= LEAST_ODDS) & (F.col("p") >= LEAST_TEXTS)).orderBy(F.desc("odds"), "feature").limit(LEXICON).collect() if pos and neg else []
+    # what a threat weighs: its log-odds, drawn to 1 where it is seldom seen
+    known = counted.filter(F.col("feature").isin([f"={w}" for w in WORDS[THREAT].split()])).collect() if pos and neg else []
+    threats = {r["feature"][1:]: max(0.05, (float(r["odds"]) * (r["p"] + r["n"]) + LEAST_TEXTS) / (r["p"] + r["n"] + LEAST_TEXTS)) for r in known}
     stems: dict[str, float] = {}
     for r in sorted((r for r in found if r["feature"][0] != "="), key=lambda r: (len(r["feature"]), r["feature"])):
         if not any(r["feature"][:n] in stems for n in STEMS):
@@ -168,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if size.get((False, 1), 0) and size.get((False, 0), 0):
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lexicon = Lexicon(entries, stems)
+            lexicon = Lexicon(entries, stems, threats)
             for batch in batches:
                 x = [matches(t, lexicon).tolist() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
@@ -178,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # the sample holds the labels in other shares than the rows do
         rate = lambda k: totals[k] / max(1, sum(r["y"] == k for r in got))
         bias += math.log(rate(1) / rate(0))
-    return pickle.dumps((entries, stems, np.asarray(weights).tolist(), float(bias)))
+    return pickle.dumps((entries, stems, threats, np.asarray(weights).tolist(), float(bias)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -199,8 +281,8 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     sent = common.bounded(docs.sparkSession, model, 16 << 20)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, stems, weights, bias = pickle.loads(sent.value)
-        lexicon, weights = Lexicon(entries, stems), np.array(weights)
+        entries, stems, threats, weights, bias = pickle.loads(sent.value)
+        lexicon, weights = Lexicon(entries, stems, threats), np.array(weights)
         for whole in batches:
             for batch in common.slices(whole):
                 x = np.array([matches(t, lexicon) for t in batch.column("text").to_pylist()])

@@ -501,6 +501,47 @@ def test_grammar_scores_clauses_not_words():
     assert kinds("kind words. you. nothing") == [] and kinds("") == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(range(13)), max_size=30))
+def test_composed_machine_is_its_parts_in_a_row(symbols):
+    one = [y for y, _ in toxicity.negation()(symbols)]
+    two = [y for y, _ in toxicity.reported()(one)]
+    assert [y for y, _ in toxicity.GRAMMAR(symbols)] == [y for y, _ in toxicity.targeted()(two)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["fool", "you", "not", "said", "kill", "tree", "."]), max_size=14))
+def test_clauses_by_their_definition(tokens):
+    lexicon, want, clause = toxicity.Lexicon({"fool": 2.0}, {}, {"kill": 0.5}), np.zeros(6), []
+    for t in [*tokens, "."]:
+        if t != ".":
+            clause.append(t)
+            continue
+        by = [0.0] * 6
+        for i, w in enumerate(clause):
+            neg, said, at = "not" in clause[max(0, i - 3) : i], "said" in clause[:i], "you" in clause
+            if w == "fool":
+                by[toxicity.NEGATED if neg else toxicity.REPORTED if said else toxicity.TARGETED if at else toxicity.PLAIN] += 2.0
+            elif w == "kill" and not neg and not said:
+                by[toxicity.THREAT_AT if at else toxicity.THREATENED] += 0.5
+        want, clause = want + np.log1p(by), []
+    assert np.allclose(toxicity.matches(" ".join(tokens), lexicon), want)
+
+
+def test_words_and_beginnings():
+    lexicon = toxicity.Lexicon({"dolts": 3.0}, {"dolt": 2.0, "doltish": 5.0})
+    assert lexicon["dolts"] == (toxicity.INSULT, 3.0) and lexicon["doltishly"] == (toxicity.INSULT, 2.0)
+    assert lexicon["dolt"] == (toxicity.INSULT, 2.0) and lexicon["dol"] == (toxicity.OTHER, 0.0) and lexicon["you"][0] == toxicity.TARGET and lexicon["yous"][0] == toxicity.OTHER and lexicon[""] == (toxicity.OTHER, 0.0)
+
+
+def test_toxic_rows_held_out(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").dropna()
+    got = toxicity.op4_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").collect()
+    toxic, clean = [r for r in got if r.toxic == 1], [r for r in got if r.toxic == 0]
+    assert len(toxic) >= 10 and sum(r.predicted for r in toxic) >= 0.6 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
+
+
 # 1: decontamination
 
 
@@ -605,34 +646,75 @@ def test_licence_blocks(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
-def test_licences_in_long_sentences():
-    scanner, rng = licenses.Scanner(), random.Random(4)
-    names = lambda t: [scanner(b)[0] for _, b in licenses.blocks(t)]
-    prose = "".join(rng.choice("abcdefghij klmnop qrst ") for _ in range(600))
-    for notice, name in (("Released under the MIT License", "MIT"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("Licensed under the GNU GPL v2", "GPL-2.0")):
-        assert names(prose[:239] + " " + notice + ".") == [name] and names(notice + " " + prose) == [name] and names(prose[:200] + " " + notice + " " + prose) == [name]
+def licences_of(text):
+    return [x[2] for x in licenses.Scanner().scan(text) if x[2]]
 
 
-def licences_of(text):
-    scanner, out, last = licenses.Scanner(), [], 0
-    for at, b in licenses.blocks(text):
-        out += [x[0] for x in scanner.all(b, text[at + len(b) :][:2500], text[max(last, at - licenses.REACH) : at]) if x[0]]
-        last = at + len(b)
-    return out
+def test_licences_in_long_sentences():
+    rng = random.Random(4)
+    prose = "".join(rng.choice("abcdefghij klmnop qrst ") for _ in range(9000))
+    for notice, name in (("Released under the MIT License", "MIT"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("Licensed under the GNU GPL v2", "GPL-2.0")):
+        for before in (0, 200, 4080, 4096, 8900):
+            assert licences_of(prose[:before] + " " + notice + " " + prose[:before]) == [name]
 
 
 def test_licences_one_after_another(spark):
     three = "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.\nDistributed under the Apache License 2.0, see the accompanying file LICENSE."
-    docs = spark.createDataFrame([(1, three)], "doc_id long, text string")
-    assert sorted(r.license for r in licenses.scan(docs).collect()) == ["Apache-2.0", "CC-BY-NC-4.0", "MIT"]
+    docs = spark.createDataFrame([(1, three, "x", 1), (1, three, "x", 1), (None, three, None, None)], "doc_id long, text string, license string, start int")
+    assert sorted(r.license for r in licenses.scan(docs).collect()) == ["Apache-2.0"] * 3 + ["CC-BY-NC-4.0"] * 3 + ["MIT"] * 3
     many = "\n".join([f"The license of this part is given by the line below, says part {i}." for i in range(58)] + ["Released under the MIT License."] * 40)
-    for at in range(0, 30, 3):
+    for at in range(0, 30, 10):
         assert licences_of("licence " + "z" * at + ".\n" + many) == ["MIT"] * 40
 
 
+def test_every_template_is_found_with_its_differing_words():
+    scanner, rng = licenses.Scanner(), random.Random(14)
+    for name, ps in licenses.phrases().items():
+        for phrase in ps:
+            own = licenses.words_of(phrase)
+            before = " ".join(f"b{rng.randrange(99)}x" for _ in range(30))
+            rows = [r for r in scanner.scan(f"{before}. {phrase} {before}") if r[2]]
+            found = rows[0][2] if rows else None
+            assert found == name or (phrase in licenses.OPENINGS["BSD-2-Clause"] and found == "BSD-2-Clause"), phrase
+            free = [i for i, w in enumerate(own) if w not in licenses.TELLING and not licenses.TRIGGER.search(w)]
+            if len(free) > 9:
+                text = list(own)
+                text[free[5]] = "otherword"
+                rows = [r for r in scanner.scan(f"{before}. {' '.join(text)} {before}") if r[2]]
+                assert rows and rows[0][2] == name and rows[0][4] <= 2, phrase
+
+
+def brute_closest(own, text, most):
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(row[j - 1] if x == y else 1 + min(row[j], new[-1]))
+            row = new
+        return row[-1]
+
+    best = min((far(own, text[p:q]) for p in range(len(text) + 1) for q in range(p, len(text) + 1)), default=len(own))
+    return best if best <= most else None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=6), st.lists(st.integers(0, 4), max_size=12))
+def test_closest_stretch_by_brute_force(own, text):
+    most = len(own) // 3
+    got = list(licenses.closest(np.array(own), np.array(text, int), most))
+    assert (min(got)[0] if got else None) == brute_closest(own, text, most)
+    for d, p, q in got:
+        assert len(licenses.differing(list(map(str, own)), list(map(str, text[p:q])))) == d
+    assert all(b <= c or d <= a for (_, a, b), (_, c, d) in ((x, y) for i, x in enumerate(got) for y in got[:i]))
+
+
 def test_licence_headers_and_titles():
     assert licences_of("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nEveryone may copy.") == ["GPL-2.0"] and licences_of("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n") == ["LGPL-3.0"]
     assert licences_of("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy") == ["MPL-2.0"]
+    assert licences_of(licenses.TEXTS["BSD-3-Clause"]) == ["BSD-3-Clause"] and licences_of("x " * 3000 + "\n" + licenses.TEXTS["MIT"].replace("AUTHORS", "WRITERS")) == ["MIT"]
+    more = {"Own-1": "Whoever reads this notice holds permission to do with the thing whatever seems good to them and to tell others so"}
+    assert [r[2] for r in licenses.Scanner(more).scan("Some prose. " + more["Own-1"] + ".")] == ["Own-1"]
     two = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.\n"
     third = "3. Neither the name of the copyright holder nor the names of its contributors\nmay be used to endorse or promote products derived from this software without permission.\n"
     assert licences_of(two) == ["BSD-2-Clause"] and licences_of(two + third) == ["BSD-3-Clause"]

@@ -6,15 +6,16 @@ of four fifths or more must share a word among the first few of each in that ord
 (prefix filter). Lines that meet at such a word go on if their sizes allow the similarity
 (length filter) and so does what can still follow the first word they share (positional
 filter, which the first shared word of a similar pair always passes), and if 128 parities
-of their words differ in few enough places; then the words themselves decide. A line
+of their words differ in few enough places; then the sets of words decide, word by word, each
+known by 64 bits (two sets are only confused if words that one of them lacks agree in all). A line
 goes if an earlier line, by document and place, is similar; lines are judged as they stand
 in the input.
 
 Equal lines, known by 128 bits, are one line from the first aggregation on, which keeps
 their first place. Both joins are semi-joins: they ask whether a partner exists, stop at
 the first and give a row for a line, never one for a pair. The first finds lines that have
-a plausible partner, and at which words; only those fetch their texts for the second, whose
-condition compares their words. A line's fate reaches its document as bits by line number, not as a row for a copy.
+a plausible partner, and at which words; only those fetch their words for the second, whose
+condition compares them. A line's fate reaches its document as bits by line number, not as a row for a copy.
 
 Null and empty texts are one empty line. Lines without words stay. A null doc_id counts
 as before all others. Rows that share a doc_id stand in the order of a hash of their texts;
@@ -34,6 +35,8 @@ LEAST = (4, 5)
 FREQUENT, BUCKETS = 1 << 16, 1 << 18
 #: Words seen less often than this are never in the table.
 SELDOM = 16
+#: Lines of more words have 128 parities, others 64.
+LONG = 64
 _BLANKS, _SPACE, _HASH_BITS = " \t\x0b\f\r", r"[ \t\x0B\f\r]+", 56
 _ROW, _LINE = ["did", "x", "y"], ["a", "b"]
 
@@ -45,7 +48,7 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def _rarity(texts: DataFrame) -> Column:
-    """An array by hash bucket: the greatest number of occurrences of a frequent word in it, as a logarithm, or 0. Its size has a bound whatever the corpus; the bar for a frequent word rises until they fit."""
+    """An array by hash bucket: the greatest number of occurrences of a frequent word in it, as a logarithm in the high bits, or 0. Its size has a bound whatever the corpus; the bar for a frequent word rises until they fit."""
     words = texts.select(F.explode(F.split("text", r"[ \t\x0B\f\r\n]+")).alias("w")).filter("w <> ''")
     often = common.written(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")).filter(F.col("n") >= SELDOM), "often")
     by_size = sorted(((r["k"], r["many"]) for r in often.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("many")).collect()), reverse=True)
@@ -58,33 +61,34 @@ def _rarity(texts: DataFrame) -> Column:
     level = (F.floor(F.log2("n") * 2.5) + 1).cast("int")
     table = ["0"] * BUCKETS
     for r in often.filter(F.col("n") >= bar).groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.max(level).alias("x")).collect():  # FREQUENT rows at most
-        table[r["b"]] = str(r["x"])
+        table[r["b"]] = str(r["x"] << _HASH_BITS)
     common.dropped(often)
-    return F.split(F.lit(",".join(table)), ",").cast("array<int>")  # a subquery can't stand in a lambda
+    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")  # a subquery can't stand in a lambda
 
 
 def _with_sets(lines: DataFrame, rarity: Column) -> DataFrame:
     """s in place of the line: its distinct words as numbers, rarest first: rarity in the high bits, the word's hash in the low ones; and a, b, 128 bits of the line."""
 
     def number(h: Column) -> Column:
-        level = F.coalesce(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long")
-        return F.shiftleft(level, _HASH_BITS).bitwiseOR(h.bitwiseAND((1 << _HASH_BITS) - 1))
+        level = F.coalesce(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("long"))
+        return level.bitwiseOR(h.bitwiseAND((1 << _HASH_BITS) - 1))
 
     hashes = F.transform(F.split("line", _SPACE), lambda w: F.xxhash64(w))
     return lines.select(*_ROW, "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.sort_array(F.array_distinct(F.transform(hashes, number))).alias("s"))
 
 
 def _distinct(texts: DataFrame, rarity: Column) -> DataFrame:
-    """(a, b, at, n, low, high, prefix): every distinct line once; at is its first place, low and high are parities of its words by hash, prefix the words of which a similar line must share one."""
+    """(a, b, at, n, low, high, prefix): every distinct line once; at is its first place, low and high are parities of its words by hash (of short lines low holds them all, else they are dealt to both), prefix the words of which a similar line must share one."""
     most, of = LEAST
 
-    def parities(half: int) -> Column:
-        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
-        return F.aggregate("s", F.lit(0).cast("long"), lambda a, k: F.when(k.bitwiseAND(64) == 64 * half, a.bitwiseXOR(bit(k))).otherwise(a))
-
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    zero = F.lit(0).cast("long")
+    every = F.aggregate("s", zero, lambda a, k: a.bitwiseXOR(bit(k)))
+    half = F.when(F.size("s") > LONG, F.aggregate("s", zero, lambda a, k: F.when(k.bitwiseAND(64) == 64, a.bitwiseXOR(bit(k))).otherwise(a))).otherwise(zero)
     n = F.size("s")
     need = F.expr(f"cast(({most} * size(s) + {of - 1}) div {of} as int)")  # words that a set of any size must share with this one
-    sets = _with_sets(_lines(texts), rarity).select(*_ROW, "no", *_LINE, n.alias("n"), parities(0).alias("low"), parities(1).alias("high"), F.slice("s", 1, n - need + 1).alias("prefix"))
+    sets = _with_sets(_lines(texts), rarity).select(*_ROW, "no", *_LINE, n.alias("n"), every.alias("low"), half.alias("high"), F.slice("s", 1, n - need + 1).alias("prefix"))
+    sets = sets.withColumn("low", F.col("low").bitwiseXOR(F.col("high")))
     return sets.groupBy(*_LINE).agg(F.min(F.struct(*_ROW, "no")).alias("at"), *(F.first(c).alias(c) for c in ("n", "low", "high", "prefix")))
 
 
@@ -92,10 +96,12 @@ def _could_be() -> Column:
     """Prefix, length, positional and parity filters for rows l and r of a word each."""
     most, of = LEAST
     n, m, i, j = (F.col(c) for c in ("l.n", "r.n", "l.i", "r.i"))
-    apart = sum(F.bit_count(F.col(f"l.{h}").bitwiseXOR(F.col(f"r.{h}"))) for h in ("low", "high"))
+    low, high = (F.col(f"l.{h}").bitwiseXOR(F.col(f"r.{h}")) for h in ("low", "high"))
+    few = lambda apart: (most + of) * apart <= (of - most) * (n + m)
+    alike = few(F.bit_count(low.bitwiseXOR(high))) & (((F.col("l.high") == 0) != (F.col("r.high") == 0)) | few(F.bit_count(low) + F.bit_count(high)))
     other = (F.col("l.a") != F.col("r.a")) | (F.col("l.low") != F.col("r.low")) | (F.col("l.high") != F.col("r.high"))
     # shared / (n + m - shared) >= most / of, so shared >= (n + m) * most / (most + of)
-    return (F.col("l.t") == F.col("r.t")) & other & (of * n >= most * m) & (of * m >= most * n) & ((most + of) * F.least(n - i, m - j) >= most * (n + m)) & ((most + of) * apart <= (of - most) * (n + m))
+    return (F.col("l.t") == F.col("r.t")) & other & (of * n >= most * m) & (of * m >= most * n) & ((most + of) * F.least(n - i, m - j) >= most * (n + m)) & alike
 
 
 def _similar_to_earlier(lines: DataFrame, texts: DataFrame) -> DataFrame:
@@ -106,14 +112,13 @@ def _similar_to_earlier(lines: DataFrame, texts: DataFrame) -> DataFrame:
     some = lines.join(plausible, "a", "left_semi").select(*_LINE, "at", "at.*", "n", "low", "high")
     # their words, from the texts they stand in first; a document's places are one row
     places = some.groupBy(*_ROW).agg(F.collect_list(F.struct("no", *_LINE, "at", "n", "low", "high")).alias("places"))
-    held = texts.dropDuplicates(_ROW).join(places, _ROW).select(F.split("text", "\n", -1).alias("parts"), F.explode("places").alias("p"))
-    line = F.btrim(F.get("parts", F.col("p.no")), F.lit(_BLANKS))
-    sets = common.written(held.select("p.a", "p.b", "p.at", "p.n", "p.low", "p.high", line.alias("line")), "sets")
-    rows = sets.join(plausible, "a")  # at the words where they have a plausible partner
-    one, other = F.split("l.line", _SPACE), F.split("r.line", _SPACE)
-    same = of * F.size(F.array_intersect(one, other)) >= most * F.size(F.array_union(one, other))
+    held = texts.join(places, _ROW).select(F.split("text", "\n", -1).alias("parts"), F.explode("places").alias("p"))
+    words = F.array_distinct(F.transform(F.split(F.btrim(F.get("parts", F.col("p.no")), F.lit(_BLANKS)), _SPACE), lambda w: F.xxhash64(w)))
+    sets = held.select("p.a", "p.b", "p.at", "p.n", "p.low", "p.high", words.alias("w")).dropDuplicates(_LINE)
+    rows = common.written(sets, "sets").join(plausible, "a")  # at the words where they have a plausible partner
+    same = (most + of) * F.size(F.array_intersect("l.w", "r.w")) >= most * (F.size("l.w") + F.size("r.w"))
     gone = common.written(rows.alias("l").join(rows.alias("r"), _could_be() & (F.col("r.at") < F.col("l.at")) & same, "left_semi").select(*_LINE).distinct(), "gone")
-    common.dropped(plausible, sets)
+    common.dropped(plausible)
     return gone
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,38 +20,62 @@ DECLARES = ("class", "interface", "enum", "struct", "trait", "record", "object")
 BLOCKED = ("public", "private", "protected", "static", "final", "abstract", "class", "interface", "enum", "struct", "trait", "record", "object", "extends", "implements")
 
 
+_WORD = r"^[A-Za-z_][A-Za-z0-9_]*$"
+_BLANK_CODES = np.array([32, 9, 13, 11, 12], np.uint32)
+
+
+def lex_text(find, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a text with their lines, columns and lengths. find gives every piece of the text in order, newlines by themselves, so that places follow from lengths."""
+    pieces = find(text)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[starts]
+    newline = codes == 10
+    line = np.cumsum(newline) + 1
+    col = starts - np.maximum.accumulate(np.where(newline, ends, 0)) if len(pieces) else starts
+    kept = ~newline & ~np.isin(codes, _BLANK_CODES)
+    return list(compress(pieces, kept)), line[kept], col[kept], sizes[kept]
+
+
 def lex(files: DataFrame, id_col: str = "file_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
     """(file_id, line from 1, col from 0, ord from 0 in the file, text, len) without blanks: one pass, no shuffle. A null text has no tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern).finditer
-        names = ["file_id", "line", "col", "ord", "text", "len"]
+        find = re.compile(pattern + r"|\n").findall
         for batch in batches:
-            rows: list[tuple] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = 0
-                for no, line in enumerate((text or "").split("\n"), 1):
-                    for m in find(line):
-                        if (t := m[0]).strip(" \t\r\x0b\x0c"):
-                            rows.append((i, no, m.start(), n, t, len(t)))
-                            n += 1
-                if len(rows) > 50_000:
-                    yield _batch(rows, names)
-                    rows = []
-            yield _batch(rows, names)
+                pieces, line, col, size = lex_text(find, text or "")
+                for at in range(0, len(pieces), 100_000):
+                    part = slice(at, at + 100_000)
+                    n = len(pieces[part])
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array(line[part], pa.int32()), pa.array(col[part], pa.int32()), pa.array(np.arange(at, at + n)), pa.array(pieces[part], pa.string()), pa.array(size[part], pa.int32())], names=["file_id", "line", "col", "ord", "text", "len"])
 
     return files.select(F.col(id_col).cast("long").alias("file_id"), F.col(text_col).alias("text")).mapInArrow(work, "file_id long, line int, col int, ord long, text string, len int")
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32()]
-    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+def lex_files(files: DataFrame, id_col: str = "file_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
+    """(file_id, tokens): a row for each file, its tokens a list of (text, line, col, len). What is asked of whole files need not move single tokens."""
+    kind = "file_id long, tokens array<struct<text:string,line:int,col:int,len:int>>"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern + r"|\n").findall
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pieces, *rest = lex_text(find, text or "")
+                made = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), *(pa.array(x, pa.int32()) for x in rest)], names=["text", "line", "col", "len"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), made)], names=["file_id", "tokens"])
+
+    return files.select(F.col(id_col).cast("long").alias("file_id"), F.col(text_col).alias("text")).mapInArrow(work, kind)
 
 
 def tokens_per_file(tokens: DataFrame, order: str = "file_id") -> DataFrame:
-    """(file_id, first_token_id, token_count): ids are dense over the files in order. Running sums are made within range partitions; only the partitions' totals meet in one task."""
-    counts = tokens.groupBy("file_id").agg(F.count("*").alias("token_count"))
+    """(file_id, first_token_id, token_count): ids are dense over the files in order."""
+    return first_ids(tokens.groupBy("file_id").agg(F.count("*").alias("token_count")), order)
+
+
+def first_ids(counts: DataFrame, order: str = "file_id") -> DataFrame:
+    """(file_id, first_token_id, token_count) from files and their counts. Running sums are made within range partitions; only the partitions' totals meet in one task."""
     placed = cut(counts.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
     inside = F.sum("token_count").over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     totals = placed.groupBy("_p").agg(F.sum("token_count").alias("_n"))
@@ -63,6 +89,14 @@ def allocate_ids(tokens: DataFrame) -> DataFrame:
     return tokens.join(tokens_per_file(tokens), "file_id").withColumn("token_id", F.col("first_token_id") + F.col("ord")).drop("first_token_id", "token_count")
 
 
+def tokens_with_ids(files: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
+    """(file_id, ord, token_id, text, line, col, len): texts are lexed once; a file's first id is joined to its row, and only then are tokens rows."""
+    rows = cut(lex_files(files, id_col, text_col))
+    firsts = first_ids(rows.select("file_id", F.size("tokens").cast("long").alias("token_count")))
+    every = rows.join(firsts, "file_id").select("file_id", "first_token_id", F.posexplode("tokens").alias("ord", "t"))
+    return every.select("file_id", F.col("ord").cast("long").alias("ord"), (F.col("first_token_id") + F.col("ord")).alias("token_id"), "t.*")
+
+
 def dup_ordinal(tokens: DataFrame) -> DataFrame:
     """Adds dup: the ordinal of a token among those at its place, from 0, in eight bits."""
     w = Window.partitionBy("file_id", "line", "col").orderBy("ord")
@@ -71,7 +105,8 @@ def dup_ordinal(tokens: DataFrame) -> DataFrame:
 
 def intern(tokens: DataFrame) -> DataFrame:
     """(text, text_id, n): ids in the order of first occurrence by file and place. The ranking runs over distinct texts, by range partitions and their sizes."""
-    first = tokens.groupBy("text").agg(F.min(F.struct("file_id", "ord")).alias("at"), F.count("*").alias("n"))
+    by_file = tokens.groupBy("text", "file_id").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
+    first = by_file.groupBy("text").agg(F.min(F.struct("file_id", "ord")).alias("at"), F.sum("n").alias("n"))
     return ranked(first.select("text", "n", F.col("at.file_id").alias("_f"), F.col("at.ord").alias("_o")), ["_f", "_o"], "text_id").select("text", "text_id", "n")
 
 
@@ -92,7 +127,7 @@ def filter_trivia(tokens: DataFrame, keep_doc: bool = True, keep_line: bool = Fa
 def name_after(tokens: DataFrame, openers: tuple[str, ...] = DECLARES, reach: int = 15, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
     """(file_id, ord, keyword, name): for each opening word the first identifier behind it, within reach, that isn't blocked."""
     w = Window.partitionBy("file_id").orderBy("ord").rowsBetween(1, reach)
-    fits = F.when(F.col("text").rlike(r"^[A-Za-z_][A-Za-z0-9_]*$") & ~F.col("text").isin(*blocked), F.col("text"))
+    fits = F.when(F.col("text").rlike(_WORD) & ~F.col("text").isin(*blocked), F.col("text"))
     named = tokens.withColumn("name", F.first(fits, ignorenulls=True).over(w))
     return named.filter(F.col("text").isin(*openers) & F.col("name").isNotNull()).select("file_id", "ord", F.col("text").alias("keyword"), "name")
 
@@ -100,7 +135,7 @@ def name_after(tokens: DataFrame, openers: tuple[str, ...] = DECLARES, reach: in
 def name_before(tokens: DataFrame, stops: tuple[str, ...]) -> DataFrame:
     """(file_id, line, name): the last identifier of a line before its first stop."""
     stop = tokens.filter(F.col("text").isin(*stops)).groupBy("file_id", "line").agg(F.min("ord").alias("stop"))
-    word = tokens.filter(F.col("text").rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"))
+    word = tokens.filter(F.col("text").rlike(_WORD))
     found = word.join(stop, ["file_id", "line"]).filter(F.col("ord") < F.col("stop"))
     return found.groupBy("file_id", "line").agg(F.max_by("text", "ord").alias("name"))
 
@@ -136,7 +171,3 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: str
     ahead = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(1, Window.unboundedFollowing)
     seen = both.withColumn(value, F.last("_v", ignorenulls=True).over(back)).withColumn(f"{value}_next", F.first("_v", ignorenulls=True).over(ahead))
     return seen.filter("_side = 1").drop("_v", "_side")
-
-
-def is_word(col: Column) -> Column:
-    return col.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$")

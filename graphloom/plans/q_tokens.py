@@ -99,13 +99,12 @@ def _(spark, sf):
 
 @query("token_id_alloc", with_ctes("tokens", "SELECT file_id, ord, row_number() OVER (ORDER BY file_id, ord) - 1 AS token_id FROM tokens"))
 def _(spark, sf):
-    return T.allocate_ids(lexed(spark, sf)).select("file_id", "ord", "token_id")
+    return T.tokens_with_ids(table(spark, sf, "documents"), "doc_id").select("file_id", "ord", "token_id")
 
 
-@query("sort_key", with_ctes("tokens", "SELECT file_id, ord, ((file_id & 65535) << 48) | (CAST(line AS BIGINT) << 24) | (CAST(col AS BIGINT) << 8) AS sort_key FROM tokens WHERE line < 100 AND col < 65536"))
+@query("sort_key", with_ctes("tokens", "SELECT file_id, ord, ((file_id & 65535) << 48) | (CAST(line AS BIGINT) << 24) | ((CAST(col AS BIGINT) & 65535) << 8) AS sort_key FROM tokens"))
 def _(spark, sf):
-    rows = lexed(spark, sf).filter("line < 100 AND col < 65536")
-    return rows.select("file_id", "ord", S.sort_key(F.col("file_id"), F.col("line"), F.col("col"), F.lit(0)).alias("sort_key"))
+    return lexed(spark, sf).select("file_id", "ord", S.sort_key(F.col("file_id"), F.col("line"), F.col("col"), F.lit(0)).alias("sort_key"))
 
 
 @query("unpack_sort_key", with_ctes("tokens", "SELECT file_id, ord, file_id & 65535 AS k_file, CAST(line AS BIGINT) AS k_line, CAST(col AS BIGINT) & 65535 AS k_col FROM tokens"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from decimal import Decimal
-from itertools import combinations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.operators import flow
 
@@ -33,20 +33,30 @@ class Bdd:
     def var(self, v: int) -> int:
         return self.node(v, FALSE, TRUE)
 
-    def ite(self, f: int, g: int, h: int) -> int:
-        """If f then g else h: every connective is a case of it."""
+    def _known(self, f: int, g: int, h: int) -> int | None:
         if f == TRUE or g == h:
             return g
         if f == FALSE:
             return h
         if g == TRUE and h == FALSE:
             return f
-        key = (f, g, h)
-        if (found := self.memo.get(key)) is None:
-            v = min(self.nodes[x][0] for x in key)
-            low, high = (self.ite(*(self.cofactor(x, v, b) for x in key)) for b in (0, 1))
-            found = self.memo[key] = self.node(v, low, high)
-        return found
+        return self.memo.get((f, g, h))
+
+    def ite(self, f: int, g: int, h: int) -> int:
+        """If f then g else h: every connective is a case of it. What is still to do is a list, so that deep diagrams do no harm."""
+        todo = [(f, g, h)]
+        while todo:
+            key = todo[-1]
+            if self._known(*key) is None:
+                v = min(self.nodes[x][0] for x in key)
+                parts = [tuple(self.cofactor(x, v, b) for x in key) for b in (0, 1)]
+                found = [self._known(*p) for p in parts]
+                if None in found:
+                    todo += [p for p, x in zip(parts, found, strict=True) if x is None]
+                    continue
+                self.memo[key] = self.node(v, *found)
+            todo.pop()
+        return self._known(f, g, h)
 
     def cofactor(self, f: int, v: int, value: int) -> int:
         """Of a diagram whose top variable isn't before v."""
@@ -70,17 +80,22 @@ class Bdd:
 
     def restrict(self, f: int, v: int, value: int) -> int:
         """f with a variable fixed anywhere."""
-        key = ("r", f, v, value)
-        if (found := self.memo.get(key)) is None:
-            var, low, high = self.nodes[f]
+        made: dict[int, int] = {}
+        todo = [f]
+        while todo:
+            x = todo[-1]
+            var, low, high = self.nodes[x]
             if var > v:
-                found = f
+                made[x] = x
             elif var == v:
-                found = high if value else low
+                made[x] = high if value else low
+            elif low in made and high in made:
+                made[x] = self.node(var, made[low], made[high])
             else:
-                found = self.node(var, self.restrict(low, v, value), self.restrict(high, v, value))
-            self.memo[key] = found
-        return found
+                todo += [y for y in (low, high) if y not in made]
+                continue
+            todo.pop()
+        return made[f]
 
     def count(self, f: int, n_vars: int) -> int:
         """Models over n_vars variables."""
@@ -140,25 +155,23 @@ def path_formula(blocks: list[int], edges: list[tuple[int, int]], order: list[in
     bdd = Bdd()
     order = order if order is not None else list(range(len(edges)))
     var = {0: 0} | {e + 1: k + 1 for k, e in enumerate(order)}
-    taken = {i: bdd.var(var[i + 1]) for i in range(len(edges))}
+    into: dict[int, list[int]] = {}
+    ways: dict[int, list[int]] = {}
+    for i, (a, b) in enumerate(edges):
+        ways.setdefault(a, []).append(i)
+        into.setdefault(b, []).append(i)
+    last_first = lambda es: sorted(es, key=lambda i: -var[i + 1])
     f = bdd.var(0)
     for b in blocks:
         reached = bdd.var(0) if b == 0 else FALSE
-        for i, (_, d) in enumerate(edges):
-            if d == b:
-                reached = bdd.either(reached, taken[i])
-        out = [taken[i] for i, (s, _) in enumerate(edges) if s == b]
-        if not out:
-            continue
-        if len(out) <= 2:
-            one = out[0] if len(out) == 1 else bdd.differ(*out)
-        else:
-            one = FALSE
-            for x in out:
-                one = bdd.either(one, x)
-            for x, y in combinations(out, 2):
-                one = bdd.both(one, bdd.negate(bdd.both(x, y)))
-        f = bdd.both(f, bdd.implies(reached, one))
+        for i in last_first(into.get(b, [])):
+            reached = bdd.either(bdd.var(var[i + 1]), reached)
+        one, none = FALSE, TRUE  # exactly one of the ways out, none of them: a chain from the last variable up
+        for i in last_first(ways.get(b, [])):
+            taken = bdd.var(var[i + 1])
+            one, none = bdd.ite(taken, none, one), bdd.ite(taken, FALSE, none)
+        if b in ways:
+            f = bdd.both(f, bdd.implies(reached, one))
     return bdd, f, len(edges) + 1
 
 
@@ -195,3 +208,12 @@ def bdd_nodes(gathered: DataFrame) -> DataFrame:
                 stack += bdd.nodes[i][1:]
 
     return flow.over_functions(gathered, run, "node_id long, var int, lo long, hi long")
+
+
+#: How often a recursive function is followed into itself.
+UNWIND = 3
+
+
+def unwind_depths(components: DataFrame) -> DataFrame:
+    """(sym, unwind_depth): UNWIND for what is in a cycle of calls, by itself or with others (scc_class over 0), else 0."""
+    return components.select(F.col("node").alias("sym"), F.when(F.col("scc_class") > 0, UNWIND).otherwise(0).cast("long").alias("unwind_depth"))

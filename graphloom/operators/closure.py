@@ -138,6 +138,20 @@ def scc(nodes: DataFrame, edges: DataFrame, gathered: int = GATHERED) -> DataFra
     return sized.select("node", "scc_id", "scc_size", F.when(F.col("scc_size") > 1, 2).when(F.col("loop"), 1).otherwise(0).cast("long").alias("scc_class"))
 
 
+def scc_levels(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """(scc_id, level): components in an order in which callees come first; level 0 calls no other, every other is one above the highest it calls. Levels rise round by round; only what moved is looked at again."""
+    ids = components.select("node", "scc_id")
+    a, b = ids.toDF("src", "x"), ids.toDF("dst", "y")
+    up = cut(edges.join(a, "src").join(b, "dst").filter("x <> y").select("x", "y").distinct())
+    levels = cut(ids.select("scc_id").distinct().withColumn("level", F.lit(0).cast("long")))
+    moved = levels
+    while not moved.isEmpty():
+        raised = up.join(moved, up["y"] == moved["scc_id"]).groupBy("x").agg((F.max("level") + 1).alias("new"))
+        moved = cut(levels.join(raised, F.col("scc_id") == F.col("x")).filter("new > level").select("scc_id", F.col("new").alias("level")))
+        levels = cut(levels.join(moved.toDF("_s", "_l"), F.col("scc_id") == F.col("_s"), "left").select("scc_id", F.coalesce("_l", "level").alias("level")))
+    return levels
+
+
 def _coloured(live: DataFrame) -> DataFrame:
     """(node, scc_id). Every node takes the greatest node that reaches it as its colour; those that reach their colour's root back, within the colour, are the root's component and leave; and so on with what is left."""
     found = live.select(F.col("src").alias("node"), F.col("src").alias("scc_id")).limit(0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,20 @@ def orphans(symbols: DataFrame) -> DataFrame:
     return symbols.filter("kind IN ('METHOD', 'FIELD')").join(symbols.select(F.col("sym_id").alias("_p")), F.col("parent_sym") == F.col("_p"), "left_anti").select("sym_id")
 
 
+def bad_symbols(symbols: DataFrame, th_edges: DataFrame) -> DataFrame:
+    """(sym_id, fault): members whose parent is missing, classes whose id repeats, symbols with an edge to none. Should be none."""
+    twice = symbols.filter(F.col("kind").isin(*CLASSES)).groupBy("sym_id").agg(F.count("*").alias("n")).filter("n > 1").select("sym_id")
+    loose = th_edges.join(symbols.select(F.col("sym_id").alias("_p")), F.col("to_sym") == F.col("_p"), "left_anti").select(F.col("from_sym").alias("sym_id"))
+    named = ((orphans(symbols), "orphan"), (twice, "name twice in its scope"), (loose, "edge to nothing"))
+    return reduce(DataFrame.unionByName, (df.withColumn("fault", F.lit(fault)) for df, fault in named))
+
+
+def linked_without(symbols: DataFrame, th_edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(sym_id) of classes that a hierarchy edge points to and that own none of the given members."""
+    linked = symbols.filter(F.col("kind").isin(*CLASSES)).join(th_edges.select(F.col("to_sym").alias("sym_id")), "sym_id", "left_semi")
+    return linked.join(members.select(F.col("parent_sym").alias("sym_id")), "sym_id", "left_anti").select("sym_id")
+
+
 def class_candidates(symbols: DataFrame, stems: DataFrame | None = None) -> DataFrame:
     """Class-like symbols with a drawable name that aren't nested in a method, field, parameter or local (a class may be). stems is (sym_id, stem)."""
     rows = symbols.filter(F.col("kind").isin(*CLASSES))

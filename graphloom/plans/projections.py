@@ -2,7 +2,7 @@
 
 regions and nations are packages, customers and suppliers classes, orders methods,
 parts fields; an order calls the customer's next one, an urgent order his first; a
-user's event types are basic blocks and consecutive events edges; conversations are
+user's event types are basic blocks, consecutive events edges and a last block the exit; conversations are
 sequences; documents are files; tags of pages are syntax trees.
 """
 
@@ -32,7 +32,9 @@ CTES = {
     UNION ALL SELECT o_orderkey * 2 + 1, 10000000 + o_orderkey, 10000000 + fst, 'SPECIAL', o_orderkey % 3, o_orderkey * 10 + 5 FROM (SELECT o_orderkey, o_orderpriority, min(o_orderkey) OVER (PARTITION BY o_custkey) AS fst FROM orders) y WHERE o_orderpriority = '1-URGENT'""",
     "call_edges": "SELECT caller, callee, min(site_id) AS site_id, min(edge_type) AS edge_type FROM call_sites GROUP BY caller, callee",
     "steps": """
-    SELECT user_id AS fn_sym, event_type, event_id, ts, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events WHERE user_id IS NOT NULL""",
+    SELECT user_id AS fn_sym, event_type, event_id, ts, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM (
+      SELECT user_id, event_type, event_id, ts FROM events WHERE user_id IS NOT NULL
+      UNION ALL SELECT user_id, '~end', 1000000000000 + user_id, max(ts) FROM events WHERE user_id IS NOT NULL GROUP BY user_id) x""",
     "blocks": """
     SELECT fn_sym, event_type, rank() OVER (PARTITION BY fn_sym ORDER BY first_ord) - 1 AS block, first_ord, last_ord, n_stmts, last_ord = max(last_ord) OVER (PARTITION BY fn_sym) AS is_exit FROM (SELECT fn_sym, event_type, min(ord) AS first_ord, max(ord) AS last_ord, count(*) AS n_stmts FROM steps GROUP BY fn_sym, event_type) b""",
     "cfg_edges": """

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import bdd, flow, uml
-from graphloom.operators.closure import closure
+from graphloom.operators.callgraph import as_edges
+from graphloom.operators.closure import closure, scc, scc_levels
 from graphloom.plans.projections import projected, table, with_ctes
 from graphloom.plans.registry import query
 
@@ -83,9 +84,10 @@ def _(spark, sf):
     return flow.loops(graphs(spark, sf)).select("fn_sym", F.col("header").cast("long").alias("header"), F.col("block").cast("long").alias("block"))
 
 
-@query("cfg_invariants", with_ctes("blocks", "SELECT fn_sym FROM blocks GROUP BY fn_sym HAVING count(*) FILTER (WHERE is_exit) <> 1"))
+@query("cfg_invariants", with_ctes("blocks", "SELECT fn_sym FROM blocks GROUP BY fn_sym HAVING count(*) FILTER (WHERE is_exit AND fn_sym % 7 <> 3) <> 1"))
 def _(spark, sf):
-    b = blocks(spark, sf)
+    """Every seventh function is given no exit; those and no others are reported."""
+    b = blocks(spark, sf).withColumn("is_exit", F.col("is_exit") & (F.col("fn_sym") % 7 != 3))
     dom = flow.dominators(graphs(spark, sf))
     return flow.bad_graphs(b, dom).select("fn_sym").distinct()
 
@@ -110,30 +112,41 @@ def _(spark, sf):
     return blocks(spark, sf).join(held, ["fn_sym", "event_type"]).select("fn_sym", F.explode("stmts").alias("stmt"), "block")
 
 
-# statements: a block sets the variable of its own event type's first letter and reads that of the block it can go to
+# statements: a block sets the variable of its number's parity (errors and the exit set none) and reads what its event type says
+
+_DEFS = "CASE WHEN event_type IN ('error', '~end') THEN NULL WHEN block % 2 = 0 THEN 'even' ELSE 'odd' END"
+_USES = "(SELECT fn_sym, CAST(block AS BIGINT) AS block, 'even' AS var FROM blocks WHERE event_type IN ('click', 'purchase') UNION ALL SELECT fn_sym, CAST(block AS BIGINT), 'odd' FROM blocks WHERE event_type IN ('view', 'purchase'))"
+#: live(fn_sym, block, var): read here, or live in a block behind and not set here.
+_LIVE = f""", own AS (SELECT fn_sym, CAST(block AS BIGINT) AS block, {_DEFS} AS def FROM blocks),
+live AS (SELECT * FROM {_USES} u UNION SELECT o.fn_sym, o.block, l.var FROM live l JOIN cfg_edges e ON e.fn_sym = l.fn_sym AND e.dst = l.block JOIN own o ON o.fn_sym = e.fn_sym AND o.block = e.src AND (o.def IS NULL OR o.def <> l.var))
+"""
 
 
 def statements(spark, sf):
-    names = blocks(spark, sf).select("fn_sym", "block", "event_type", F.when(F.col("block") % 2 == 0, "even").otherwise("odd").alias("var"))
-    return names.select("fn_sym", F.col("block").alias("stmt"), "block", F.array(F.lit("even"), F.lit("odd")).alias("uses"), F.array("var").alias("defs"))
+    b = blocks(spark, sf)
+    uses = F.when(F.col("event_type") == "click", F.array(F.lit("even"))).when(F.col("event_type") == "view", F.array(F.lit("odd"))).when(F.col("event_type") == "purchase", F.array(F.lit("even"), F.lit("odd"))).otherwise(F.array().cast("array<string>"))
+    made = F.expr(_DEFS)
+    return b.select("fn_sym", F.col("block").alias("stmt"), "block", uses.alias("uses"), F.when(made.isNull(), F.array().cast("array<string>")).otherwise(F.array(made)).alias("defs"))
 
 
 def ssa(spark, sf):
     return flow.with_statements(graphs(spark, sf), statements(spark, sf))
 
 
-@query("stmt_uses_defs", with_ctes("blocks", "SELECT fn_sym, CAST(block AS BIGINT) AS stmt, CASE WHEN block % 2 = 0 THEN 'even' ELSE 'odd' END AS def FROM blocks"))
+@query("stmt_uses_defs", with_ctes("blocks", f"SELECT fn_sym, block AS stmt, var AS name, 'use' AS what FROM {_USES} u UNION ALL SELECT fn_sym, CAST(block AS BIGINT), {_DEFS}, 'def' FROM blocks WHERE {_DEFS} IS NOT NULL"))
 def _(spark, sf):
-    return statements(spark, sf).select("fn_sym", "stmt", F.explode("defs").alias("def"))
+    s = ssa(spark, sf).select("fn_sym", F.explode("stmts").alias("s"))
+    return s.select("fn_sym", "s.stmt", F.explode("s.uses").alias("name"), F.lit("use").alias("what")).unionByName(s.select("fn_sym", "s.stmt", F.explode("s.defs").alias("name"), F.lit("def").alias("what")))
 
 
-@query("liveness", with_ctes("blocks cfg_edges", "SELECT b.fn_sym, CAST(b.block AS BIGINT) AS block, v.var, true AS live_in, EXISTS (SELECT 1 FROM cfg_edges e WHERE e.fn_sym = b.fn_sym AND e.src = b.block) AS live_out FROM blocks b, (VALUES ('even'), ('odd')) v(var)"))
+@query("liveness", with_ctes("blocks cfg_edges", "", True).rstrip() + _LIVE + """, out_ AS (SELECT DISTINCT e.fn_sym, CAST(e.src AS BIGINT) AS block, l.var FROM cfg_edges e JOIN live l ON l.fn_sym = e.fn_sym AND l.block = e.dst)
+SELECT coalesce(i.fn_sym, o.fn_sym) AS fn_sym, coalesce(i.block, o.block) AS block, coalesce(i.var, o.var) AS var, i.var IS NOT NULL AS live_in, o.var IS NOT NULL AS live_out FROM live i FULL JOIN out_ o ON i.fn_sym = o.fn_sym AND i.block = o.block AND i.var = o.var""")
 def _(spark, sf):
     return flow.liveness(ssa(spark, sf)).select("fn_sym", F.col("block").cast("long").alias("block"), "var", "live_in", "live_out")
 
 
-@query("place_phi", with_ctes("blocks cfg_edges", "", True).rstrip() + _AWAY + """, df AS (SELECT DISTINCT x.fn_sym, x.d AS b, e.dst AS f FROM dominates x JOIN cfg_edges e ON e.fn_sym = x.fn_sym AND e.src = x.b WHERE NOT EXISTS (SELECT 1 FROM strict s WHERE s.fn_sym = x.fn_sym AND s.d = x.d AND s.b = e.dst)),
-phi AS (SELECT d.fn_sym, CASE WHEN d.b % 2 = 0 THEN 'even' ELSE 'odd' END AS var, d.f AS block FROM df d UNION SELECT p.fn_sym, p.var, d.f FROM phi p JOIN df d ON d.fn_sym = p.fn_sym AND d.b = p.block)
+@query("place_phi", with_ctes("blocks cfg_edges", "", True).rstrip() + _AWAY + _LIVE + """, df AS (SELECT DISTINCT x.fn_sym, x.d AS b, e.dst AS f FROM dominates x JOIN cfg_edges e ON e.fn_sym = x.fn_sym AND e.src = x.b WHERE NOT EXISTS (SELECT 1 FROM strict s WHERE s.fn_sym = x.fn_sym AND s.d = x.d AND s.b = e.dst)),
+phi AS (SELECT d.fn_sym, o.def AS var, d.f AS block FROM df d JOIN own o ON o.fn_sym = d.fn_sym AND o.block = d.b AND o.def IS NOT NULL JOIN live l ON l.fn_sym = d.fn_sym AND l.block = d.f AND l.var = o.def UNION SELECT p.fn_sym, p.var, d.f FROM phi p JOIN df d ON d.fn_sym = p.fn_sym AND d.b = p.block JOIN live l ON l.fn_sym = d.fn_sym AND l.block = d.f AND l.var = p.var)
 SELECT fn_sym, var, CAST(block AS BIGINT) AS block FROM phi""")
 def _(spark, sf):
     return flow.phis(ssa(spark, sf)).select("fn_sym", "var", F.col("block").cast("long").alias("block"))
@@ -149,10 +162,13 @@ def _(spark, sf):
     return flow.def_use(ssa(spark, sf))
 
 
-@query("ssa_invariants", "SELECT CAST(NULL AS BIGINT) AS fn_sym, CAST(NULL AS BIGINT) AS ssa_id WHERE false")
+@query("ssa_invariants", with_ctes("blocks", f"SELECT fn_sym, CAST(0 AS BIGINT) AS ssa_id FROM blocks GROUP BY fn_sym HAVING fn_sym % 5 = 1 AND count({_DEFS}) > 0"))
 def _(spark, sf):
+    """In every fifth function the first definition is there twice; those and no others are reported."""
     g = ssa(spark, sf)
-    return flow.bad_ssa(flow.ssa_defs(g), flow.phis(g), edges(spark, sf).withColumn("dst", F.col("dst").cast("int")))
+    defs = flow.ssa_defs(g)
+    twice = defs.unionByName(defs.filter("fn_sym % 5 = 1 AND ssa_id = 0"))
+    return flow.bad_ssa(twice, flow.phis(g), edges(spark, sf).withColumn("dst", F.col("dst").cast("int")))
 
 
 def _facts(analysis: str, source: str):
@@ -189,13 +205,36 @@ def _(spark, sf):
     return bdd.bdd_nodes(graphs(spark, sf))
 
 
-@query("path_count", with_ctes("blocks cfg_edges", "SELECT o_custkey AS fn_sym, coalesce(c, 1) AS cyclomatic FROM (SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN (SELECT b.fn_sym, greatest((SELECT count(*) FROM cfg_edges e WHERE e.fn_sym = b.fn_sym) - count(*) + 2, 1) AS c FROM blocks b GROUP BY b.fn_sym) x ON x.fn_sym = o_custkey"))
+#: Every way along edges to a later block, and whether it can go on.
+_WAYS = with_ctes("blocks cfg_edges", "", True).rstrip() + """, on_ AS (SELECT * FROM cfg_edges WHERE dst > src),
+ways AS (SELECT fn_sym, block AS node, 1 AS n FROM blocks WHERE block = 0 UNION ALL SELECT w.fn_sym, e.dst, w.n + 1 FROM ways w JOIN on_ e ON e.fn_sym = w.fn_sym AND e.src = w.node)
+"""
+
+
+@query("path_count", _WAYS + "SELECT fn_sym, CAST(max(n) AS BIGINT) AS max_path_len, CAST(count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM on_ e WHERE e.fn_sym = w.fn_sym AND e.src = w.node)) AS BIGINT) AS acyclic_path_count FROM ways w GROUP BY fn_sym")
+def _(spark, sf):
+    """Over edges to later blocks, so that every way ends and SQL can walk them all."""
+    found = flow.path_lengths(flow.graphs(blocks(spark, sf), edges(spark, sf).filter("dst > src")))
+    return found.select("fn_sym", F.col("max_path_len").cast("long").alias("max_path_len"), F.col("acyclic_path_count").cast("long").alias("acyclic_path_count"))
+
+
+_RECURSIVE = with_ctes("call_edges", "", True).rstrip() + ",\nreach AS (SELECT caller AS root, callee AS node FROM call_edges UNION SELECT r.root, e.callee FROM reach r JOIN call_edges e ON e.caller = r.node)\n"
+
+
+@query("recursive_unwind", _RECURSIVE + "SELECT root AS sym, CAST(3 AS BIGINT) AS unwind_depth FROM reach WHERE root = node")
 def _(spark, sf):
-    found = flow.cyclomatic(blocks(spark, sf), edges(spark, sf))
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("fn_sym")).distinct().join(found, "fn_sym", "left").select("fn_sym", F.coalesce("cyclomatic", F.lit(1)).alias("cyclomatic"))
+    e = as_edges(projected(spark, sf, "call_edges"))
+    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node")))
+    return bdd.unwind_depths(scc(nodes, e)).filter("unwind_depth > 0").select("sym", "unwind_depth")
 
 
-@query("scc_order", with_ctes("call_edges", "SELECT caller AS sym, true AS recursive, CAST(3 AS BIGINT) AS unwind_depth FROM call_edges WHERE caller = callee"))
+@query("scc_order", _RECURSIVE + """, every AS (SELECT caller AS node FROM call_edges UNION SELECT callee FROM call_edges),
+ids AS (SELECT v.node, least(v.node, coalesce((SELECT min(a.node) FROM reach a JOIN reach b ON a.root = b.node AND a.node = b.root WHERE a.root = v.node), v.node)) AS scc_id FROM every v),
+up AS (SELECT DISTINCT a.scc_id AS x, b.scc_id AS y FROM call_edges e JOIN ids a ON a.node = e.caller JOIN ids b ON b.node = e.callee WHERE a.scc_id <> b.scc_id),
+deep AS (SELECT scc_id, 0 AS level FROM ids UNION SELECT u.x, d.level + 1 FROM deep d JOIN up u ON u.y = d.scc_id)
+SELECT scc_id, CAST(max(level) AS BIGINT) AS level FROM deep GROUP BY scc_id""")
 def _(spark, sf):
-    e = projected(spark, sf, "call_edges")
-    return e.filter("caller = callee").select(F.col("caller").alias("sym"), F.lit(True).alias("recursive"), F.lit(3).cast("long").alias("unwind_depth")).distinct()
+    """Components of the call graph by how many others lie below them: callees come before their callers."""
+    e = as_edges(projected(spark, sf, "call_edges"))
+    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node")))
+    return scc_levels(scc(nodes, e), e)

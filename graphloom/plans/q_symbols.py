@@ -257,10 +257,18 @@ def _(spark, sf):
     return L.scc(nodes, C.as_edges(E(spark, sf)))
 
 
-@query("th_acyclic", "SELECT false AS acyclic".replace("false", "true"))
+_UP = "SELECT from_sym AS src, to_sym AS dst FROM th_edges WHERE relation <> 'USES'"
+
+
+@query("th_acyclic", with_ctes("th_edges", "", True).rstrip() + f""",
+given AS (SELECT 'as it is' AS hierarchy, src, dst FROM ({_UP}) UNION ALL SELECT 'with an edge back', src, dst FROM ({_UP}) UNION ALL SELECT 'with an edge back', 1000000, 1000005),
+above AS (SELECT hierarchy, src, dst FROM given UNION SELECT a.hierarchy, a.src, g.dst FROM above a JOIN given g ON g.hierarchy = a.hierarchy AND g.src = a.dst)
+SELECT hierarchy, count(*) FILTER (WHERE src = dst) = 0 AS acyclic FROM above GROUP BY hierarchy""")
 def _(spark, sf):
+    """The hierarchy, and the same with the top class put below one of its own."""
     h = H(spark, sf).filter("relation <> 'USES'").select(F.col("from_sym").alias("src"), F.col("to_sym").alias("dst"))
-    return spark.createDataFrame([(L.acyclic(h),)], "acyclic boolean")
+    back = h.unionByName(spark.createDataFrame([(1000000, 1000005)], "src long, dst long"))
+    return spark.createDataFrame([("as it is", L.acyclic(h)), ("with an edge back", L.acyclic(back))], "hierarchy string, acyclic boolean")
 
 
 @query("all_paths", with_ctes("symbols call_edges", "", True).rstrip() + ",\nwalk AS (SELECT sym_id AS root, [sym_id] AS path FROM symbols WHERE kind = 'METHOD' UNION ALL SELECT w.root, list_append(w.path, e.callee) FROM walk w JOIN call_edges e ON e.caller = w.path[-1] WHERE NOT list_contains(w.path, e.callee) AND len(w.path) <= 3)\nSELECT root, array_to_string(path, ' ') AS path FROM walk")
@@ -302,9 +310,18 @@ def _(spark, sf):
     return Y.qualified_names(S(spark, sf)).filter("sym_id >= 10000000").select("sym_id", "qual_name")
 
 
-@query("symbol_invariants", with_ctes("symbols", "SELECT sym_id FROM symbols WHERE kind IN ('METHOD', 'FIELD') AND parent_sym NOT IN (SELECT sym_id FROM symbols)"))
+@query("symbol_invariants", with_ctes("symbols th_edges", """SELECT sym_id, 'orphan' AS fault FROM symbols WHERE kind IN ('METHOD', 'FIELD') AND ordinal % 11 = 4
+UNION ALL SELECT sym_id, 'name twice in its scope' FROM symbols WHERE kind = 'CLASS' AND ordinal % 13 = 5
+UNION ALL SELECT from_sym, 'edge to nothing' FROM th_edges WHERE to_sym NOT IN (SELECT sym_id FROM symbols) GROUP BY from_sym
+UNION ALL SELECT from_sym, 'edge to nothing' FROM th_edges WHERE from_sym % 17 = 6 AND to_sym IN (SELECT sym_id FROM symbols) GROUP BY from_sym"""))
 def _(spark, sf):
-    return Y.orphans(S(spark, sf))
+    """Some members lose their parent, some classes are declared twice and some edges point nowhere; those and no others are reported."""
+    s, h = S(spark, sf), H(spark, sf)
+    lost = F.col("kind").isin("METHOD", "FIELD") & (F.col("ordinal") % 11 == 4)
+    bad = s.withColumn("parent_sym", F.when(lost, -7).otherwise(F.col("parent_sym")))
+    bad = bad.unionByName(bad.filter("kind = 'CLASS' AND ordinal % 13 = 5"))
+    edges = h.withColumn("to_sym", F.when(F.col("from_sym") % 17 == 6, -7).otherwise(F.col("to_sym")))
+    return Y.bad_symbols(bad, edges).distinct()
 
 
 @query("build_hierarchy", with_ctes("symbols", "SELECT a.sym_id AS from_sym, b.sym_id AS to_sym, CASE WHEN b.kind = 'INTERFACE' AND a.kind <> 'INTERFACE' THEN 'IMPLEMENTS' ELSE 'EXTENDS' END AS relation FROM symbols a JOIN symbols b ON b.sym_id = 1000000 + a.ordinal * 7 % (SELECT count(*) FROM customer) WHERE a.sym_id >= 1000000 AND a.sym_id < 2000000"))
@@ -334,11 +351,11 @@ def _(spark, sf):
     return C.lifelines(E(spark, sf), S(spark, sf))
 
 
-@query("existence", with_ctes("symbols th_edges", f"SELECT sym_id FROM symbols WHERE {_CLASS} AND sym_id IN (SELECT to_sym FROM th_edges) AND sym_id NOT IN (SELECT parent_sym FROM symbols WHERE kind = 'METHOD')"))
+@query("existence", with_ctes("symbols th_edges", f"SELECT sym_id FROM symbols WHERE {_CLASS} AND sym_id IN (SELECT to_sym FROM th_edges) AND sym_id NOT IN (SELECT parent_sym FROM symbols WHERE kind = 'METHOD' AND name = 'getInstance')"))
 def _(spark, sf):
+    """Classes that others build on, without a method of that name."""
     s = S(spark, sf)
-    linked = s.filter(_CLASS).join(H(spark, sf).select(F.col("to_sym").alias("sym_id")), "sym_id", "left_semi")
-    return linked.join(s.filter("kind = 'METHOD'").select(F.col("parent_sym").alias("sym_id")), "sym_id", "left_anti").select("sym_id")
+    return Y.linked_without(s, H(spark, sf), s.filter("kind = 'METHOD' AND name = 'getInstance'"))
 
 
 @query("uml_link_of_class", with_ctes("symbols th_edges", f"SELECT s.sym_id, coalesce(min(e.from_sym), -1) AS link FROM symbols s LEFT JOIN th_edges e ON e.to_sym = s.sym_id WHERE {_CLASS} GROUP BY s.sym_id"))
@@ -484,9 +501,16 @@ def _(spark, sf):
     return U.pattern_labels(S(spark, sf))
 
 
-@query("pattern_strict_singleton", with_ctes("symbols", f"SELECT sym_id AS class_sym, 'strict_singleton' AS pattern, CAST(100 AS BIGINT) AS confidence FROM symbols WHERE {_CLASS} AND sym_id IN (SELECT parent_sym FROM symbols WHERE kind = 'FIELD' AND is_static AND visibility = 'private' AND type_sym = parent_sym) AND sym_id IN (SELECT parent_sym FROM symbols WHERE kind = 'METHOD' AND is_static AND type_sym = parent_sym)"))
+#: Suppliers own fields; every third is given a static method that returns it, so that strict patterns have something to find.
+_GETTERS = "SELECT 20000000 + s_suppkey AS sym_id, 'instance' AS name, 'METHOD' AS kind, 2000000 + s_suppkey AS parent_sym, 'public' AS visibility, true AS is_static, false AS is_abstract, 2000000 + s_suppkey AS type_sym, s_suppkey AS ordinal FROM supplier WHERE s_suppkey % 3 = 1 UNION ALL SELECT 30000000 + s_suppkey, 'only', 'FIELD', 2000000 + s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'private' ELSE 'public' END, true, false, 2000000 + s_suppkey, s_suppkey FROM supplier"
+
+
+@query("pattern_strict_singleton", with_ctes("symbols", f"SELECT sym_id AS class_sym, 'strict_singleton' AS pattern, CAST(100 AS BIGINT) AS confidence FROM symbols WHERE {_CLASS} AND sym_id IN (SELECT parent_sym FROM (SELECT * FROM symbols UNION ALL {_GETTERS}) WHERE kind = 'FIELD' AND is_static AND visibility = 'private' AND type_sym = parent_sym) AND sym_id IN (SELECT parent_sym FROM (SELECT * FROM symbols UNION ALL {_GETTERS}) WHERE kind = 'METHOD' AND is_static AND type_sym = parent_sym)"))
 def _(spark, sf):
-    return U.strict_singleton(S(spark, sf))
+    table(spark, sf, "supplier").createOrReplaceTempView("supplier")
+    more = spark.sql(_GETTERS)
+    spark.catalog.dropTempView("supplier")
+    return U.strict_singleton(S(spark, sf).unionByName(more))
 
 
 @query("fluent_ratio", with_ctes("symbols", "SELECT parent_sym AS sym_id, count(*) AS n_methods, count(*) FILTER (WHERE type_sym = parent_sym) AS n_fluent FROM symbols WHERE kind = 'METHOD' GROUP BY parent_sym"))

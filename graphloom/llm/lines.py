@@ -6,8 +6,7 @@ of four fifths or more must share a word among the first few of each in that ord
 (prefix filter). Lines that meet at such a word go on if their sizes allow the similarity
 (length filter) and so does what can still follow the first word they share (positional
 filter, which the first shared word of a similar pair always passes), and if 128 parities
-of their words differ in few enough places; then the sets of words decide, word by word, each
-known by 64 bits (two sets are only confused if words that one of them lacks agree in all). A line
+of their words differ in few enough places; then the words themselves decide. A line
 goes if an earlier line, by document and place, is similar; lines are judged as they stand
 in the input.
 
@@ -15,7 +14,8 @@ Equal lines, known by 128 bits, are one line from the first aggregation on, whic
 their first place. Both joins are semi-joins: they ask whether a partner exists, stop at
 the first and give a row for a line, never one for a pair. The first finds lines that have
 a plausible partner, and at which words; only those fetch their words for the second, whose
-condition compares them. A line's fate reaches its document as bits by line number, not as a row for a copy.
+condition compares them. A line's fate reaches its document as bits by line number, not as
+a row for a copy.
 
 Null and empty texts are one empty line. Lines without words stay. A null doc_id counts
 as before all others. Rows that share a doc_id stand in the order of a hash of their texts;
@@ -113,10 +113,10 @@ def _similar_to_earlier(lines: DataFrame, texts: DataFrame) -> DataFrame:
     # their words, from the texts they stand in first; a document's places are one row
     places = some.groupBy(*_ROW).agg(F.collect_list(F.struct("no", *_LINE, "at", "n", "low", "high")).alias("places"))
     held = texts.join(places, _ROW).select(F.split("text", "\n", -1).alias("parts"), F.explode("places").alias("p"))
-    words = F.array_distinct(F.transform(F.split(F.btrim(F.get("parts", F.col("p.no")), F.lit(_BLANKS)), _SPACE), lambda w: F.xxhash64(w)))
+    words = F.array_join(F.array_distinct(F.split(F.btrim(F.get("parts", F.col("p.no")), F.lit(_BLANKS)), _SPACE)), " ")
     sets = held.select("p.a", "p.b", "p.at", "p.n", "p.low", "p.high", words.alias("w")).dropDuplicates(_LINE)
     rows = common.written(sets, "sets").join(plausible, "a")  # at the words where they have a plausible partner
-    same = (most + of) * F.size(F.array_intersect("l.w", "r.w")) >= most * (F.size("l.w") + F.size("r.w"))
+    same = (most + of) * F.size(F.array_intersect(F.split("l.w", " "), F.split("r.w", " "))) >= most * (F.col("l.n") + F.col("r.n"))
     gone = common.written(rows.alias("l").join(rows.alias("r"), _could_be() & (F.col("r.at") < F.col("l.at")) & same, "left_semi").select(*_LINE).distinct(), "gone")
     common.dropped(plausible)
     return gone

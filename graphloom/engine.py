@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import bdd, callgraph, closure, diagrams, flow, java, symbols, tokens, uml
+from graphloom.operators import bdd, callgraph, closure, diagrams, flow, java, symbols, tokens, trace, uml
 from graphloom.sources import artifacts, files
 
 
@@ -15,26 +15,45 @@ class ProgramGraph:
     """Tables are made when first asked for; every one can be written and read again."""
 
     def __init__(self, sources: DataFrame):
-        self.files = sources.persist()
+        self.files = sources
         self.spark = sources.sparkSession
 
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """Every file parsed once, written, and read by all tables."""
+        return closure.cut(java.parsed(self.files))
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return java.errors(self.parsed)
+
     @cached_property
     def tokens(self) -> DataFrame:
-        return tokens.allocate_ids(java.tokens(self.files))
+        firsts = tokens.first_ids(self.parsed.select("file_id", F.size("tokens").cast("long").alias("token_count")))
+        rows = java.listed(self.parsed, "tokens").join(firsts, "file_id")
+        return rows.withColumn("token_id", F.col("first_token_id") + F.col("ord")).drop("first_token_id", "token_count")
 
     @cached_property
     def ast(self) -> DataFrame:
-        return java.ast(self.files)
+        return java.listed(self.parsed, "ast")
+
+    @cached_property
+    def declared(self) -> DataFrame:
+        return closure.cut(java.symbols(self.ast))
+
+    @cached_property
+    def chains(self) -> DataFrame:
+        return java.chains(self.declared)
 
     @cached_property
     def symbols(self) -> DataFrame:
-        rows = java.symbols(self.ast)
-        named = rows.filter(F.col("kind").isin(*symbols.CLASSES)).groupBy(F.col("name").alias("type_name")).agg(F.min("sym_id").alias("type_sym"))
-        return rows.join(named, "type_name", "left").withColumn("ordinal", F.col("pre"))
+        uses = self.declared.select(F.col("sym_id").alias("use_id"), "file_id", F.coalesce("parent_sym", "sym_id").alias("scope"), F.col("type_name").alias("name"))
+        types = java.resolved_types(uses, self.declared, self.ast, self.chains)
+        return closure.cut(self.declared.join(types.withColumnRenamed("use_id", "sym_id"), "sym_id", "left").withColumn("ordinal", F.col("pre")))
 
     @cached_property
     def th_edges(self) -> DataFrame:
-        return symbols.hierarchy_edges(java.supers(self.ast, self.symbols), self.symbols)
+        return closure.cut(symbols.hierarchy_edges(java.supers(self.ast, self.symbols, self.chains), self.symbols))
 
     @cached_property
     def associations(self) -> DataFrame:
@@ -42,23 +61,31 @@ class ProgramGraph:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return java.blocks(self.files)
+        return java.listed(self.parsed, "blocks")
 
     @cached_property
     def cfg_edges(self) -> DataFrame:
-        return java.cfg_edges(self.files)
+        return java.listed(self.parsed, "cfg_edges")
 
     @cached_property
     def graphs(self) -> DataFrame:
-        return flow.with_statements(flow.graphs(self.blocks, self.cfg_edges), java.statements(self.files)).persist()
+        return closure.cut(flow.with_statements(flow.graphs(self.blocks, self.cfg_edges), java.listed(self.parsed, "statements")))
 
     @cached_property
     def call_sites(self) -> DataFrame:
-        return java.call_sites(self.ast)
+        return closure.cut(java.typed_sites(java.call_sites(self.ast), java.listed(self.parsed, "receivers"), self.symbols, self.th_edges, self.ast, self.chains))
 
     @cached_property
     def call_edges(self) -> DataFrame:
-        return callgraph.unique_edges(java.call_edges(self.call_sites, self.symbols))
+        return closure.cut(callgraph.unique_edges(java.call_edges(self.call_sites, java.listed(self.parsed, "given"), self.symbols, self.th_edges, self.ast, self.chains)))
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        """(layer, entity_id, file_id, first_tok, last_tok, lines and columns) of nodes, symbols, call sites and blocks."""
+        firsts = self.tokens.groupBy("file_id").agg(F.min("token_id").alias("_first"))
+        at = lambda df: df.join(firsts, "file_id").withColumns({"first_tok": F.col("first_tok") + F.col("_first"), "last_tok": F.col("last_tok") + F.col("_first")})
+        rows = trace.spans("ast", at(self.ast), "node_id").unionByName(trace.spans("sym", at(self.symbols), "sym_id")).unionByName(trace.spans("cs", at(self.call_sites), "site_id"))
+        return trace.located(rows, self.tokens)
 
     @cached_property
     def scc(self) -> DataFrame:
@@ -67,7 +94,7 @@ class ProgramGraph:
 
     @cached_property
     def classes(self) -> DataFrame:
-        package = tokens.packages(self.files).select("file_id", "package")
+        package = java.packages(self.ast).filter("package <> ''")
         kept = symbols.class_candidates(self.symbols).select("sym_id", "file_id")
         return uml.classes(self.symbols, self.th_edges).join(kept, "sym_id").join(package, "file_id", "left").drop("file_id")
 
@@ -75,7 +102,7 @@ class ProgramGraph:
         made = {"dom": lambda: flow.dominators(self.graphs), "dom_frontier": lambda: flow.dominance_frontier(self.graphs), "loops": lambda: flow.loops(self.graphs), "cdg": lambda: flow.cdg(self.graphs), "ssa_defs": lambda: flow.ssa_defs(self.graphs), "phis": lambda: flow.phis(self.graphs), "def_use": lambda: flow.def_use(self.graphs), "path_metrics": lambda: bdd.path_metrics(self.graphs), "bdd_nodes": lambda: bdd.bdd_nodes(self.graphs), "patterns": lambda: uml.patterns(self.symbols)}
         return made[name]() if name in made else getattr(self, name)
 
-    TABLES = ("tokens", "ast", "symbols", "th_edges", "associations", "blocks", "cfg_edges", "dom", "dom_frontier", "loops", "cdg", "ssa_defs", "phis", "def_use", "call_sites", "call_edges", "scc", "path_metrics", "patterns")
+    TABLES = ("tokens", "ast", "symbols", "th_edges", "associations", "blocks", "cfg_edges", "dom", "dom_frontier", "loops", "cdg", "ssa_defs", "phis", "def_use", "call_sites", "call_edges", "scc", "path_metrics", "patterns", "spans", "errors")
 
     def write(self, path: str, repo_id: str = "repo") -> None:
         artifacts.write({t: self.table(t) for t in self.TABLES}, path, repo_id)

@@ -1,7 +1,8 @@
-"""Java sources to program-graph tables: one pass over files, in parallel, each parsed once."""
+"""Java sources to program-graph tables: one pass over files, in parallel, each parsed once into one row that all tables are taken from."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,107 +12,238 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalar as S
 from graphloom.javaparse import cfg as C
 from graphloom.javaparse.parser import flatten, parse, tokenize
+from graphloom.javaparse.scopes import Scopes
 
 _CALLABLE = ("METHOD_DECL", "CONSTRUCTOR_DECL")
 #: Nodes of a file have ids file_id * STRIDE + pre.
 STRIDE = 1 << 24
 
 
-def _map(files: DataFrame, make, ddl: str, kinds: list[pa.DataType]) -> DataFrame:
-    names = [x.split()[0] for x in ddl.split(", ")]
+#: Calls of Python functions within one another that a parse may need; they take heap, not stack.
+DEEP = 1_000_000
+
+_L, _I, _S, _B = pa.int64(), pa.int32(), pa.string(), pa.bool_()
+#: The lists of a parsed file, with their fields.
+LISTS = {
+    "tokens": {"ord": _L, "line": _I, "col": _I, "text": _S, "len": _I, "token_type": _S},
+    "ast": {"node_id": _L, "pre": _L, "parent": _L, "depth": _I, "size": _L, "node_type": _S, "op": _S, "text": _S, "modifiers": pa.list_(_S), "first_tok": _L, "last_tok": _L},
+    "blocks": {"fn_sym": _L, "block": _I, "stmts": pa.list_(_L), "is_entry": _B, "is_exit": _B},
+    "cfg_edges": {"fn_sym": _L, "src": _I, "dst": _I, "edge_type": _S},
+    "statements": {"fn_sym": _L, "stmt": _L, "block": _I, "uses": pa.list_(_S), "defs": pa.list_(_S)},
+    "receivers": {"site_id": _L, "fn_sym": _L, "owner": _L, "how": _S, "type_name": _S, "variable": _S},
+    "given": {"fn_sym": _L, "variable": _S, "type_name": _S, "other": _S},
+}
+
+
+def _parsed(i: int, text: str) -> dict[str, list[tuple]]:
+    rows = flatten(parse(text)[1])
+    at = lambda pre: None if pre is None else i * STRIDE + pre
+    out: dict[str, list[tuple]] = {k: [] for k in LISTS}
+    out["tokens"] = [(k, x.line, x.col, x.text, len(x.text), x.kind) for k, x in enumerate(tokenize(text, False))]
+    out["ast"] = [(at(r["pre"]), r["pre"], r["parent"], r["depth"], r["size"], r["node_type"], r["op"], r["text"], r["modifiers"], r["first_tok"], r["last_tok"]) for r in rows]
+    scopes = Scopes(rows)
+    for r in rows:
+        if r["node_type"] in _CALLABLE:
+            fn, (blocks, edges) = at(r["pre"]), C.build(rows, r["pre"])
+            out["blocks"] += [(fn, b, [at(s) for s in ss], e, x) for b, ss, e, x in blocks]
+            out["cfg_edges"] += [(fn, s, d, k) for s, d, k in edges]
+            # parameters are set by the callable itself in block 0
+            out["statements"].append((fn, fn, 0, [], [rows[k]["text"] for k in scopes.kids.get(r["pre"], []) if rows[k]["node_type"] == "PARAM_DECL"]))
+            out["statements"] += [(fn, at(s), b, *C.uses_and_defs(rows, scopes.kids, s)) for b, ss, _, _ in blocks for s in ss]
+    out["receivers"] = [(at(call), at(fn), at(owner), *rest) for call, fn, owner, *rest in scopes.calls()]
+    out["given"] = [(at(fn), *rest) for fn, *rest in scopes.given()]
+    return out
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """(file_id, error, and a list of structs for each of LISTS): a row for each file. A file that can't be read has empty lists and says why; it does the others no harm."""
+    kinds = {k: pa.struct(list(fields.items())) for k, fields in LISTS.items()}
+    names = {_L: "long", _I: "int", _S: "string", _B: "boolean", pa.list_(_S): "array<string>", pa.list_(_L): "array<long>"}
+    ddl = "file_id long, error string, " + ", ".join(f"{k} array<struct<{', '.join(f'{c}:{names[t]}' for c, t in fields.items())}>>" for k, fields in LISTS.items())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in make(i, text or "")]
-            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, DEEP))
+        try:
+            for batch in batches:
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    error, lists = None, {k: [] for k in LISTS}
+                    try:
+                        lists = _parsed(i, text or "")
+                    except (RecursionError, ValueError, LookupError, TypeError, AttributeError) as e:
+                        error = f"{type(e).__name__}: {e}"
+                    made = []
+                    for k, fields in LISTS.items():
+                        cols = list(zip(*lists[k], strict=True)) or [[]] * len(fields)
+                        rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, fields.values(), strict=True)], fields=list(kinds[k]))
+                        made.append(pa.ListArray.from_arrays(pa.array([0, len(lists[k])], pa.int32()), rows))
+                    yield pa.RecordBatch.from_arrays([pa.array([i], _L), pa.array([error], _S), *made], names=["file_id", "error", *LISTS])
+        finally:
+            sys.setrecursionlimit(before)
 
     return files.select("file_id", "text").mapInArrow(work, ddl)
 
 
-_L, _I, _S, _B = pa.int64(), pa.int32(), pa.string(), pa.bool_()
+def listed(files: DataFrame, name: str) -> DataFrame:
+    """One of LISTS as rows. files is what parsed() gives."""
+    rows = files.select("file_id", F.explode(name).alias("x")).select("file_id", "x.*")
+    return rows if name in ("tokens", "ast") else rows.drop("file_id")
 
 
-def tokens(files: DataFrame, trivia: bool = False) -> DataFrame:
-    return _map(files, lambda i, t: ((i, k, x.line, x.col, x.text, len(x.text), x.kind) for k, x in enumerate(tokenize(t, trivia))), "file_id long, ord long, line int, col int, text string, len int, token_type string", [_L, _L, _I, _I, _S, _I, _S])
+def errors(files: DataFrame) -> DataFrame:
+    """(file_id, error) of files that couldn't be read."""
+    return files.filter("error IS NOT NULL").select("file_id", "error")
 
 
-def ast(files: DataFrame) -> DataFrame:
-    make = lambda i, t: ((i, i * STRIDE + r["pre"], r["pre"], r["parent"], r["depth"], r["size"], r["node_type"], r["op"], r["text"], r["modifiers"], r["first_tok"], r["last_tok"]) for r in flatten(parse(t)[1]))
-    return _map(files, make, "file_id long, node_id long, pre long, parent long, depth int, size long, node_type string, op string, text string, modifiers array<string>, first_tok long, last_tok long", [_L, _L, _L, _L, _I, _L, _S, _S, _S, pa.list_(_S), _L, _L])
+def enclosing(nodes: DataFrame, marked) -> DataFrame:
+    """(node_id, outer): of every node the nearest one around it for which `marked` holds, null if none. Files' nodes come sorted; one pass holds a file's open marked nodes as a stack."""
+    rows = nodes.select("file_id", "pre", "size", "node_id", F.coalesce(marked, F.lit(False)).alias("m"))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, stack = None, []
+        for batch in batches:
+            ids, out = [], []
+            for f, pre, size, node, m in zip(*(batch.column(c).to_pylist() for c in ("file_id", "pre", "size", "node_id", "m")), strict=True):
+                if f != file:
+                    file, stack = f, []
+                while stack and stack[-1][0] <= pre:
+                    stack.pop()
+                ids.append(node)
+                out.append(stack[-1][1] if stack else None)
+                if m:
+                    stack.append((pre + size, node))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, _L), pa.array(out, _L)], names=["node_id", "outer"])
 
-def _functions(i: int, text: str):
-    rows = flatten(parse(text)[1])
-    for r in rows:
-        if r["node_type"] in _CALLABLE:
-            yield i * STRIDE + r["pre"], r["pre"], rows
+    return rows.repartition("file_id").sortWithinPartitions("file_id", "pre").mapInArrow(work, "node_id long, outer long")
+
+
+def symbols(nodes: DataFrame) -> DataFrame:
+    """Declarations as symbols: (sym_id, file_id, name, kind, parent_sym, visibility, modifiers, is_static, is_abstract, type_name, is_array, pre). parent_sym is the nearest declaration around, by the stack of a file's nodes."""
+    kind = S.symbol_kind(F.col("node_type"))
+    decl = nodes.filter(kind.isNotNull()).withColumn("kind", kind)
+    outer = enclosing(nodes, kind.isNotNull()).select("node_id", F.col("outer").alias("parent_sym"))
+    types = nodes.filter("node_type = 'TYPE_REF' AND (op IS NULL OR op = '[]')").groupBy("file_id", F.col("parent").alias("pre")).agg(F.min_by("text", "pre").alias("type_name"), F.min_by(F.coalesce(F.col("op"), F.lit("")), "pre").alias("_op"))
+    has = lambda m: F.array_contains("modifiers", m)
+    vis = F.when(has("public"), "public").when(has("private"), "private").when(has("protected"), "protected").otherwise(S.default_visibility(F.col("kind")))
+    rows = decl.join(outer, "node_id", "left").join(types, ["file_id", "pre"], "left")
+    return rows.select(F.col("node_id").alias("sym_id"), "file_id", F.col("text").alias("name"), "kind", "parent_sym", vis.alias("visibility"), "modifiers", has("static").alias("is_static"), has("abstract").alias("is_abstract"), has("final").alias("is_final"), "type_name", (F.coalesce("_op", F.lit("")) == "[]").alias("is_array"), "pre", "first_tok", "last_tok")
 
 
-def blocks(files: DataFrame) -> DataFrame:
-    make = lambda i, t: ((fn, b, [i * STRIDE + s for s in ss], e, x) for fn, pre, rows in _functions(i, t) for b, ss, e, x in C.build(rows, pre)[0])
-    return _map(files, make, "fn_sym long, block int, stmts array<long>, is_entry boolean, is_exit boolean", [_L, _I, pa.list_(_L), _B, _B])
+def packages(nodes: DataFrame) -> DataFrame:
+    """(file_id, package): "" for files without one."""
+    named = nodes.filter("node_type = 'PACKAGE_DECL'").groupBy("file_id").agg(F.min_by("text", "pre").alias("package"))
+    return nodes.select("file_id").distinct().join(named, "file_id", "left").fillna("", ["package"])
 
 
-def cfg_edges(files: DataFrame) -> DataFrame:
-    make = lambda i, t: ((fn, s, d, k) for fn, pre, rows in _functions(i, t) for s, d, k in C.build(rows, pre)[1])
-    return _map(files, make, "fn_sym long, src int, dst int, edge_type string", [_L, _I, _I, _S])
+def imports(nodes: DataFrame) -> DataFrame:
+    """(file_id, qual_name, simple_name, is_wildcard)"""
+    text = F.regexp_replace("text", r"^static\s+", "")
+    wild = text.endswith("*")
+    rows = nodes.filter("node_type = 'IMPORT_DECL'").select("file_id", text.alias("t"), wild.alias("is_wildcard"))
+    return rows.select("file_id", F.when(F.col("is_wildcard"), F.regexp_replace("t", r"\.?\*$", "")).otherwise(F.col("t")).alias("qual_name"), F.regexp_extract("t", r"([^.]*)$", 1).alias("simple_name"), "is_wildcard")
 
 
-def statements(files: DataFrame) -> DataFrame:
-    """(fn_sym, stmt, block, uses, defs); parameters are set by the callable itself in block 0."""
+_CLASSES = ("CLASS", "INTERFACE", "ENUM", "RECORD")
 
-    def make(i, t):
-        for fn, pre, rows in _functions(i, t):
-            kids: dict[int, list[int]] = {}
-            for r in rows:
-                kids.setdefault(r["parent"], []).append(r["pre"])
-            params = [rows[k]["text"] for k in kids.get(pre, []) if rows[k]["node_type"] == "PARAM_DECL"]
-            yield fn, fn, 0, [], params
-            for b, ss, _, _ in C.build(rows, pre)[0]:
-                for s in ss:
-                    yield (fn, i * STRIDE + s, b, *C.uses_and_defs(rows, kids, s))
 
-    return _map(files, make, "fn_sym long, stmt long, block int, uses array<string>, defs array<string>", [_L, _L, _I, pa.list_(_S), pa.list_(_S)])
+def chains(syms: DataFrame) -> DataFrame:
+    """(scope_id, outer, dist): every symbol and the symbols around it; made once for all that is resolved."""
+    from graphloom.operators.closure import cut
+    from graphloom.operators.symbols import scope_chain
 
+    return cut(scope_chain(syms.select(F.col("sym_id").alias("scope_id"), F.col("parent_sym").alias("parent_scope"))))
 
-def symbols(nodes: DataFrame) -> DataFrame:
-    """Declarations as symbols: (sym_id, file_id, name, kind, parent_sym, visibility, modifiers, is_static, is_abstract, type_name, is_array, pre). parent_sym is the nearest declaration around, found by interval within the file."""
-    kind = S.symbol_kind(F.col("node_type"))
-    decl = nodes.filter(kind.isNotNull()).withColumn("kind", kind)
-    around = decl.select("file_id", F.col("pre").alias("_p"), F.col("size").alias("_s"), F.col("node_id").alias("_id"))
-    outer = decl.select("file_id", "pre").join(around, "file_id").filter((F.col("_p") < F.col("pre")) & (F.col("pre") < F.col("_p") + F.col("_s"))).groupBy("file_id", "pre").agg(F.max_by("_id", "_p").alias("parent_sym"))
-    types = nodes.filter("node_type = 'TYPE_REF' AND (op IS NULL OR op = '[]')").groupBy("file_id", F.col("parent").alias("pre")).agg(F.min_by("text", "pre").alias("type_name"), F.min_by(F.coalesce(F.col("op"), F.lit("")), "pre").alias("_op"))
-    has = lambda m: F.array_contains("modifiers", m)
-    vis = F.when(has("public"), "public").when(has("private"), "private").when(has("protected"), "protected").otherwise(S.default_visibility(F.col("kind")))
-    rows = decl.join(outer, ["file_id", "pre"], "left").join(types, ["file_id", "pre"], "left")
-    return rows.select(F.col("node_id").alias("sym_id"), "file_id", F.col("text").alias("name"), "kind", "parent_sym", vis.alias("visibility"), "modifiers", has("static").alias("is_static"), has("abstract").alias("is_abstract"), has("final").alias("is_final"), "type_name", (F.coalesce("_op", F.lit("")) == "[]").alias("is_array"), "pre")
+
+def resolved_types(uses: DataFrame, syms: DataFrame, nodes: DataFrame, chain: DataFrame) -> DataFrame:
+    """(use_id, type_sym) of uses (use_id, file_id, scope, name), scope being the symbol around: a type of that name declared in the innermost scope outwards up to the file, else by an import, in the package, by a wildcard import. What none has is left out."""
+    types = syms.filter(F.col("kind").isin(*_CLASSES)).select("sym_id", "file_id", "name", "parent_sym")
+    package = packages(nodes)
+    modules = syms.filter("kind = 'MODULE'").select(F.col("sym_id").alias("parent_sym"))
+    top = types.join(modules, "parent_sym", "left_semi").unionByName(types.filter("parent_sym IS NULL")).join(package, "file_id")
+    wanted = uses.filter("name IS NOT NULL").withColumn("simple", F.regexp_extract("name", r"([^.]*)$", 1)).withColumn("before", F.regexp_replace("name", r"\.?[^.]*$", ""))
+    plain = wanted.filter("before = ''")
+    nested = plain.join(chain.withColumnRenamed("scope_id", "scope"), "scope").join(types.select(F.col("parent_sym").alias("outer"), F.col("name").alias("simple"), F.col("sym_id").alias("type_sym")), ["outer", "simple"]).select("use_id", F.col("dist").cast("long").alias("rank"), "type_sym")
+    at = lambda rank: F.lit(1 << 40 | rank).alias("rank")  # noqa: E731  behind all scopes of the file
+    full = top.select(F.when(F.col("package") == "", F.col("name")).otherwise(F.concat("package", F.lit("."), "name")).alias("qual_name"), F.col("sym_id").alias("type_sym"))
+    named = imports(nodes)
+    imported = plain.join(named.filter("NOT is_wildcard").select("file_id", F.col("simple_name").alias("simple"), "qual_name"), ["file_id", "simple"]).join(full, "qual_name").select("use_id", at(1), "type_sym")
+    neighbours = top.select("package", F.col("name").alias("simple"), F.col("sym_id").alias("type_sym"))
+    near = plain.join(package, "file_id").join(neighbours, ["package", "simple"]).select("use_id", at(2), "type_sym")
+    wild = plain.join(named.filter("is_wildcard").select("file_id", F.col("qual_name").alias("package")), "file_id").join(neighbours, ["package", "simple"]).select("use_id", at(3), "type_sym")
+    whole = wanted.filter("before <> ''").join(full.withColumnRenamed("qual_name", "name"), "name").select("use_id", at(1), "type_sym")
+    found = nested.unionByName(imported).unionByName(near).unionByName(wild).unionByName(whole)
+    return found.groupBy("use_id").agg(F.min_by("type_sym", F.struct("rank", "type_sym")).alias("type_sym"))
 
 
-def supers(nodes: DataFrame, syms: DataFrame) -> DataFrame:
-    """(sym_id, super_sym): what classes name behind extends and implements, where a symbol of that simple name exists (of several the least)."""
-    refs = nodes.filter("node_type = 'TYPE_REF' AND op IN ('extends', 'implements')").select("file_id", F.col("parent").alias("pre"), F.regexp_extract("text", r"([^.]*)$", 1).alias("name"))
-    classes = syms.filter(F.col("kind").isin("CLASS", "INTERFACE", "ENUM", "RECORD"))
-    named = classes.groupBy("name").agg(F.min("sym_id").alias("super_sym"))
-    return refs.join(classes.select("file_id", "pre", "sym_id"), ["file_id", "pre"]).join(named, "name").select("sym_id", "super_sym").distinct()
+def supers(nodes: DataFrame, syms: DataFrame, chain: DataFrame) -> DataFrame:
+    """(sym_id, super_sym): what classes name behind extends and implements, where it resolves to a type."""
+    refs = nodes.filter("node_type = 'TYPE_REF' AND op IN ('extends', 'implements')").select(F.col("node_id").alias("use_id"), "file_id", F.col("parent").alias("pre"), F.col("text").alias("name"))
+    own = syms.filter(F.col("kind").isin(*_CLASSES)).select("file_id", "pre", "sym_id", F.col("parent_sym").alias("scope"))
+    uses = refs.join(own, ["file_id", "pre"])
+    return uses.join(resolved_types(uses.select("use_id", "file_id", "scope", "name"), syms, nodes, chain), "use_id").select("sym_id", F.col("type_sym").alias("super_sym")).distinct()
 
 
 def call_sites(nodes: DataFrame) -> DataFrame:
     """(site_id, caller, name, node_type, arg_count, token): calls and creations with the callable around them."""
-    fns = nodes.filter(F.col("node_type").isin(*_CALLABLE)).select("file_id", F.col("pre").alias("lo"), (F.col("pre") + F.col("size")).alias("hi"), F.col("node_id").alias("caller"))
     kids = nodes.groupBy("file_id", F.col("parent").alias("pre")).agg(F.count("*").alias("n"))
+    around = enclosing(nodes, F.col("node_type").isin(*_CALLABLE)).filter("outer IS NOT NULL").select("node_id", F.col("outer").alias("caller"))
     calls = nodes.filter(F.col("node_type").isin("CALL_EXPR", "NEW_EXPR", "METHOD_REF")).join(kids, ["file_id", "pre"], "left")
-    hit = calls.join(fns, "file_id").filter((F.col("lo") < F.col("pre")) & (F.col("pre") < F.col("hi")))
-    inner = hit.groupBy("node_id").agg(F.max_by("caller", "lo").alias("caller"))
-    return calls.join(inner, "node_id").select(F.col("node_id").alias("site_id"), "caller", F.col("text").alias("name"), "node_type", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).alias("arg_count"), F.col("first_tok").alias("token"))
+    return calls.join(around, "node_id").select(F.col("node_id").alias("site_id"), "file_id", "caller", F.col("text").alias("name"), "node_type", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).alias("arg_count"), F.col("first_tok").alias("token"), "first_tok", "last_tok")
 
 
-def call_edges(sites: DataFrame, syms: DataFrame) -> DataFrame:
-    """(caller, callee, site_id, edge_type): a call goes to every callable of its name and number of parameters; a creation to the constructors of its class."""
+def callables(syms: DataFrame) -> DataFrame:
+    """(callee, owner, key, is_static, is_abstract, visibility, owner_kind): callables by name and number of parameters; a constructor's name is its class's."""
     params = syms.filter("kind = 'PARAM'").groupBy(F.col("parent_sym").alias("callee")).agg(F.count("*").alias("arity"))
-    targets = syms.filter("kind IN ('METHOD', 'CONSTRUCTOR')").select(F.col("sym_id").alias("callee"), "name", "kind", "is_static", "visibility", F.col("parent_sym").alias("owner")).join(params, "callee", "left").fillna(0, ["arity"])
     owners = syms.select(F.col("sym_id").alias("owner"), F.col("kind").alias("owner_kind"))
+    rows = syms.filter("kind IN ('METHOD', 'CONSTRUCTOR')").select(F.col("sym_id").alias("callee"), "name", "kind", "is_static", "is_abstract", "visibility", F.col("parent_sym").alias("owner"))
+    rows = rows.join(params, "callee", "left").fillna(0, ["arity"]).join(owners, "owner", "left")
+    return rows.withColumn("key", F.concat_ws("/", F.when(F.col("kind") == "CONSTRUCTOR", "new").otherwise("call"), "name", "arity"))
+
+
+def typed_sites(sites: DataFrame, receivers: DataFrame, syms: DataFrame, th_edges: DataFrame, nodes: DataFrame, chain: DataFrame) -> DataFrame:
+    """Sites with type_sym (of the receiver, null where nothing tells it), key, target (the callable of that key in the type or the nearest above it), call_type and variable."""
+    from graphloom.operators.closure import closure
+
+    rows = sites.join(receivers.select("site_id", "owner", "how", "type_name", "variable"), "site_id", "left")
+    known = resolved_types(rows.select(F.col("site_id").alias("use_id"), "file_id", F.col("caller").alias("scope"), F.col("type_name").alias("name")), syms, nodes, chain)
+    extends = th_edges.filter("relation = 'EXTENDS'").groupBy(F.col("from_sym").alias("owner")).agg(F.min("to_sym").alias("above"))
+    rows = rows.join(known.withColumnRenamed("use_id", "site_id"), "site_id", "left").join(extends, "owner", "left")
+    rows = rows.withColumn("type_sym", F.when(F.col("how") == "own", F.col("owner")).when(F.col("how") == "super", F.col("above")).otherwise(F.col("type_sym"))).drop("above")
     made = F.col("node_type") == "NEW_EXPR"
-    rows = sites.join(targets.join(owners, "owner", "left"), "name").filter((F.col("arity") == F.col("arg_count")) & (made == (F.col("kind") == "CONSTRUCTOR")))
-    kind = S.call_type(F.col("node_type"), F.lit(1), F.when(F.col("is_static"), F.array(F.lit("static"))).otherwise(F.array().cast("array<string>")), F.col("visibility"), F.col("owner_kind"))
-    return rows.select("caller", "callee", "site_id", kind.alias("edge_type")).distinct()
+    rows = rows.withColumn("key", F.concat_ws("/", F.when(made, "new").otherwise("call"), F.regexp_extract("name", r"([^.]*)$", 1), "arg_count"))
+    up = th_edges.filter("relation IN ('EXTENDS', 'IMPLEMENTS')").select(F.col("from_sym").alias("src"), F.col("to_sym").alias("dst"))
+    types = rows.select(F.col("type_sym").alias("root")).filter("root IS NOT NULL").distinct()
+    above = closure(up, types.select("root", F.col("root").alias("node"))).select(F.col("root").alias("type_sym"), F.col("node").alias("owner"), "dist")
+    held = callables(syms)
+    asked = rows.select("site_id", "type_sym", "key")
+    near = asked.join(above, "type_sym").join(held.select("owner", "key", "callee"), ["owner", "key"]).groupBy("site_id").agg(F.min_by("callee", F.struct("dist", "callee")).alias("target"))
+    # an unqualified call may mean a type around the innermost one
+    outer = asked.filter("type_sym IS NOT NULL").join(near, "site_id", "left_anti").join(rows.filter("how = 'own'").select("site_id"), "site_id", "left_semi")
+    around = outer.join(chain.withColumnRenamed("scope_id", "type_sym"), "type_sym").join(held.select(F.col("owner").alias("outer"), "key", "callee"), ["outer", "key"]).groupBy("site_id").agg(F.min_by("callee", F.struct("dist", "callee")).alias("target"))
+    # where nothing tells the receiver's type, a key that only one callable has
+    only = held.groupBy("key").agg(F.count("*").alias("n"), F.min("callee").alias("target")).filter("n = 1").select("key", "target")
+    loose = rows.filter("type_sym IS NULL").select("site_id", "key").join(only, "key").select("site_id", "target")
+    found = rows.join(near.unionByName(around).unionByName(loose), "site_id", "left")
+    of = held.select(F.col("callee").alias("target"), "is_static", F.col("visibility").alias("_v"), "owner_kind")
+    kind = S.call_type(F.col("node_type"), F.lit(1), F.when(F.col("is_static"), F.array(F.lit("static"))).otherwise(F.array().cast("array<string>")), F.col("_v"), F.col("owner_kind"))
+    return found.join(of, "target", "left").withColumn("call_type", F.when(F.col("how") == "super", "SPECIAL").otherwise(kind)).drop("_v", "owner_kind", "is_static")
+
+
+def call_edges(sites: DataFrame, given: DataFrame, syms: DataFrame, th_edges: DataFrame, nodes: DataFrame, chain: DataFrame) -> DataFrame:
+    """(caller, callee, site_id, edge_type) of typed_sites(): direct calls to their target; virtual ones to the methods of the types that their receiver was given, else of its declared type and all below it. given is (fn_sym, variable, type_name, other)."""
+    from graphloom.operators import callgraph
+
+    held = callables(syms).select(F.lit("METHOD").alias("kind"), F.col("owner").alias("parent_sym"), F.col("key").alias("name"), F.col("callee").alias("sym_id"), "is_abstract")
+    made = given.filter("type_name IS NOT NULL").withColumn("use_id", F.xxhash64("fn_sym", "variable", "type_name"))
+    files = syms.select(F.col("sym_id").alias("fn_sym"), "file_id")
+    types = resolved_types(made.join(files, "fn_sym").select("use_id", "file_id", F.col("fn_sym").alias("scope"), F.col("type_name").alias("name")).distinct(), syms, nodes, chain)
+    seeds = made.join(types, "use_id").select("fn_sym", F.col("variable").alias("var"), "type_sym").distinct()
+    copies = given.filter("other IS NOT NULL").select("fn_sym", F.col("other").alias("src"), F.col("variable").alias("dst"))
+    held_by = callgraph.points_to(seeds, copies)
+    asked = sites.select("site_id", F.col("caller").alias("fn_sym"), F.col("variable").alias("receiver"), "type_sym", F.col("key").alias("name"), "target", "call_type")
+    # only variables of the function itself are followed; fields may be set anywhere
+    locals_ = syms.filter("kind IN ('LOCAL_VAR')").select(F.col("parent_sym").alias("fn_sym"), F.col("name").alias("receiver")).distinct()
+    one = callgraph.resolve_1cfa(asked.join(locals_, ["fn_sym", "receiver"], "left_semi").select("site_id", "fn_sym", "receiver", "name"), held_by, held)
+    cha = callgraph.resolve_cha(asked, held, th_edges)
+    found = callgraph.resolve_sites(asked, one, cha)
+    return found.join(sites.select("site_id", "caller"), "site_id").select("caller", "callee", "site_id", "edge_type").distinct()

@@ -24,7 +24,7 @@ OPERATORS = "+ - * / % == != < > <= >= && || ! & | ^ ++ -- ~ << >> >>> = += -= *
 PUNCTUATION = "; , . ( ) [ ] { } ... :: ->".split()
 # Primitive types, collection types, standard-library stubs.
 PRIMITIVES = "void boolean byte short char int long float double".split()
-COLLECTIONS = [x for n, p in (("List", "util"), ("Set", "util"), ("Map", "util"), ("Collection", "util"), ("Iterable", "lang"), ("ArrayList", "util"), ("HashMap", "util"), ("HashSet", "util")) for x in (n, f"java.{p}.{n}")]
+COLLECTIONS = "List java.util.List Set java.util.Set Map java.util.Map Collection java.util.Collection Iterable java.lang.Iterable ArrayList java.util.ArrayList HashMap java.util.HashMap HashSet java.util.HashSet".split()
 STUBS = {"Object": "java.lang", "String": "java.lang", "Integer": "java.lang", "Boolean": "java.lang", "List": "java.util", "Map": "java.util", "Set": "java.util", "Collection": "java.util", "Iterable": "java.lang", "Exception": "java.lang", "RuntimeException": "java.lang", "Throwable": "java.lang"}
 # Names never drawn in a diagram.
 SYSTEM_NAMES = "SystemNode Unknown Entity void boolean int long float double char byte short String Object args package const java androidx Volatile null true false this super undefined NaN 0 1 2 3 4 5 Node_0 Node_1 Node_2 Node_3 Node_4 Node_5 Node_100 let var function return if else for while do switch case break continue try catch MB".split()
@@ -127,6 +127,70 @@ def classify_generic(kind: Column) -> Column:
     )
 
 
+# Classes of a Kotlin token by its kind, and node types that kinds of a generic grammar are kept as.
+KOTLIN_KINDS = {
+    "Identifier": "identifier type_identifier simple_identifier".split(),
+    "IntegerLiteral": "decimal_integer_literal hex_integer_literal binary_integer_literal integer_literal".split(),
+    "FloatLiteral": "decimal_floating_point_literal hex_floating_point_literal real_literal".split(),
+    "StringLiteral": "string_literal text_block line_string_literal multi_line_string_literal".split(),
+    "CharLiteral": "character_literal".split(),
+    "BooleanLiteral": "true false".split(),
+    "NullLiteral": "null_literal null".split(),
+    "CommentLine": "line_comment".split(),
+    "CommentBlock": "block_comment comment".split(),
+    "Operator": "+ - * / % == != < > <= >= && || ! & | ^ ~ << >> >>> = += -= *= /= %= &= |= ^= <<= >>= >>>= ++ -- -> ?: !! .. ::".split(),
+    "Keyword": "class interface enum record extends implements public private protected static final abstract synchronized native transient volatile strictfp default package import if else switch case while do for break continue return throw throws try catch finally new this super instanceof void fun val var object companion data sealed open override internal when in is by".split(),
+    "Punctuation": "{ } ( ) [ ] ; , . : ? @".split(),
+}
+GENERIC_NODES = {
+    "MODULE": "program module translation_unit source_file".split(),
+    "CLASS_DECL": "class_declaration class_definition class class_specifier object_declaration struct_item struct_specifier union_item type_alias_declaration".split(),
+    "INTERFACE_DECL": "interface_declaration interface trait_item protocol_declaration".split(),
+    "ENUM_DECL": "enum_declaration enum_specifier enum_item".split(),
+    "METHOD_DECL": "method_declaration method_definition function_declaration function_definition function arrow_function function_item function_component".split(),
+    "CONSTRUCTOR_DECL": "constructor_declaration constructor".split(),
+    "FIELD_DECL": "field_declaration field_definition property_definition public_field_definition".split(),
+    "PARAM_DECL": "formal_parameter parameter required_parameter".split(),
+    "LOCAL_VAR_DECL": "local_variable_declaration lexical_declaration variable_declaration variable_declarator let_declaration".split(),
+    "BLOCK": "statement_block block compound_statement".split(),
+    "IF_STMT": "if_statement".split(),
+    "FOR_STMT": "for_statement for_in_statement for_of_statement".split(),
+    "WHILE_STMT": "while_statement".split(),
+    "DO_WHILE_STMT": "do_statement".split(),
+    "SWITCH_STMT": "switch_statement".split(),
+    "SWITCH_CASE": "switch_case case_clause".split(),
+    "TRY_STMT": "try_statement".split(),
+    "CATCH_CLAUSE": "catch_clause".split(),
+    "FINALLY_CLAUSE": "finally_clause".split(),
+    "RETURN_STMT": "return_statement".split(),
+    "THROW_STMT": "throw_statement".split(),
+    "BREAK_STMT": "break_statement".split(),
+    "CONTINUE_STMT": "continue_statement".split(),
+    "EXPR_STMT": "expression_statement".split(),
+    "ASSIGN_EXPR": "assignment_expression".split(),
+    "BINARY_EXPR": "binary_expression".split(),
+    "UNARY_EXPR": "unary_expression update_expression".split(),
+    "TERNARY_EXPR": "ternary_expression conditional_expression".split(),
+    "CALL_EXPR": "call_expression method_invocation".split(),
+    "NEW_EXPR": "new_expression object_creation_expression".split(),
+    "FIELD_ACCESS": "member_expression field_access".split(),
+    "ARRAY_ACCESS": "subscript_expression array_access".split(),
+    "LITERAL": "number integer decimal_integer_literal string string_literal template_string true false null undefined".split(),
+    "THIS_EXPR": "this super".split(),
+}
+
+
+def classify_kotlin(kind: Column) -> Column:
+    """Class of a Kotlin token by its kind."""
+    return lookup(kind, KOTLIN_KINDS, "Unknown")
+
+
+def reduce_generic(kind: Column) -> Column:
+    """The node type that a node of a generic grammar is kept as, by its kind; null where it goes and its children take its place. Kinds not listed are kept by what they are called: declarations and definitions, then statements and expressions."""
+    named = lookup(kind, GENERIC_NODES)
+    return F.coalesce(named, F.when(kind.rlike("declaration|definition"), "LOCAL_VAR_DECL").when(kind.rlike("statement|expression"), "EXPR_STMT"))
+
+
 def encode_attrs(modifiers: Column, operator: Column) -> Column:
     """Visibility (public before private before protected), modifiers and operator of a node, packed."""
     vis = F.when(modifiers.contains("public"), 1).when(modifiers.contains("private"), 2).when(modifiers.contains("protected"), 3).otherwise(0)

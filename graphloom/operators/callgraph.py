@@ -116,3 +116,11 @@ def lifelines(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 def message_order(messages: DataFrame, sequence: str, *order: str) -> DataFrame:
     """Adds ordinal from 0 within each sequence."""
     return messages.withColumn("ordinal", (F.row_number().over(Window.partitionBy(sequence).orderBy(*order)) - 1).cast("long"))
+
+
+def bad_calls(sites: DataFrame, methods: DataFrame, components: DataFrame) -> DataFrame:
+    """(fault, n): sites (site_id, token) without a token, and methods (sym_id) that the components (node) hold not at all or more than once. Should be none."""
+    loose = sites.filter("token IS NULL").select(F.lit("site without a token").alias("fault"))
+    held = components.groupBy(F.col("node").alias("sym_id")).agg(F.count("*").alias("held"))
+    uneven = methods.select("sym_id").distinct().join(held, "sym_id", "left").filter("held IS NULL OR held <> 1").select(F.lit("method not in one component").alias("fault"))
+    return loose.unionByName(uneven).groupBy("fault").agg(F.count("*").alias("n"))

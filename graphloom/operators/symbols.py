@@ -120,6 +120,20 @@ def orphans(symbols: DataFrame) -> DataFrame:
     return symbols.filter("kind IN ('METHOD', 'FIELD')").join(symbols.select(F.col("sym_id").alias("_p")), F.col("parent_sym") == F.col("_p"), "left_anti").select("sym_id")
 
 
+#: Tokens behind a symbol's first that may name it.
+NAME_REACH = 20
+
+
+def resolve_names(symbols: DataFrame, tokens: DataFrame, packages: DataFrame) -> DataFrame:
+    """(sym_id, name): a symbol's own name; where it is empty or Unknown the first word among its tokens (token_id, text, token_type) that is no keyword or annotation, else its package's name (sym_id, package), else Unknown."""
+    own = F.when((F.col("name") != "") & (F.col("name") != "Unknown"), F.col("name"))
+    rows = symbols.select("sym_id", own.alias("own"), "first_tok")
+    asked = rows.filter("own IS NULL AND first_tok IS NOT NULL").select("sym_id", F.explode(F.sequence(F.col("first_tok"), F.col("first_tok") + NAME_REACH - 1)).alias("token_id"))
+    words = tokens.filter(~F.col("token_type").isin("Keyword", "Annotation") & F.col("text").rlike(r"^[\p{L}_]")).select("token_id", "text")
+    found = asked.join(words, "token_id").groupBy("sym_id").agg(F.min_by("text", "token_id").alias("word"))
+    return rows.join(found, "sym_id", "left").join(packages, "sym_id", "left").select("sym_id", F.coalesce("own", "word", "package", F.lit("Unknown")).alias("name"))
+
+
 def bad_symbols(symbols: DataFrame, th_edges: DataFrame) -> DataFrame:
     """(sym_id, fault): members whose parent is missing, classes whose id repeats, symbols with an edge to none. Should be none."""
     twice = symbols.filter(F.col("kind").isin(*CLASSES)).groupBy("sym_id").agg(F.count("*").alias("n")).filter("n > 1").select("sym_id")

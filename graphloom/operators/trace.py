@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +74,23 @@ def delta(before: DataFrame, after: DataFrame, key: str = "sym_id") -> DataFrame
 def bad_spans(rows: DataFrame) -> DataFrame:
     """Entities whose range ends before it starts: should be none."""
     return rows.filter("last_tok < first_tok")
+
+
+def sorted_spans(rows: DataFrame) -> DataFrame:
+    """Adds ord, the place of a span in its file: by first token, the longer of two first."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("file_id").orderBy("first_tok", F.desc("last_tok"), "entity_id")
+    return rows.withColumn("ord", (F.row_number().over(w) - 1).cast("long"))
+
+
+def bad_links(links: DataFrame, symbols: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(fault, n): links (sym_id, first_tok, last_tok) to symbols or tokens that don't exist, and symbols linked twice. Every row is looked at. Should be none."""
+    known = tokens.select("token_id")
+    parts = (
+        ("no such symbol", links.join(symbols.select("sym_id"), "sym_id", "left_anti")),
+        ("no such token", links.filter("first_tok IS NOT NULL").join(known.withColumnRenamed("token_id", "first_tok"), "first_tok", "left_anti")),
+        ("linked twice", links.groupBy("sym_id").agg(F.count("*").alias("n")).filter("n > 1")),
+    )
+    every = reduce(DataFrame.unionByName, (df.select(F.lit(fault).alias("fault")) for fault, df in parts))
+    return every.groupBy("fault").agg(F.count("*").alias("n"))

@@ -148,10 +148,24 @@ def pattern_labels(symbols: DataFrame) -> DataFrame:
 
 
 def strict_singleton(symbols: DataFrame) -> DataFrame:
-    """Classes with a private static field of their own type and a static method that gives it."""
+    """Classes with a private static field of their own type, a public static method that gives it, and no public constructor."""
     field = symbols.filter("kind = 'FIELD' AND is_static AND visibility = 'private' AND type_sym = parent_sym").select("parent_sym")
-    getter = symbols.filter("kind = 'METHOD' AND is_static AND type_sym = parent_sym").select("parent_sym")
-    return _found(_owning(symbols, field.intersect(getter)), "strict_singleton", 100)
+    getter = symbols.filter("kind = 'METHOD' AND is_static AND visibility = 'public' AND type_sym = parent_sym").select("parent_sym")
+    open_ = symbols.filter("kind = 'CONSTRUCTOR' AND visibility = 'public'").select(F.col("parent_sym").alias("class_sym"))
+    return _found(_owning(symbols, field.intersect(getter)), "strict_singleton", 100).join(open_, "class_sym", "left_anti")
+
+
+def strict_factory(symbols: DataFrame) -> DataFrame:
+    """Classes and interfaces with a method that gives an interface or an abstract type other than their own."""
+    broad = symbols.filter("kind = 'INTERFACE' OR is_abstract").select(F.col("sym_id").alias("type_sym"))
+    makers = symbols.filter("kind = 'METHOD' AND type_sym <> parent_sym").join(broad, "type_sym", "left_semi").select("parent_sym")
+    return _found(_owning(symbols.filter("kind IN ('CLASS', 'INTERFACE')"), makers.distinct()), "strict_factory", 100)
+
+
+def strict_observer(symbols: DataFrame) -> DataFrame:
+    """Classes and interfaces with a method whose name begins with add or remove and holds Listener or Observer."""
+    named = symbols.filter("kind = 'METHOD'").filter(F.col("name").rlike("^(add|remove).*(Listener|Observer)")).select("parent_sym")
+    return _found(_owning(symbols.filter("kind IN ('CLASS', 'INTERFACE')"), named.distinct()), "strict_observer", 100)
 
 
 # relations between classes

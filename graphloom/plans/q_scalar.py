@@ -19,6 +19,26 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.classify_generic(kind).alias("token_type"))
 
 
+def _mapped(table_: dict[str, list[str]], col: str, otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} IN ({_sql_in(ks)}) THEN '{k}'" for k, ks in table_.items()) + f" ELSE {otherwise} END"
+
+
+@query("classify_token_kotlin", with_ctes("tokens", f"SELECT {_mapped(S.KOTLIN_KINDS, 'text', chr(39) + 'Unknown' + chr(39))} AS token_type, count(*) AS n FROM tokens GROUP BY 1"))
+def _(spark, sf):
+    from graphloom.plans.q_tokens import lexed
+
+    return lexed(spark, sf).groupBy(S.classify_kotlin(F.col("text")).alias("token_type")).agg(F.count("*").alias("n"))
+
+
+_GENERIC = ("class_definition", "function_item", "let_declaration", "if_statement", "while_statement", "call_expression", "await_expression", "macro_definition", "string", "this", "goto_statement", "heredoc_body", "block", "trait_item")
+
+
+@query("reduce_generic", f"SELECT page_id, CASE k WHEN 'class_definition' THEN 'CLASS_DECL' WHEN 'function_item' THEN 'METHOD_DECL' WHEN 'let_declaration' THEN 'LOCAL_VAR_DECL' WHEN 'if_statement' THEN 'IF_STMT' WHEN 'while_statement' THEN 'WHILE_STMT' WHEN 'call_expression' THEN 'CALL_EXPR' WHEN 'await_expression' THEN 'EXPR_STMT' WHEN 'macro_definition' THEN 'LOCAL_VAR_DECL' WHEN 'string' THEN 'LITERAL' WHEN 'this' THEN 'THIS_EXPR' WHEN 'goto_statement' THEN 'EXPR_STMT' WHEN 'block' THEN 'BLOCK' WHEN 'trait_item' THEN 'INTERFACE_DECL' END AS node_type FROM (SELECT page_id, [{_sql_in(_GENERIC)}][page_id % {len(_GENERIC)} + 1] AS k FROM pages)")
+def _(spark, sf):
+    kind = F.element_at(F.array(*[F.lit(k) for k in _GENERIC]), (F.col("page_id") % len(_GENERIC) + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", S.reduce_generic(kind).alias("node_type"))
+
+
 _MODS = "CASE o_orderkey % 6 WHEN 0 THEN 'public static' WHEN 1 THEN 'private final' WHEN 2 THEN 'protected abstract' WHEN 3 THEN 'public private' WHEN 4 THEN 'static final abstract' ELSE '' END"
 _OPS = "CASE o_orderkey % 5 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '&&' WHEN 3 THEN '!=' ELSE '%' END"
 

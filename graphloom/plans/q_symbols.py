@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalar import KEYWORDS, classify_token
 from graphloom.operators import callgraph as C
 from graphloom.operators import closure as L
 from graphloom.operators import symbols as Y
 from graphloom.operators import trace as R
 from graphloom.operators import uml as U
 from graphloom.plans.projections import projected, table, with_ctes
-from graphloom.plans.q_tokens import _sql_in
+from graphloom.plans.q_tokens import _sql_in, lexed
 from graphloom.plans.registry import query
 
 _CLASS = "kind IN ('CLASS', 'INTERFACE', 'ENUM', 'RECORD')"
@@ -505,7 +506,7 @@ def _(spark, sf):
 _GETTERS = "SELECT 20000000 + s_suppkey AS sym_id, 'instance' AS name, 'METHOD' AS kind, 2000000 + s_suppkey AS parent_sym, 'public' AS visibility, true AS is_static, false AS is_abstract, 2000000 + s_suppkey AS type_sym, s_suppkey AS ordinal FROM supplier WHERE s_suppkey % 3 = 1 UNION ALL SELECT 30000000 + s_suppkey, 'only', 'FIELD', 2000000 + s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'private' ELSE 'public' END, true, false, 2000000 + s_suppkey, s_suppkey FROM supplier"
 
 
-@query("pattern_strict_singleton", with_ctes("symbols", f"SELECT sym_id AS class_sym, 'strict_singleton' AS pattern, CAST(100 AS BIGINT) AS confidence FROM symbols WHERE {_CLASS} AND sym_id IN (SELECT parent_sym FROM (SELECT * FROM symbols UNION ALL {_GETTERS}) WHERE kind = 'FIELD' AND is_static AND visibility = 'private' AND type_sym = parent_sym) AND sym_id IN (SELECT parent_sym FROM (SELECT * FROM symbols UNION ALL {_GETTERS}) WHERE kind = 'METHOD' AND is_static AND type_sym = parent_sym)"))
+@query("pattern_strict_singleton", with_ctes("symbols", f"SELECT sym_id AS class_sym, 'strict_singleton' AS pattern, CAST(100 AS BIGINT) AS confidence FROM symbols WHERE {_CLASS} AND sym_id IN (SELECT parent_sym FROM (SELECT * FROM symbols UNION ALL {_GETTERS}) WHERE kind = 'FIELD' AND is_static AND visibility = 'private' AND type_sym = parent_sym) AND sym_id IN (SELECT parent_sym FROM (SELECT * FROM symbols UNION ALL {_GETTERS}) WHERE kind = 'METHOD' AND is_static AND visibility = 'public' AND type_sym = parent_sym)"))
 def _(spark, sf):
     table(spark, sf, "supplier").createOrReplaceTempView("supplier")
     more = spark.sql(_GETTERS)
@@ -513,6 +514,53 @@ def _(spark, sf):
     return U.strict_singleton(S(spark, sf).unionByName(more))
 
 
+@query("pattern_strict_factory", with_ctes("symbols", "SELECT sym_id AS class_sym, 'strict_factory' AS pattern, CAST(100 AS BIGINT) AS confidence FROM symbols WHERE kind IN ('CLASS', 'INTERFACE') AND sym_id IN (SELECT m.parent_sym FROM symbols m JOIN symbols t ON t.sym_id = m.type_sym WHERE m.kind = 'METHOD' AND m.type_sym <> m.parent_sym AND (t.kind = 'INTERFACE' OR t.is_abstract))"))
+def _(spark, sf):
+    return U.strict_factory(S(spark, sf))
+
+
+@query("pattern_strict_observer", with_ctes("symbols", "SELECT sym_id AS class_sym, 'strict_observer' AS pattern, CAST(100 AS BIGINT) AS confidence FROM symbols WHERE kind IN ('CLASS', 'INTERFACE') AND sym_id IN (SELECT parent_sym FROM symbols WHERE kind = 'METHOD' AND (name LIKE 'add%' OR name LIKE 'remove%') AND (contains(name, 'Listener') OR contains(name, 'Observer')))"))
+def _(spark, sf):
+    return U.strict_observer(S(spark, sf))
+
+
+#: Every third class has no name of its own; its tokens are the words of the document of its number, at ten million times that number.
+_NAMELESS = "SELECT c_custkey AS sym_id, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN c_name ELSE 'Unknown' END AS name, CASE WHEN c_custkey % 4 < 3 THEN c_custkey * 10000000 END AS first_tok FROM customer"
+
+
+@query("resolve_name", with_ctes("tokens", f"""SELECT s.sym_id, CASE WHEN s.name NOT IN ('', 'Unknown') THEN s.name ELSE coalesce((SELECT arg_min(t.text, t.ord) FROM tokens t WHERE t.file_id * 10000000 = s.first_tok AND t.ord < 20 AND t.text NOT IN ({_sql_in(KEYWORDS)}, 'true', 'false', 'null', 'var', '@') AND regexp_matches(t.text, '^[\\p{{L}}_]')), CASE WHEN s.sym_id % 2 = 0 THEN concat('org.p', s.sym_id) END, 'Unknown') END AS name FROM ({_NAMELESS}) s"""))
+def _(spark, sf):
+    c = table(spark, sf, "customer")
+    name = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, F.col("c_name")).otherwise("Unknown")
+    syms = c.select(F.col("c_custkey").alias("sym_id"), name.alias("name"), F.when(F.col("c_custkey") % 4 < 3, F.col("c_custkey") * 10000000).alias("first_tok"))
+    words = lexed(spark, sf).select((F.col("file_id") * 10000000 + F.col("ord")).alias("token_id"), "text", classify_token(F.col("text")).alias("token_type"))
+    words = words.withColumn("token_type", F.when(F.col("token_type").isin("BooleanLiteral", "NullLiteral", "JavaVarKeyword", "JavaAnnotationMarker"), "Keyword").otherwise(F.col("token_type")))
+    packages = syms.filter("sym_id % 2 = 0").select("sym_id", F.concat(F.lit("org.p"), "sym_id").alias("package"))
+    return Y.resolve_names(syms, words, packages)
+
+
+@query("cg_invariants", with_ctes("symbols call_sites", "SELECT 'site without a token' AS fault, count(*) AS n FROM call_sites WHERE site_id % 19 = 3 UNION ALL SELECT 'method not in one component', count(*) FROM symbols WHERE kind = 'METHOD' AND ordinal % 23 = 2"))
+def _(spark, sf):
+    """Some sites lose their token and some methods their component; those and no others are counted."""
+    methods = S(spark, sf).filter("kind = 'METHOD'")
+    found = L.scc(methods.select(F.col("sym_id").alias("node")), C.as_edges(E(spark, sf)))
+    kept = found.join(methods.filter("ordinal % 23 <> 2").select(F.col("sym_id").alias("node")), "node", "left_semi")
+    sites = projected(spark, sf, "call_sites").select("site_id", F.when(F.col("site_id") % 19 != 3, F.col("token")).alias("token"))
+    return C.bad_calls(sites, methods, kept)
+
+
+@query("span_sort", "SELECT l_orderkey AS file_id, l_linenumber AS entity_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_suppkey + CAST(l_quantity AS BIGINT) DESC, l_linenumber) - 1 AS ord FROM lineitem")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("entity_id"), F.col("l_suppkey").alias("first_tok"), (F.col("l_suppkey") + F.col("l_quantity").cast("long")).alias("last_tok"))
+    return R.sorted_spans(rows).select("file_id", "entity_id", "ord")
+
+
+@query("sorted_result", with_ctes("call_edges", "SELECT caller AS sym, array_to_string(list(DISTINCT callee ORDER BY callee), ' ') AS neighbours FROM call_edges GROUP BY caller"))
+def _(spark, sf):
+    """Neighbours come in ascending order."""
+    return C.adjacency(E(spark, sf)).select("sym", F.array_join(F.col("neighbours").cast("array<string>"), " ").alias("neighbours"))
+
+
 @query("fluent_ratio", with_ctes("symbols", "SELECT parent_sym AS sym_id, count(*) AS n_methods, count(*) FILTER (WHERE type_sym = parent_sym) AS n_fluent FROM symbols WHERE kind = 'METHOD' GROUP BY parent_sym"))
 def _(spark, sf):
     return U.fluent_ratio(S(spark, sf))

@@ -161,8 +161,9 @@ def path_formula(blocks: list[int], edges: list[tuple[int, int]], order: list[in
         ways.setdefault(a, []).append(i)
         into.setdefault(b, []).append(i)
     last_first = lambda es: sorted(es, key=lambda i: -var[i + 1])
-    f = bdd.var(0)
-    for b in blocks:
+    f = TRUE
+    first = lambda b: min((var[i + 1] for i in ways.get(b, []) + into.get(b, [])), default=0)
+    for b in sorted(blocks, key=first, reverse=True):  # from the last variables up, so that each step meets only the top of what there is
         reached = bdd.var(0) if b == 0 else FALSE
         for i in last_first(into.get(b, [])):
             reached = bdd.either(bdd.var(var[i + 1]), reached)
@@ -171,7 +172,8 @@ def path_formula(blocks: list[int], edges: list[tuple[int, int]], order: list[in
             taken = bdd.var(var[i + 1])
             one, none = bdd.ite(taken, none, one), bdd.ite(taken, FALSE, none)
         if b in ways:
-            f = bdd.both(f, bdd.implies(reached, one))
+            f = bdd.both(bdd.implies(reached, one), f)
+    f = bdd.both(bdd.var(0), f)
     return bdd, f, len(edges) + 1
 
 

@@ -95,3 +95,33 @@ def test_ssa_of_a_loop():
     assert {u for u, s in uses if s in (11, 12, 13)} == {phi}
     assert sorted(p for p, _ in phis[0][3]) == [0, 2]
     assert len({d[0] for d in defs}) == len(defs)
+
+
+@settings(max_examples=200, deadline=None)
+@given(graphs)
+def test_reverse_postorder_and_path_counts(succ):
+    order = flow.reverse_postorder(succ)
+    assert order[0] == 0 and sorted(order) == sorted(reached(succ))
+    ahead = {b: [s for s in ss if s > b] for b, ss in succ.items()}  # no cycles: every edge goes on in the order
+    place = {b: i for i, b in enumerate(flow.reverse_postorder(ahead))}
+    assert all(place[b] < place[s] for b in place for s in ahead[b])
+    ways, work = [], [[0]]
+    while work:
+        path = work.pop()
+        on = ahead[path[-1]]
+        work += [[*path, s] for s in on]
+        ways += [] if on else [path]
+    assert flow.acyclic_paths(ahead) == len(ways) and flow.longest_path(ahead) == max(map(len, ways))
+
+
+def test_a_long_function_has_a_formula():
+    n = 3000
+    succ = {b: [b + 1] for b in range(n)} | {n: []}
+    d, f, variables = bdd.path_formula(list(succ), [(b, b + 1) for b in range(n)])
+    assert d.count(f, variables) == 1 and d.size(d.restrict(f, n, 1)) > 1
+
+
+def test_many_ways_out_are_exclusive():
+    edges = [(0, b) for b in range(1, 40)]
+    d, f, n = bdd.path_formula(list(range(40)), edges)
+    assert d.count(f, n) == 39

@@ -6,8 +6,18 @@ from pyspark.sql import functions as F
 
 from graphloom.javaparse import cfg
 from graphloom.javaparse.parser import flatten, parse, tokenize
+from graphloom.engine import ProgramGraph
 from graphloom.javaparse.samples import SAMPLES
-from graphloom.plans.q_java import graph
+from graphloom.operators import java
+
+_MADE = {}
+
+
+def graph(spark):
+    if spark.sparkContext.applicationId not in _MADE:
+        rows = [(i, p, t) for i, (p, t) in enumerate(sorted(SAMPLES.items()))]
+        _MADE[spark.sparkContext.applicationId] = ProgramGraph(spark.createDataFrame(rows, "file_id long, path string, text string"))
+    return _MADE[spark.sparkContext.applicationId]
 
 
 def method(body: str):
@@ -117,3 +127,40 @@ def test_a_source_tree(spark, tmp_path):
     assert g.files.count() == len(SAMPLES)
     assert {r["lang"] for r in g.files.select("lang").collect()} == {"Java"}
     assert g.classes.filter(F.col("package") == "org.depot").count() > 10
+
+
+def test_deep_sources_are_read(spark):
+    deep = "class A { int f(int n) { return " + "(" * 3000 + "n" + ")" * 3000 + "; } }"
+    chain = "class B { int f(int n) { " + " else ".join(f"if (n == {i}) {{ n = {i}; }}" for i in range(2000)) + " return n; } }"
+    got = java.parsed(spark.createDataFrame([(0, deep), (1, chain), (2, None)], "file_id long, text string")).collect()
+    assert [r.error for r in sorted(got, key=lambda r: r.file_id)] == [None] * 3
+    by = {r.file_id: r for r in got}
+    assert len(by[1].blocks) > 4000 and len(by[0].tokens) > 6000 and len(by[2].ast) == 1
+
+
+def test_names_resolve_by_scope_import_and_package(spark):
+    files = [
+        (0, "package a; public class T { void go() { } static class In { } }"),
+        (1, "package b; import a.T; class U { T t; In x; void m() { t.go(); } class In { } }"),
+        (2, "package b; class T { void go() { } }"),
+        (3, "package b; class V { T t; void m(U u) { t.go(); u.m(); missing(); } }"),
+        (4, "package c; import b.*; class W { U u; T t; void m() { u.m(); super.m(); } }"),
+    ]
+    g = ProgramGraph(spark.createDataFrame([(i, f"f{i}.java", t) for i, t in files], "file_id long, path string, text string"))
+    by = {r.sym_id: r for r in g.symbols.collect()}
+    type_of = {(r.file_id, r.name): (by[r.type_sym].file_id, by[r.type_sym].name) for r in by.values() if r.kind == "FIELD" and r.type_sym is not None}
+    assert type_of == {(1, "t"): (0, "T"), (1, "x"): (1, "In"), (3, "t"): (2, "T"), (4, "u"): (1, "U"), (4, "t"): (2, "T")}
+    calls = {(by[r.caller].file_id, by[r.callee].file_id, by[r.callee].name) for r in g.call_edges.collect()}
+    assert calls == {(1, 0, "go"), (3, 2, "go"), (3, 1, "m"), (4, 1, "m")}
+
+
+def test_calls_go_where_the_receiver_can_be(spark):
+    text = """class Top { void go() { } void all(Top t) { t.go(); Low x = new Low(); x.go(); Top y = new Mid(); y.go(); } }
+class Mid extends Top { void go() { } } class Low extends Mid { void go() { } } class Bare extends Top { void run() { go(); super.go(); } }"""
+    g = ProgramGraph(spark.createDataFrame([(0, "Top.java", text)], "file_id long, path string, text string"))
+    by = {r.sym_id: r for r in g.symbols.collect()}
+    label = lambda s: f"{by[by[s].parent_sym].name}.{by[s].name}"
+    sites = {r.site_id: r.first_tok for r in g.call_sites.collect()}
+    got = sorted((sites[r.site_id], label(r.caller), label(r.callee)) for r in java.call_edges(g.call_sites, java.listed(g.parsed, "given"), g.symbols, g.th_edges, g.ast, g.chains).collect())
+    callees = [[c for t, f, c in got if t == at] for at in sorted({t for t, _, _ in got})]
+    assert callees[0] == ["Low.go", "Mid.go", "Top.go"] and callees[1] == ["Low.go"] and callees[2] == ["Mid.go"] and callees[3] == ["Top.go"] and callees[4] == ["Top.go"]

@@ -118,3 +118,47 @@ def test_matched_reachability_of_three_nested_calls(spark):
     got = {tuple(r) for r in callgraph.matched_reachable(calls, flows, spark.createDataFrame([(1,), (10,)], "root long")).collect()}
     inner = {10, 20, 30, 31, 21, 11}
     assert got == {(1, n) for n in inner | {1, 2}} | {(10, n) for n in inner | {2, 6}}
+
+
+def test_hashes_by_published_vectors(spark):
+    rows = spark.createDataFrame([("",), ("a",), ("foobar",), ("123456789",)], "s string")
+    got = {r.s: (r.f & (1 << 64) - 1, r.c & (1 << 64) - 1, r.k) for r in rows.select("s", S.fnv1a(F.col("s")).alias("f"), S.crc64(F.col("s")).alias("c"), F.crc32(F.col("s").cast("binary")).alias("k")).collect()}
+    assert got[""][0] == 0xCBF29CE484222325 and got["a"][0] == 0xAF63DC4C8601EC8C and got["foobar"][0] == 0x85944171F73967E8
+    assert got["123456789"][1] == 0x6C40DF5F0B497347 and got["123456789"][2] == 0xCBF43926
+
+
+def test_composite_hash_is_the_crc_of_the_exclusive_or(spark):
+    import zlib
+
+    rows = spark.createDataFrame([(1, 2, 7), (-5, 1 << 40, 3)], "a long, b long, c long")
+    got = {(r.a, r.h) for r in rows.select("a", S.composite_hash(F.col("a"), F.col("b"), F.col("c")).alias("h")).collect()}
+    assert got == {(a, zlib.crc32(((a ^ b ^ c) & (1 << 64) - 1).to_bytes(8, "little"))) for a, b, c in ((1, 2, 7), (-5, 1 << 40, 3))}
+
+
+def test_tokens_by_a_plain_scan(spark):
+    import re
+
+    texts = ["a1 = b;\n\n  x\t+ 22é😀\r\nend", "", "\n", None, "class A {\n}\n"]
+    files = spark.createDataFrame(list(enumerate(texts)), "file_id long, text string")
+    want = []
+    for i, text in enumerate(texts):
+        n = 0
+        for no, line in enumerate((text or "").split("\n"), 1):
+            for m in re.finditer(tokens.PATTERN, line):
+                if m[0].strip(" \t\r\x0b\x0c"):
+                    want.append((i, no, m.start(), n, m[0], len(m[0])))
+                    n += 1
+    assert sorted(map(tuple, tokens.lex(files).collect())) == want
+    ids = tokens.tokens_with_ids(files).orderBy("token_id").collect()
+    assert [r.token_id for r in ids] == list(range(len(want))) and [r.text for r in ids] == [w[4] for w in want]
+
+
+def test_reachability_stops_and_components_are_ordered(spark):
+    from graphloom.operators import callgraph
+
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 4)], "caller long, callee long")
+    pairs = spark.createDataFrame([(1, 5), (5, 1), (6, 6), (6, 1), (2, 1)], "s long, t long")
+    assert {(r.s, r.t): r.reachable for r in callgraph.is_reachable(e, pairs).collect()} == {(1, 5): True, (5, 1): False, (6, 6): True, (6, 1): False, (2, 1): True}
+    edges = callgraph.as_edges(e)
+    found = closure.scc(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges)
+    assert {r.scc_id: r.level for r in closure.scc_levels(found, edges).collect()} == {5: 0, 4: 1, 1: 2, 6: 2}

@@ -17,7 +17,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     """(file_id, path, text)"""
     n, n_parts = table(spark, sf, "supplier").count(), table(spark, sf, "part").count()
     k, s = F.floor(F.col("p_partkey") / n), F.col("p_partkey") % n
-    nxt = F.when(F.col("p_partkey") + n < n_parts, k + 1).otherwise(F.lit(0))
+    nxt = F.when(F.col("p_partkey") + n < n_parts, k + 1).otherwise(k)
     body = (
         F.when(F.col("p_partkey") % 4 == 0, F.format_string("  public int m%d(int n) { if (n > %d) { return m%d(n - 1); } else { n = n + 1; } return n; }\n", k, "p_size", nxt))
         .when(F.col("p_partkey") % 4 == 1, F.format_string("  int m%d(int n) { while (n > 0) { n--; } peer.m%d(n); return total; }\n", k, k))
@@ -44,7 +44,7 @@ def graph(spark: SparkSession, sf: str) -> ProgramGraph:
 #: What the sources say: classes c, methods p with the number and kind of each, and which class lies below which.
 _TOLD = """WITH RECURSIVE n AS (SELECT (SELECT count(*) FROM supplier) AS s, (SELECT count(*) FROM part) AS p),
 c AS (SELECT s_suppkey AS s, s_nationkey AS nation FROM supplier),
-p AS (SELECT p_partkey AS p, p_partkey % n.s AS s, p_partkey // n.s AS k, p_partkey % 4 AS kind, CASE WHEN p_partkey + n.s < n.p THEN p_partkey // n.s + 1 ELSE 0 END AS nxt FROM part, n),
+p AS (SELECT p_partkey AS p, p_partkey % n.s AS s, p_partkey // n.s AS k, p_partkey % 4 AS kind, CASE WHEN p_partkey + n.s < n.p THEN p_partkey // n.s + 1 ELSE p_partkey // n.s END AS nxt FROM part, n),
 below AS (SELECT s AS top, s FROM c UNION ALL SELECT b.top, c.s FROM below b JOIN c ON c.s // 2 = b.s AND c.s > 0),
 asks AS (SELECT p.p, p.s, p.k, p.kind, CASE WHEN kind = 1 THEN (p.s + 1) % n.s ELSE p.s END AS rs, CASE WHEN kind = 1 THEN p.k ELSE p.nxt END AS rk FROM p, n WHERE kind <> 2),
 calls AS (SELECT a.*, t.kind = 2 AS direct FROM asks a JOIN p t ON t.s = a.rs AND t.k = a.rk),

@@ -13,3 +13,12 @@ def test_fuzzy_names_match_without_a_broadcast(spark):
     found = Y.fuzzy_field_class(spark.createDataFrame(fields, "sym_id long, name string"), spark.createDataFrame(classes, "sym_id long, name string"))
     assert {tuple(r) for r in found.collect()} == {(1, 10), (2, 11), (3, 11), (4, 15), (5, 13)}
     assert "Broadcast" not in plan(found)
+
+
+def test_names_within_reach_of_a_symbol_without_a_broadcast(spark):
+    symbols = [(1, "", 0), (2, "Unknown", 7), (3, "own", 7), (4, "", 40), (5, "Unknown", 41), (6, None, None), (7, "", 99)]
+    tokens = [(3, "class", "Keyword"), (5, "9", "IntegerLiteral"), (19, "last", "Identifier"), (26, "next", "Identifier"), (60, "far", "Identifier"), (98, "before", "Identifier")]
+    packages = [(4, "org.p"), (3, "org.q")]
+    found = Y.resolve_names(spark.createDataFrame(symbols, "sym_id long, name string, first_tok long"), spark.createDataFrame(tokens, "token_id long, text string, token_type string"), spark.createDataFrame(packages, "sym_id long, package string"))
+    assert {tuple(r) for r in found.collect()} == {(1, "last"), (2, "last"), (3, "own"), (4, "org.p"), (5, "far"), (6, "Unknown"), (7, "Unknown")}
+    assert "Broadcast" not in plan(found)

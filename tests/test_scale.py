@@ -1,5 +1,7 @@
 """What keeps queries within a small driver on large tables: sides that grow aren't broadcast, files are dealt to all tasks."""
 
+from graphloom.engine import ProgramGraph
+from graphloom.operators import closure, java
 from graphloom.operators import symbols as Y
 
 
@@ -22,3 +24,25 @@ def test_names_within_reach_of_a_symbol_without_a_broadcast(spark):
     found = Y.resolve_names(spark.createDataFrame(symbols, "sym_id long, name string, first_tok long"), spark.createDataFrame(tokens, "token_id long, text string, token_type string"), spark.createDataFrame(packages, "sym_id long, package string"))
     assert {tuple(r) for r in found.collect()} == {(1, "last"), (2, "last"), (3, "own"), (4, "org.p"), (5, "far"), (6, "Unknown"), (7, "Unknown")}
     assert "Broadcast" not in plan(found)
+
+
+def test_sources_of_one_partition_are_parsed_by_many_tasks(spark):
+    files = spark.createDataFrame([(i, f"class C{i} {{ void m() {{ m(); }} }}") for i in range(40)], "file_id long, text string").coalesce(1)
+    found = java.parsed(files)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert {(r.file_id, r.error) for r in found.select("file_id", "error").collect()} == {(i, None) for i in range(40)}
+
+
+def test_large_written_tables_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(closure, "SMALL", 0)
+    rows = closure.cut(spark.range(50))
+    found = rows.filter("id % 2 = 0").select("id").join(closure.cut(spark.range(9)), "id")
+    assert found.count() == 5 and len(found.collect()) == 5 and "Broadcast" not in plan(found)
+
+
+def test_spans_come_from_the_lists_of_their_files(spark):
+    g = ProgramGraph(spark.createDataFrame([(1, ""), (2, "class A {\n  void m() { m(); }\n}\n"), (3, "class B { }")], "file_id long, text string"))
+    assert {tuple(r) for r in g.spans.filter("layer = 'cs'").select("file_id", "line_start", "col_start", "line_end", "col_end").collect()} == {(2, 2, 13, 2, 16)}
+    assert {r.file_id for r in g.spans.collect()} == {2, 3}
+    ends = ["layer", "entity_id", "first_tok", "last_tok"]
+    assert sorted(map(tuple, g.extents.select(*ends).collect())) == sorted(map(tuple, g.spans.select(*ends).collect()))

@@ -1,10 +1,12 @@
 """Near copies by the Jaccard similarity of word shingles.
 
 A text is the set of its five-word shingles, as 64-bit hashes. Two texts are near
-copies if the sets' similarity is four fifths or more. Candidates share a band of
-MinHash values: at similarity 0.8 a pair has none of the 24 bands of four values in
-common with a probability of 3 in a million, above it with less. Texts joined by bands
-go to one place, where those that share a band are compared by their whole sets; a
+copies if the sets' similarity is four fifths or more. Candidates come by SimHash:
+fingerprints of the five-word shingles, linked within three bits by the segment-popcount
+embedding of simhash.py. Near copies may differ in more bits than the grid reaches
+(about ten at similarity 0.8); those share a band of MinHash values: at similarity 0.8 a pair has none of the 24 bands of four values in
+common with a probability of 3 in a million, above it with less. Texts joined by fingerprints or bands
+go to one place, where those that share a band or a component of fingerprints are compared by their whole sets; a
 place of many texts is dealt out as pairs of blocks to many tasks. A place gives a
 spanning forest of its links, never all its pairs. Equal texts, known by 128 bits, are
 one node from the start.
@@ -29,6 +31,8 @@ from graphloom.llm.components import components
 WORDS, LEAST = 5, (4, 5)
 #: Bands, and MinHash values of a band.
 BANDS, ROWS = 24, 4
+#: What a text may share with a candidate: its bands, and behind them the component of its fingerprint.
+SHARED = BANDS + 1
 #: Texts of a block of a large place.
 BLOCK = 2048
 
@@ -73,32 +77,44 @@ def text_key(text: Column) -> Column:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key and bands (as bytes) for every row."""
+    """doc_id, key, bands (as bytes) and fp, the fingerprint, for every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, size=4 << 20):
-                found = [bands(shingles(t)).tobytes() for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found, pa.binary())], names=["doc_id", "key", "bands"])
+                found, prints = [], np.empty(batch.num_rows, np.uint64)
+                for k, text in enumerate(batch.column("text").to_pylist()):
+                    h = simhash.hashes(text, WORDS)
+                    found.append(bands(np.unique(h)).tobytes())
+                    prints[k] = simhash.fingerprint_of(h)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found, pa.binary()), pa.array(prints.view(np.int64))], names=["doc_id", "key", "bands", "fp"])
 
-    return common.keyed(docs, id_col, text_col).withColumn("key", text_key(F.col("text"))).mapInArrow(work, "doc_id long, key binary, bands binary")
+    return common.keyed(docs, id_col, text_col).withColumn("key", text_key(F.col("text"))).mapInArrow(work, "doc_id long, key binary, bands binary, fp long")
+
+
+def joined_prints(distinct: DataFrame) -> DataFrame:
+    """distinct (key, least, bands, fp) with the component of the fingerprint behind the bands; components by op7's embedding, grid and Hamming test."""
+    roots = components(simhash.links(common.written(distinct.select("fp").distinct(), "fingerprints")))
+    of = distinct.join(roots.toDF("fp", "root"), "fp", "left")
+    value = F.to_binary(F.lpad(F.hex(F.coalesce("root", "fp")), 16, "0"), F.lit("hex"))
+    return of.select("key", "least", F.concat("bands", value).alias("bands"))
 
 
 def _places(distinct: DataFrame) -> DataFrame:
-    """(band, value, key): a row for each band of each text."""
+    """(band, value, key): a row for each band of each text and one for the component of its fingerprint."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                values = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
-                for k in range(BANDS):
+                values = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64).reshape(-1, SHARED)
+                for k in range(SHARED):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, np.int32)), pa.array(values[:, k].copy()), batch.column("key")], names=["band", "value", "key"])
 
     return distinct.select("key", "bands").mapInArrow(work, "band int, value long, key binary")
 
 
 def near_pairs(side: np.ndarray, values: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
-    """A spanning forest of the near copies among texts that share a band; of two blocks only pairs across are tried. side: 2 where all is one block."""
+    """A spanning forest of the near copies among texts that share a band or a component of fingerprints; of two blocks only pairs across are tried. side: 2 where all is one block."""
     n, out = len(side), []
     root, sets = np.arange(n), {}
 
@@ -124,7 +140,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(group)]
         for start, stop in zip(ends, ends[1:], strict=False):
             part = t.slice(start, stop - start)
-            values = np.frombuffer(b"".join(part.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
+            values = np.frombuffer(b"".join(part.column("bands").to_pylist()), np.int64).reshape(-1, SHARED)
             keys = part.column("key").to_pylist()
             pairs = near_pairs(part.column("side").to_numpy(), values, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in pairs], pa.binary()), pa.array([keys[y] for _, y in pairs], pa.binary())], names=["u", "v"])
@@ -150,7 +166,7 @@ def _links(texts: DataFrame, distinct: DataFrame, block: int) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, key and component_id, the smallest doc_id of all that near copies join, for every row. Rows without a doc_id link but never name a component."""
     signed = common.written(_signed(docs, id_col, text_col), "signed")
-    distinct = signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands"))
+    distinct = common.written(joined_prints(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands"), F.min("fp").alias("fp"))), "distinct")
     texts = common.keyed(docs, id_col, text_col).select(text_key(F.col("text")).alias("key"), "text")
     roots = components(_links(texts, distinct, block))
     named = distinct.join(roots, distinct["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))

@@ -52,7 +52,11 @@ def hashes(text: str, size: int) -> np.ndarray:
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
-    h = hashes(text, size)
+    return fingerprint_of(hashes(text, size))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The fingerprint of a text's shingles, repeats included."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -178,7 +182,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: near copies by five-word shingles, not by this query's fingerprints."""
+    """The pipeline's stage: near copies by five-word shingles, their fingerprints joined as here and their whole sets compared."""
     from graphloom.llm import near
 
     return near.keep_one(docs)

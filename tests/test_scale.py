@@ -1,7 +1,7 @@
 """What keeps queries within a small driver on large tables: sides that grow aren't broadcast, files are dealt to all tasks."""
 
 from graphloom.engine import ProgramGraph
-from graphloom.operators import closure, java
+from graphloom.operators import closure, diagrams, java
 from graphloom.operators import symbols as Y
 
 
@@ -46,3 +46,11 @@ def test_spans_come_from_the_lists_of_their_files(spark):
     assert {r.file_id for r in g.spans.collect()} == {2, 3}
     ends = ["layer", "entity_id", "first_tok", "last_tok"]
     assert sorted(map(tuple, g.extents.select(*ends).collect())) == sorted(map(tuple, g.spans.select(*ends).collect()))
+
+
+def test_a_diagram_is_made_in_the_cluster(spark):
+    rows = [(["1", f"{k:03d}", f"{i:06d}"], f"line {k} {i}") for k in range(60) for i in range(2)]
+    lines = spark.createDataFrame([*rows[::-1], (["0", "", "000000"], "start"), (["9", "", "000000"], "end")], "ord array<string>, line string").repartition(7)
+    assert [r.diagram for r in diagrams.text(lines).collect()] == ["\n".join(["start", *(x for _, x in rows), "end"])]
+    g = ProgramGraph(spark.createDataFrame([(1, "class A { void m(int n) { if (n > 0) { n--; } } }")], "file_id long, text string"))
+    assert g.diagram_row("activity").first().diagram == g.diagram("activity") and g.diagram("activity").count("-->") == 4  # into and past the branch, out of it, to the exit

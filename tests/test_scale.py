@@ -54,3 +54,34 @@ def test_a_diagram_is_made_in_the_cluster(spark):
     assert [r.diagram for r in diagrams.text(lines).collect()] == ["\n".join(["start", *(x for _, x in rows), "end"])]
     g = ProgramGraph(spark.createDataFrame([(1, "class A { void m(int n) { if (n > 0) { n--; } } }")], "file_id long, text string"))
     assert g.diagram_row("activity").first().diagram == g.diagram("activity") and g.diagram("activity").count("-->") == 4  # into and past the branch, out of it, to the exit
+
+
+def test_calls_are_resolved_without_tokens_trees_and_flow(spark):
+    text = "package a; class A extends B { A x; int n; void m(int k) { class In { A y; } Runnable r = () -> m(1); x.m(2); new A(); } } class B { }"
+    files = spark.createDataFrame([(1, text), (2, None), (3, "class C extends a.A { void q() { m(3); } }")], "file_id long, text string")
+    few, whole = ProgramGraph(files), ProgramGraph(files)
+    assert whole.parsed is whole.facts
+    for name in ("symbols", "th_edges", "call_sites", "call_edges", "chains", "heads"):
+        assert sorted(map(str, few.table(name).collect())) == sorted(map(str, whole.table(name).collect())), name
+    assert "parsed" not in few.__dict__ and "_facts" not in whole.__dict__
+    rows = {r.name: r for r in few.symbols.collect()}
+    up = {r.scope_id: r.outer for r in few.chains.filter("dist = 1").collect()}
+    assert up[rows["y"].sym_id] == rows["In"].sym_id and up[rows["In"].sym_id] == rows["m"].sym_id == rows["k"].parent_sym
+    assert rows["n"].type_sym is None and rows["x"].type_sym == rows["A"].sym_id
+
+
+def test_packed_lists_open_as_they_were(spark):
+    files = spark.createDataFrame([(1, "class A { int m(int n) { while (n > 0) { n--; } return n; } }"), (2, None), (3, "")], "file_id long, text string")
+    plain, packed = java.parsed(files), java.parsed(files, java.PACKED)
+    for name in java.PACKED:
+        assert sorted(map(str, java.listed(packed, name).collect())) == sorted(map(str, java.listed(plain, name).collect())), name
+    assert {(r.file_id, r.token_count) for r in java.sizes(packed, "tokens").collect()} == {(r.file_id, len(r.tokens)) for r in plain.collect()}
+
+
+def test_a_file_whose_flow_fails_keeps_its_names(monkeypatch):
+    def fails(*_):
+        raise ValueError("no flow")
+
+    monkeypatch.setattr(java.C, "build", fails)
+    found, error = java._parsed(1, "class A { void m() { } }", tuple(java.LISTS))
+    assert error == "ValueError: no flow" and len(found["decls"]) == 3 and found["tokens"] and "blocks" not in found

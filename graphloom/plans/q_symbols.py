@@ -220,7 +220,7 @@ def _(spark, sf):
 
 @query("matched_reachable")
 def _(spark, sf):
-    e = E(spark, sf)
+    e = L.cut(E(spark, sf).select("site_id", "caller", "callee"))
     calls = e.select("site_id", F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(False).alias("is_return")).unionByName(e.select("site_id", F.col("callee").alias("src"), F.col("caller").alias("dst"), F.lit(True).alias("is_return")))
     every = S(spark, sf).filter("kind = 'METHOD'").select(F.col("sym_id").alias("root"))
     # the nodes are whole methods, so there are no flows within one

@@ -1,7 +1,7 @@
 """What keeps queries within a small driver on large tables: sides that grow aren't broadcast, files are dealt to all tasks."""
 
 from graphloom.engine import ProgramGraph
-from graphloom.operators import closure, diagrams, java
+from graphloom.operators import callgraph, closure, diagrams, java
 from graphloom.operators import symbols as Y
 
 
@@ -85,3 +85,37 @@ def test_a_file_whose_flow_fails_keeps_its_names(monkeypatch):
     monkeypatch.setattr(java.C, "build", fails)
     found, error = java._parsed(1, "class A { void m() { } }", tuple(java.LISTS))
     assert error == "ValueError: no flow" and len(found["decls"]) == 3 and found["tokens"] and "blocks" not in found
+
+
+def test_matched_reachability_takes_no_round_for_each_call(spark, monkeypatch):
+    """Chains of calls of any depth take the same few tables; parts that tasks take whole, bit by bit or one by one, give what rounds give."""
+    sites = [(1000 * p + i, 1000 * p + i, 1000 * p + i + 1) for p, n in ((0, 30), (1, 3), (2, 70)) for i in range(n)]
+    both = [(s, a, b, False) for s, a, b in sites] + [(s, b, a, True) for s, a, b in sites]
+    odd = [(1, 5000, 5010, False), (1, 5011, 5002, True), (2, 5003, 5010, False), (2, 5011, 5004, True), (None, 5002, 5020, False), (None, 5020, 5030, True)]
+    calls = spark.createDataFrame(both + odd, "site_id long, src long, dst long, is_return boolean")
+    flows = spark.createDataFrame([(5010, 5011)], "src long, dst long")
+    seeds = spark.createDataFrame([(x,) for x in (0, 30, 1001, 2070, 5000, 5003, 5020, 9000, 9000)], "root long")
+    made = []
+    for of in (callgraph, closure):
+        monkeypatch.setattr(of, "cut", lambda df, cut=closure.cut: made.append(1) or cut(df))
+    found = sorted(map(tuple, callgraph.matched_reachable(calls, flows, seeds).collect()))
+    assert len(made) <= 12
+    inner = {5010, 5011}
+    assert [n for r, n in found if r == 5000] == sorted(inner | {5000, 5002, 5020}) and [n for r, n in found if r == 5020] == [5020, 5030]
+    assert [n for r, n in found if r == 30] == list(range(31)) and [n for r, n in found if r == 2070] == list(range(2000, 2071)) and (9000, 9000) in found
+    small = calls.filter("src >= 1000 AND src < 2000 OR src >= 5000"), flows, seeds.filter("root >= 1000 AND root < 2000 OR root >= 5000")
+    rounds = sorted(map(tuple, callgraph.matched_reachable(*small, gathered=0).collect()))
+    assert rounds == [x for x in found if 1000 <= x[0] < 2000 or x[0] >= 5000]
+
+
+def test_components_of_nodes_in_any_order(spark, monkeypatch):
+    """Whatever tasks hang by themselves, torn nodes are joined again."""
+    monkeypatch.setattr(closure, "HUNG", 1)
+    edges = [(i, (i * 7 + 3) % 61) for i in range(0, 61, 2)] + [(100, 101), (101, 101), (200, 150), (150, 300)]
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        if a != b:
+            group = near.get(a, {a}) | near.get(b, {b})
+            near |= dict.fromkeys(group, group)
+    frame = spark.createDataFrame(edges, "src long, dst long").repartition(9)
+    assert sorted(map(tuple, closure.weak_components(frame).collect())) == sorted((n, min(g)) for n, g in near.items())

@@ -69,9 +69,11 @@ def dropped(*tables: DataFrame) -> None:
         files.delete(at, True)
 
 
-def short_plans(spark: SparkSession, most: int = 20_000):
-    """Plans that hold tables as literals are described in so many characters at most, so that the driver doesn't keep their text."""
-    return setting(spark, "spark.sql.maxPlanStringLength", str(most))
+@contextlib.contextmanager
+def short_plans(spark: SparkSession, most: int = 20_000, fields: int = 4):
+    """Plans that hold tables as literals are described in so many characters and by so many columns of a node at most, so that the driver makes and keeps no text of them: every new plan of an adaptive query names each node's columns whole. A literal belongs behind the first columns."""
+    with setting(spark, "spark.sql.maxPlanStringLength", str(most)), setting(spark, "spark.sql.debug.maxToStringFields", str(fields)):
+        yield
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -240,6 +240,17 @@ def test_lines_whatever_the_rarity_table_holds(spark, monkeypatch, frequent):
     assert sorted(map(tuple, got), key=str) == brute_lines(rows)
 
 
+def test_plans_of_lines_have_no_text_of_the_rarity_table(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    docs = spark.createDataFrame([(i, words(random.Random(i), 30, 20)) for i in range(40)], "doc_id long, text string")
+    assert lines.dedup_lines(docs).count() == 40
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ids = [store.executionsList().apply(k).executionId() for k in range(before, store.executionsCount())]
+    texts = [nodes.apply(k).desc() for i in ids for nodes in [store.planGraph(i).allNodes()] for k in range(nodes.size())]
+    assert len(texts) > 50 and max(map(len, texts)) < 20_000
+
+
 # 7: SimHash near-dedup
 
 
